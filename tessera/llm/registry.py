@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import substring_dedup
+from tessera.llm import substring_dedup, suffix_array_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.query,
+        "op3_suffix_array_dedup": suffix_array_dedup.query,
     }
 
 
