@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import substring_dedup, suffix_array_dedup
+from tessera.llm import simhash, substring_dedup, suffix_array_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.query,
         "op3_suffix_array_dedup": suffix_array_dedup.query,
+        "op10_simhash_components": simhash.query,
     }
 
 
