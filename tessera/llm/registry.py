@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import simhash, substring_dedup, suffix_array_dedup
+from tessera.llm import bpe, packing, simhash, substring_dedup, suffix_array_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.query,
         "op3_suffix_array_dedup": suffix_array_dedup.query,
+        "op7_best_fit_packing": packing.query,
+        "op9_bpe_round": bpe.query,
         "op10_simhash_components": simhash.query,
     }
 
