@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, packing, simhash, substring_dedup, suffix_array_dedup
+from tessera.llm import bpe, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_array_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.query,
         "op3_suffix_array_dedup": suffix_array_dedup.query,
+        "op4_quality_classifier": quality_classifier.query,
         "op7_best_fit_packing": packing.query,
+        "op8_quality_rules": quality_rules.query,
         "op9_bpe_round": bpe.query,
         "op10_simhash_components": simhash.query,
     }
