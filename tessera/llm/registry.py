@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, hmm, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_array_dedup
+from tessera.llm import bpe, hmm, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_array_dedup, transport_stream
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_substring_dedup": substring_dedup.query,
         "op3_suffix_array_dedup": suffix_array_dedup.query,
         "op4_quality_classifier": quality_classifier.query,
+        "op5_transport_stream": transport_stream.query,
         "op6_hmm_scores": hmm.query,
         "op7_best_fit_packing": packing.query,
         "op8_quality_rules": quality_rules.query,
