@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, hmm, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_array_dedup, transport_stream
+from tessera.llm import bpe, hmm, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_array_dedup, transport_stream, warc
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.query,
+        "op2_warc": warc.query,
         "op3_suffix_array_dedup": suffix_array_dedup.query,
         "op4_quality_classifier": quality_classifier.query,
         "op5_transport_stream": transport_stream.query,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": warc.SQL}
