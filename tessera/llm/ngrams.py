@@ -73,6 +73,10 @@ class Sample:
         self.share = [np.frombuffer(r[3], "<f4") for r in found]
 
 
+def text_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def learning_rows(labels: DataFrame, column: str = "quality") -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).where("doc_id is not null and y is not null")
 

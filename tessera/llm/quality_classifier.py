@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import load, pieces
-from tessera.llm.ngrams import SIZE, Sample, grams, learning_rows, platt
+from tessera.llm.ngrams import SIZE, Sample, grams, learning_rows, platt, text_rows
 
 SAMPLE = 4000
 COST = 1.0
@@ -117,11 +117,23 @@ def held_out(divisor: int, remainder: int) -> F.Column:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, held_out, score, predicted."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     model = Model(Sample(rows, learning_rows(labels).where(~held_out(3, 1)), sample))
     scored = rows.mapInArrow(scorer(model), "doc_id long, score double")
     return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def good_rows(docs: DataFrame, learn: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, all columns, that score THRESHOLD or more; the model is fitted on labelled rows of learn(doc_id, text)."""
+    model = Model(Sample(text_rows(learn), learning_rows(labels).where(~held_out(3, 1)), sample))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, buf, off in pieces(batch, "text"):
+                yield rows.filter(pa.array(model.score(buf, off) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir):
     return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))

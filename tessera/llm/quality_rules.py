@@ -15,10 +15,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm.common import _WHITE, U64, RangeHash, load, mix, pieces, word_hashes, words
-from tessera.llm.ngrams import SIZE, Sample, grams, learning_rows, platt
+from tessera.llm.ngrams import SIZE, Sample, grams, learning_rows, platt, text_rows
 
 SAMPLE = 4000
 STEPS = 60
@@ -101,15 +100,21 @@ class Regression:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def _verdict(model: Regression, threshold: float, buf: np.ndarray, off: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    """(counts, base_failed, probability, kept)"""
+    c = counts(buf, off)
+    failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+    p = model.probability(buf, off)
+    return c, failed, p, ~failed & (p >= threshold)
+
+
 def _judged(model: Regression, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [c for c in batch.schema.names if c != "text"]
             for rows, buf, off in pieces(batch, "text"):
-                c = counts(buf, off)
-                failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
-                p = model.probability(buf, off)
-                out = [pa.array(c[x].astype(np.int64)) for x in COUNTS] + [pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
+                c, *verdict = _verdict(model, threshold, buf, off)
+                out = [pa.array(c[x].astype(np.int64)) for x in COUNTS] + [pa.array(x) for x in verdict]
                 yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in names), *out], [*names, *COUNTS, "base_failed", "probability", "kept"])
 
     return run
@@ -117,12 +122,24 @@ def _judged(model: Regression, threshold: float):
 
 def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, the counts, base_failed, probability (of being good) and kept."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     model = Regression(Sample(rows, learning_rows(labels), sample))
     kinds = ", ".join(f"{x} long" for x in ["doc_id", *COUNTS]) + ", base_failed boolean, probability double, kept boolean"
     return rows.mapInArrow(_judged(model, threshold), kinds)
 
 
+def good_rows(docs: DataFrame, learn: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that the rules keep; the regression is fitted on labelled rows of learn(doc_id, text)."""
+    model = Regression(Sample(text_rows(learn), learning_rows(labels), sample))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, buf, off in pieces(batch, "text"):
+                yield rows.filter(pa.array(_verdict(model, threshold, buf, off)[-1]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir):
     found = quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return found.select("doc_id", *COUNTS, "base_failed", "kept", "probability")

@@ -73,16 +73,33 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(more).union(stars.select(F.explode("all").alias("u"), "v").where("u <> v").distinct())
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, fp (a long), component_id, the smallest doc_id that links reach."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
+def _linked(rows: DataFrame, shingle: int) -> DataFrame:
+    """rows(text, doc_id, ...) to the other columns, fp, root (the component's smallest fingerprint) and component_id."""
+    kinds = ", ".join(f"{name} {kind}" for name, kind in rows.drop("text").dtypes)
+    rows = cut(rows.mapInArrow(_fingerprints(shingle), f"{kinds}, fp long"), "fingerprints")
     own = rows.groupBy("fp").agg(F.min("doc_id").alias("lo"))
     roots = components(links(own.select("fp")))
     named = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "lo", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("lo").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(named.join(least, "root").select("fp", "root", "component_id"), "components")
+    return rows.join(named, "fp")
+
+
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, fp (a long), component_id, the smallest doc_id that links reach."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _linked(rows, shingle).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, that stay: of each component the smallest doc_id (null comes last, then by a
+    hash of the text), as one row."""
+    key = F.xxhash64("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    stay = _linked(rows, shingle).groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.key").alias("stay"))
+    keyed = docs.select(key.alias("stay"), F.struct(*docs.columns).alias("row")).join(stay, "stay")
+    return keyed.dropDuplicates(["stay"]).select("row.*")
 
 
 def query(spark, sf_dir):

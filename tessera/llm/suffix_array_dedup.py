@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.anchors import FIRST_BITS, contexts, pack, unpack
 from tessera.llm.common import U64, RangeHash, cut, gathered, load, pieces
@@ -256,15 +257,16 @@ def _kept(length: int, clean: bool):
                 kept.append(b[at:])
                 cols[3].append(b"".join(kept).decode() if clean else b"".join(kept))
             arrays = [pa.array(x, pa.int64()) for x in cols[:3]] + [pa.array(cols[3], pa.string() if clean else pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c not in ("text", "spans")), *arrays], [*(c for c in batch.schema.names if c not in ("text", "spans")), "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *arrays], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
 def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, clean: bool = False) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept
-    (bytes, or with `clean` a string of whole characters)."""
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    """Per row of docs(doc_id, text): row (its other columns), n_bytes, n_removed, n_spans (maximal removed
+    runs) and kept (bytes, or with `clean` a string of whole characters)."""
+    row = F.struct(*[c for c in docs.columns if c != "text"])
+    texts = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
     found = texts.select("key", "text").mapInArrow(_anchor_rows(length, k), "a long, c long, key long, place long")
     shared = found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
     shared = cut(found.join(shared, "a"), "shared")
@@ -277,9 +279,17 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, c
     first = F.col("place").bitwiseAND(F.lit((1 << FIRST_BITS) - 1)) + F.col("start")
     windows = F.when(F.col("n") < 0, F.shiftright("place", FIRST_BITS).bitwiseAND(F.lit(255)) + 1).otherwise(F.col("n"))
     spans = shared.join(judged.union(whole), ["a", "c"]).groupBy("key").agg(F.collect_set(F.shiftleft(first, 9).bitwiseOR(windows)).alias("spans"))
-    kept = "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if clean else "binary")
-    return texts.join(spans, "key", "left").select(F.col("doc_id").cast("long"), "text", "spans").mapInArrow(_kept(length, clean), kept)
+    kept = T.StructType([texts.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if clean else T.BinaryType())])
+    return texts.join(spans, "key", "left").select("row", "text", "key", "spans").mapInArrow(_kept(length, clean), kept)
+
+
+def clean_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs with their columns; the text without repeated strings, and n_chars, if there is one, to match.
+    A null text stays null."""
+    found = suffix_array_dedup(docs.withColumn("null_text", F.col("text").isNull()), clean=True)
+    values = {"text": F.when(~F.col("row.null_text"), F.col("kept")), "n_chars": F.coalesce(F.length("kept"), F.lit(0)).cast("long")}
+    return found.select(*((values[c] if c in values else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir):
-    return suffix_array_dedup(load(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return suffix_array_dedup(load(spark, sf_dir, "documents")).select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
