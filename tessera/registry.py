@@ -1,11 +1,409 @@
-"""The library's queries over the driver's tables, with their SQL."""
+"""The library's queries over the driver's tables, with their SQL.
+
+The tables hold Latin text. Georgian rules run on them by a transliteration that query and SQL share, or with
+Latin rule tables as parameters.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.config import Settings
+from tessera.functions import chunking, metrics, safety, text, variants
+from tessera.operators import evaluation, lexicon, retrieval, selection
+from tessera.plans import correct, evaluate
+from tessera.sources import readers, writers
+
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+GEORGIAN = "აბცდეფგჰიჯკლმნოპქრსტუვწხყზ"
+FIXES = {"the": "this", "and": "und", "von": "vom", "les": "des", "que": "qui", "worthless": "valuable"}
+CONFUSED = {"a": "eo", "e": "i", "t": "dp", "s": "zc", "n": "m"}
+DROPPED = "rlns"
+PAIRS = [("and", "und"), ("that", "the")]
+MODEL = "stub"
+
+
+def load(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def georgian(c):
+    return F.translate(F.lower(c), LATIN, GEORGIAN)
+
+
+def in_latin(prompt: str) -> str:
+    """A stand-in for a model: the prompt's last line with one word changed; some prompts fail."""
+    last = prompt.rsplit("\n", 1)[-1]
+    if len(last) % 17 == 0:
+        raise RuntimeError("no answer")
+    words = last.split(" ")
+    words[len(last) % len(words)] += "ს"
+    return " ".join(words)
+
+
+def gate_reasons(spark, sf_dir):
+    """Every chunk's verdict at the gate."""
+    chunks = documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.chunks(georgian(F.col("text")))).alias("seg_idx", "chunk"))
+    return chunks.select("doc_id", "seg_idx", safety.gate(F.col("chunk")).alias("reason"))
+
+
+def gate_summary(spark, sf_dir):
+    return gate_reasons(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"))
+
+
+def word_counts(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.word_count(F.col("text")).alias("n_words"))
+
+
+def script_ratio(spark, sf_dir):
+    t = georgian(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", F.round(text.script_ratio(t), 6).alias("gate_ratio"), F.round(text.letter_ratio(t), 6).alias("retrieval_ratio"))
+
+
+def _parts(df, column):
+    return df.select("doc_id", F.posexplode(column).alias("place", "part"))
+
+
+def sentence_split(spark, sf_dir):
+    return _parts(documents(spark, sf_dir), chunking.sentences(F.col("text")))
+
+
+def chunk_docs(spark, sf_dir):
+    return _parts(documents(spark, sf_dir), chunking.chunks(F.col("text"), 800))
+
+
+def hard_split(spark, sf_dir):
+    return _parts(documents(spark, sf_dir), chunking.hard_split(text.strip(F.col("text")), 500))
+
+
+def token_fixes(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.fix_tokens(F.col("text"), FIXES).alias("fixed"))
+
+
+def vocabulary(spark, sf_dir):
+    words = F.filter(F.transform(text.tokens(F.lower(F.col("text"))), text.core), lambda w: w.rlike("^[a-z]+$"))
+    return load(spark, sf_dir, "conversations").select(F.explode(words).alias("word")).distinct()
+
+
+def variants_substitution(spark, sf_dir):
+    return vocabulary(spark, sf_dir).select("word", F.array_join(variants.substitutions(F.col("word"), CONFUSED), " ").alias("variants"))
+
+
+def variants_insertion(spark, sf_dir):
+    return vocabulary(spark, sf_dir).select("word", F.array_join(variants.insertions(F.col("word"), DROPPED), " ").alias("variants"))
+
+
+def variants_deletion(spark, sf_dir):
+    return vocabulary(spark, sf_dir).select("word", F.array_join(variants.deletions(F.col("word")), " ").alias("variants"))
+
+
+def lexicon_build(spark, sf_dir):
+    """The lexicon of the benchmark's words and the pages' links."""
+    words = load(spark, sf_dir, "benchmark").select(F.explode(F.transform(text.words(F.lower(F.col("text"))), text.core)).alias("value"))
+    linked = readers.page_words(load(spark, sf_dir, "pages"), pattern=r'href="(/[^"]+)"', prefix="/")
+    return lexicon.merge(lexicon.lexicon_of_lines(words), lexicon.lexicon_of_lines(linked.withColumnRenamed("word", "value")))
+
+
+def sorted_lexicon(spark, sf_dir):
+    order = Window.orderBy(F.lower("word"), "word")
+    return lexicon_build(spark, sf_dir).select("word", F.row_number().over(order).alias("place"))
+
+
+def html_word_links(spark, sf_dir):
+    words = readers.linked_words(F.col("html"), r'href="(/[^"]+)"', "/")
+    return load(spark, sf_dir, "pages").select("page_id", F.explode(words).alias("word"))
+
+
+def _cores(spark, sf_dir):
+    found = F.array_distinct(F.transform(text.words(F.lower(F.col("text"))), text.core))
+    return documents(spark, sf_dir).select("doc_id", F.explode(found).alias("core")).where("core <> ''")
+
+
+def oov_tokens(spark, sf_dir):
+    return lexicon.unknown(_cores(spark, sf_dir), lexicon_build(spark, sf_dir))
+
+
+def lexicon_rescore(spark, sf_dir):
+    return lexicon.replacements(_cores(spark, sf_dir), lexicon_build(spark, sf_dir), confusions=CONFUSED, letters=DROPPED)
+
+
+def lexicon_rescored_documents(spark, sf_dir):
+    df = documents(spark, sf_dir).select("doc_id", F.lower("text").alias("working"))
+    return lexicon.rescored(df, lexicon_build(spark, sf_dir), ["doc_id"], preserve=None, confusions=CONFUSED, letters=DROPPED).select("doc_id", F.col("working").alias("rescored"))
+
+
+def _turn_pairs(spark, sf_dir):
+    """Each turn with the next of its conversation; characters beyond ASCII as one question mark each."""
+    plain = F.regexp_replace(text.normalized(F.col("text")), r"[^\x00-\x7f]", "?")
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", plain.alias("reference_text"))
+    following = F.lead("reference_text").over(Window.partitionBy("conv_id").orderBy("turn", "reference_text"))
+    return turns.withColumn("prediction", following).where("prediction is not null")
+
+
+def cer_pairs(spark, sf_dir):
+    cer = F.round(metrics.cer(F.col("reference_text"), F.col("prediction")), 9)
+    return _turn_pairs(spark, sf_dir).select("conv_id", "turn", cer.alias("cer"))
+
+
+def wer_pairs(spark, sf_dir):
+    r, p = F.col("reference_text"), F.col("prediction")
+    return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.wer(r, p), 9).alias("wer"), F.round(metrics.wer(r, p, metrics.word_distance_native), 9).alias("wer_native"))
+
+
+def eval_rows(spark, sf_dir):
+    """Row metrics of turns as predictions of the next."""
+    return evaluation.scored(_turn_pairs(spark, sf_dir).withColumn("execution_time_s", F.col("turn") / 4.0)).select("conv_id", "turn", "wer", "cer", "output_tokens", "tokens_per_second")
+
+
+def eval_summary(spark, sf_dir):
+    """The summary of turns with rates that SQL can form: characters and words by length."""
+    pairs = _turn_pairs(spark, sf_dir)
+    n, m = text.word_count(F.col("reference_text")), text.word_count(F.col("prediction"))
+    rows = pairs.select(F.abs(n - m).alias("d"), n.alias("n"), metrics.cer(F.col("reference_text"), F.col("prediction")).alias("cer"), m.alias("output_tokens"), (F.col("turn") / 4.0).alias("execution_time_s"))
+    rows = rows.select((F.col("d") / F.greatest(F.col("n"), F.lit(1))).alias("wer"), "cer", "execution_time_s", metrics.tokens_per_second(F.col("output_tokens"), F.col("execution_time_s")).alias("tokens_per_second"))
+    found = evaluation.summary(rows)
+    return found.select("rows_processed", *(F.round(c, 6).alias(c) for c in found.columns if c != "rows_processed"))
+
+
+def speech_summary(spark, sf_dir):
+    """Long turns count as failed rows."""
+    n = text.word_count(F.col("text"))
+    rows = load(spark, sf_dir, "conversations").select(
+        (n / 100).alias("wer"), (F.length("text") / 1000).alias("cer"), (F.col("turn") / 2.0).alias("execution_time_s"), (n + 35).alias("prompt_tokens"), n.alias("output_tokens"), (2 * n + 35).alias("total_tokens"), F.when(n > 60, "too long").otherwise("").alias("error")
+    )
+    found = evaluation.speech_summary(rows, 3)
+    return found.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) for c, t in found.dtypes))
+
+
+def _edits(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.col("text").alias("original"), text.fix_tokens(F.regexp_replace("text", "[.]$", ""), FIXES).alias("candidate"))
+
+
+def safety_structural(spark, sf_dir):
+    v = safety.verdict(F.col("original"), F.col("candidate"), None, pairs=PAIRS)
+    return _edits(spark, sf_dir).select("doc_id", v.alias("v")).select("doc_id", "v.accepted", "v.reason")
+
+
+def safety_full(spark, sf_dir):
+    return safety.with_verdict(_edits(spark, sf_dir), "original", "candidate", pairs=PAIRS).select("doc_id", "accepted", "reason", "ratio")
+
+
+def ambiguous_swap(spark, sf_dir):
+    pairs = _parts(documents(spark, sf_dir), chunking.sentences(F.col("text")))
+    return pairs.select("doc_id", "place", safety.ambiguous_swap(F.col("part"), text.fix_tokens(F.col("part"), FIXES), PAIRS).alias("swap"))
+
+
+def resume_pending(spark, sf_dir):
+    return selection.pending(documents(spark, sf_dir).select("doc_id"), load(spark, sf_dir, "labels"), "doc_id")
+
+
+def row_limit(spark, sf_dir):
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text", "role")
+    return selection.first_rows(rows, ["conv_id", "turn"], 100, selection.non_blank("text", "role")).select("conv_id", "turn")
+
+
+def seeded_sample(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("ordinal"))
+    return selection.seeded_sample(rows, "ordinal", rows.count(), 100, 42).select("doc_id")
+
+
+def tfidf_top1(spark, sf_dir):
+    found = retrieval.top1(load(spark, sf_dir, "benchmark"), documents(spark, sf_dir), "item_id", "doc_id")
+    return found.select("item_id", "doc_id", F.round("similarity", 6).alias("similarity"))
+
+
+def must_contain(spark, sf_dir):
+    needles = F.array(F.lit("The "), F.lit("ER"))
+    return documents(spark, sf_dir).select("doc_id", text.contains_all(F.col("text"), needles).alias("ok"), text.preview(F.col("text")).alias("preview"))
+
+
+def token_estimate(spark, sf_dir):
+    rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("stem"), (F.length("text") / 16.0).alias("seconds"), F.length("text").alias("wav_bytes"), F.col("text").alias("reference_text"))
+    return evaluate.dry_run(rows).select("stem", "ref_words", "est_prompt_tokens", "est_output_tokens", "est_total_tokens")
+
+
+def correct_documents(spark, sf_dir):
+    found = correct.correct_documents(documents(spark, sf_dir), Settings(use_llm=False), fixes=FIXES)
+    return found.select("doc_id", "text", F.size("segments").alias("n_segments"))
+
+
+def segment_trace(spark, sf_dir):
+    found = correct.corrected_segments(documents(spark, sf_dir), Settings(use_llm=False), fixes=FIXES)
+    return writers.trace(found)
+
+
+def _georgian_documents(spark, sf_dir):
+    return documents(spark, sf_dir).withColumn("text", georgian(F.col("text")))
+
+
+def correct_documents_llm_stub(spark, sf_dir):
+    found = correct.correct_documents(_georgian_documents(spark, sf_dir), Settings(), client=in_latin)
+    return correct.flags(found).select("doc_id", "text", "llm_attempted", "llm_applied", writers.report_json(MODEL).alias("report"))
+
+
+def evaluate_manifest(spark, sf_dir):
+    rows = _turn_pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("row_index"), F.col("reference_text").alias("stt_input"), F.col("prediction").alias("reference_text"))
+    return evaluate.evaluate_pairs(rows, Settings(use_llm=False), fixes=FIXES).drop("execution_time_s", "tokens_per_second")
+
+
+def evaluate_retrieval(spark, sf_dir):
+    tasks = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("question"), F.array(F.lit("th")).alias("must_contain"))
+    rows = evaluate.evaluate_retrieval(tasks, documents(spark, sf_dir).withColumnRenamed("doc_id", "chunk_idx"), lambda p: p.upper(), MODEL)
+    return evaluate.retrieval_summary(rows).drop("avg_latency_s")
+
+
+_QUERIES = [
+    gate_summary, gate_reasons, word_counts, script_ratio, sentence_split, chunk_docs, hard_split, token_fixes, variants_substitution,
+    variants_insertion, variants_deletion, lexicon_build, sorted_lexicon, html_word_links, oov_tokens, lexicon_rescore, lexicon_rescored_documents,
+    cer_pairs, wer_pairs, eval_rows, eval_summary, speech_summary, safety_structural, safety_full, ambiguous_swap, resume_pending, row_limit,
+    seeded_sample, tfidf_top1, must_contain, token_estimate, correct_documents, segment_trace, correct_documents_llm_stub, evaluate_manifest,
+    evaluate_retrieval,
+]
+
 
 def queries() -> dict:
-    return {}
+    return {q.__name__: q for q in _QUERIES}
+
+
+def _fixed(t: str, table: dict[str, str] = FIXES) -> str:
+    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table.items())
+    core = "regexp_replace(w, '[.,!?…]+$', '')"
+    return f"array_to_string(list_transform(regexp_extract_all({t}, '\\s+|\\S+'), lambda w: (CASE {core} {cases} ELSE {core} END) || regexp_extract(w, '[.,!?…]*$')), '')"
+
+
+_GEORGIAN = f"translate(lower(text), '{LATIN}', '{GEORGIAN}')"
+_STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
+
+
+def _sentences(t: str) -> str:
+    return rf"list_filter(string_split(regexp_replace({_STRIP.format(t)}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
+
+
+def _slices(t: str, n: int) -> str:
+    return f"list_filter(list_transform(range(0, length({t}), {n}), lambda i: {_STRIP.format(f'substr({t}, i + 1, {n})')}), lambda s: s <> '')"
+
+
+def _chunks(t: str, n: int = 800) -> str:
+    """Chunks apart by chr(2) while they are made."""
+    step = f"CASE WHEN length(string_split(a, chr(2))[-1]) + 1 + length(s) <= {n} THEN a || ' ' || s ELSE a || chr(2) || s END"
+    made = f"CASE WHEN len({_sentences(t)}) = 0 THEN [] ELSE string_split(list_reduce({_sentences(t)}, lambda a, s: {step}), chr(2)) END"
+    return f"flatten(list_transform({made}, lambda c: CASE WHEN length(c) <= {n} THEN [c] ELSE {_slices('c', n)} END))"
+
+
+def _listed(array: str, name: str = "part", table: str = "documents") -> str:
+    return f"SELECT doc_id, unnest(range(0, len(l)))::INT AS place, unnest(l) AS {name} FROM (SELECT doc_id, {array} AS l FROM {table})"
+
+
+def _ratio(t: str, letters: str, both: bool) -> str:
+    n = rf"length(regexp_replace({t}, '[^\p{{L}}]', '', 'g'))"
+    inner = rf"regexp_replace({t}, '[^\p{{L}}]', '', 'g')" if both else t
+    return f"CASE WHEN {n} = 0 THEN {1.0 if both else 0.0} ELSE length(regexp_replace({inner}, '[^{letters}]', '', 'g')) / {n} END"
+
+
+_N = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
+_GATED = f"""SELECT doc_id, place AS seg_idx, CASE WHEN part = '' THEN 'empty' WHEN {_N.format("part")} < 2 THEN 'too_few_words'
+ WHEN {_ratio("part", text.GATE_LETTERS, False)} < 0.55 THEN 'low_georgian_letter_ratio'
+ WHEN {_N.format("part")} = 2 AND length(part) < 12 THEN 'very_short_two_token' ELSE 'ok' END AS reason FROM ({_listed(_chunks(_GEORGIAN))})"""
+
+_VOCABULARY = r"""SELECT DISTINCT word FROM (SELECT unnest(list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''),
+ lambda w: regexp_replace(w, '[.,!?…]+$', ''))) AS word FROM conversations) WHERE regexp_matches(word, '^[a-z]+$')"""
+
+
+def _alternatives() -> str:
+    from tessera.functions.rules import symmetric
+
+    return "CASE substr(word, i, 1) " + " ".join(f"WHEN '{a}' THEN {b}" for a, b in symmetric(CONFUSED).items()) + " ELSE [] END"
+
+
+def _variants(word: str, kind: str, limit: int) -> str:
+    """Order-keeping distinct list of one-edit variants."""
+    made = {
+        "sub": f"list_transform(range(1, length(word) + 1), lambda i: list_transform({_alternatives()}, lambda x: substr(word, 1, i - 1) || x || substr(word, i + 1)))",
+        "ins": f"list_transform(range(1, length(word) + 2), lambda i: list_transform({list(DROPPED)}, lambda x: substr(word, 1, i - 1) || x || substr(word, i)))",
+        "del": "CASE WHEN length(word) < 2 THEN [] ELSE list_transform(range(1, length(word) + 1), lambda i: [substr(word, 1, i - 1) || substr(word, i + 1)]) END",
+    }[kind].replace("word", word)
+    return f"list_reduce(list_prepend([], list_transform(flatten({made}), lambda v: [v])), lambda a, v: CASE WHEN list_contains(a, v[1]) THEN a ELSE list_concat(a, v) END)[1:{limit}]"
+
+
+_LINKS = r"""SELECT DISTINCT page_id, url_decode(replace(substr(x, 2), '+', '%2B')) AS word
+ FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"]+)"', 1)) AS x FROM pages) WHERE length(x) > 1"""
+_LEXICON = rf"""SELECT DISTINCT {_STRIP.format("word")} AS word FROM (
+ SELECT unnest(list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '[.,!?…]+$', ''))) AS word FROM benchmark
+ UNION ALL SELECT word FROM ({_LINKS})) WHERE {_STRIP.format("word")} <> '' AND NOT starts_with({_STRIP.format("word")}, '#')"""
+_CORES = r"""SELECT DISTINCT doc_id, core FROM (SELECT doc_id, unnest(list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''),
+ lambda w: regexp_replace(w, '[.,!?…]+$', ''))) AS core FROM documents) WHERE core <> ''"""
+_BEST = f"""SELECT core, min(v) AS best FROM (SELECT core, unnest(list_concat({_variants("core", "sub", 96)}, {_variants("core", "ins", 220)}, {_variants("core", "del", 64)})) AS v
+ FROM (SELECT DISTINCT core FROM cores WHERE length(core) >= 5 AND core NOT IN (SELECT word FROM lex))) WHERE v IN (SELECT word FROM lex) GROUP BY core"""
+_WITH = f"WITH lex AS MATERIALIZED ({_LEXICON}), cores AS MATERIALIZED ({_CORES}), best AS MATERIALIZED ({_BEST})"
+_PAIRS = rf"""SELECT * FROM (SELECT conv_id, turn, r AS reference_text, lead(r) OVER (PARTITION BY conv_id ORDER BY turn, r) AS prediction
+ FROM (SELECT conv_id, turn, regexp_replace({_STRIP.format("coalesce(text, '')")}, '[^\x00-\x7f]', '?', 'g') AS r FROM conversations)) WHERE prediction IS NOT NULL"""
+_CER = "CASE WHEN length(reference_text) = 0 THEN CASE WHEN length(prediction) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(reference_text, prediction) / length(reference_text) END"
+_WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
+_SWAPS = " OR ".join(f"(d[1].a = '{x}' AND d[1].b = '{y}')" for p in PAIRS for x, y in (p, p[::-1]))
+_DIFFS = "list_filter(list_transform(range(1, least(len({0}), len({1})) + 1), lambda i: {{'a': {0}[i], 'b': {1}[i]}}), lambda p: p.a <> p.b)"
+_END = r"regexp_replace({0}, '[\s.!?…]+$', '')"
+_EDITS = rf"""SELECT doc_id, {_STRIP.format("text")} AS o, {_STRIP.format(_fixed("regexp_replace(text, '[.]$', '')"))} AS c FROM documents"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    median = "round(median({0}), 6)"
+    return {
+        "gate_reasons": _GATED,
+        "gate_summary": f"SELECT reason, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM ({_GATED}) GROUP BY reason",
+        "word_counts": f"SELECT doc_id, {_N.format('text')}::INT AS n_words FROM documents",
+        "script_ratio": f"SELECT doc_id, round({_ratio('t', text.GATE_LETTERS, False)}, 6) AS gate_ratio, round({_ratio('t', text.RETRIEVAL_LETTERS, True)}, 6) AS retrieval_ratio FROM (SELECT doc_id, {_GEORGIAN} AS t FROM documents)",
+        "sentence_split": _listed(_sentences("text")),
+        "chunk_docs": _listed(_chunks("text")),
+        "hard_split": _listed(_slices("t", 500), table=f"(SELECT doc_id, {_STRIP.format('text')} AS t FROM documents)"),
+        "token_fixes": f"SELECT doc_id, {_fixed('text')} AS fixed FROM documents",
+        "variants_substitution": f"SELECT word, array_to_string({_variants('word', 'sub', 96)}, ' ') AS variants FROM ({_VOCABULARY})",
+        "variants_insertion": f"SELECT word, array_to_string({_variants('word', 'ins', 220)}, ' ') AS variants FROM ({_VOCABULARY})",
+        "variants_deletion": f"SELECT word, array_to_string({_variants('word', 'del', 64)}, ' ') AS variants FROM ({_VOCABULARY})",
+        "lexicon_build": _LEXICON,
+        "sorted_lexicon": f"SELECT word, row_number() OVER (ORDER BY lower(word), word)::INT AS place FROM ({_LEXICON})",
+        "html_word_links": _LINKS,
+        "oov_tokens": f"{_WITH} SELECT DISTINCT core FROM cores WHERE core NOT IN (SELECT word FROM lex)",
+        "lexicon_rescore": f"{_WITH} SELECT core, best FROM best",
+        "lexicon_rescored_documents": rf"""{_WITH}, t AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '\s+|\S+') AS l FROM documents))
+ SELECT doc_id, string_agg(coalesce(best, k) || regexp_extract(w, '[.,!?…]*$'), '' ORDER BY i) AS rescored
+ FROM (SELECT *, regexp_replace(w, '[.,!?…]+$', '') AS k FROM t) LEFT JOIN best ON k = core GROUP BY doc_id""",
+        "cer_pairs": f"SELECT conv_id, turn, round({_CER}, 9) AS cer FROM ({_PAIRS})",
+        "eval_summary": f"""SELECT count(*) AS rows_processed, round(avg(wer), 6) AS average_wer, round(avg(cer), 6) AS average_cer, round(avg(s), 6) AS average_execution_time_s,
+ round(avg(tps), 6) AS average_tokens_per_second, {median.format("s")} AS median_execution_time_s, {median.format("tps")} AS median_tokens_per_second
+ FROM (SELECT abs({_N.format("reference_text")} - {_N.format("prediction")}) / greatest({_N.format("reference_text")}, 1) AS wer, {_CER} AS cer, turn / 4 AS s,
+ CASE WHEN turn > 0 THEN {_N.format("prediction")} / (turn / 4) ELSE 0 END AS tps FROM ({_PAIRS}))""",
+        "speech_summary": f"""SELECT count(*) AS rows_processed, count(*) FILTER (n <= 60) AS rows_scored, count(*) FILTER (n > 60) AS rows_failed, 3::BIGINT AS rows_skipped_resume,
+ round(avg(w), 6) AS average_wer, {median.format("w")} AS median_wer, round(avg(c), 6) AS average_cer, {median.format("c")} AS median_cer, round(avg(s), 6) AS average_execution_time_s,
+ sum(p)::BIGINT AS total_prompt_tokens, sum(o)::BIGINT AS total_output_tokens, sum(p + o)::BIGINT AS total_tokens, round(sum(s), 6) AS total_execution_time_s
+ FROM (SELECT n, CASE WHEN n <= 60 THEN n / 100 END AS w, CASE WHEN n <= 60 THEN length(text) / 1000 END AS c, CASE WHEN n <= 60 THEN turn / 2 END AS s,
+ CASE WHEN n <= 60 THEN n + 35 END AS p, CASE WHEN n <= 60 THEN n END AS o FROM (SELECT *, {_N.format("text")} AS n FROM conversations))""",
+        "safety_structural": f"""SELECT doc_id, reason IN ('unchanged', 'ok') AS accepted, reason FROM (SELECT doc_id, CASE WHEN c = '' THEN 'empty_output' WHEN o = c THEN 'unchanged'
+ WHEN {_END.format("o")} = {_END.format("c")} THEN 'trailing_punctuation_only' WHEN length(c) > 1.3 * length(o) + 8 THEN 'output_much_longer'
+ WHEN len(ow) >= 6 AND len(cw) > len(ow) + 4 THEN 'many_extra_words'
+ WHEN len(ow) = len(cw) AND len(d) = 1 AND length(d[1].a) <= 5 AND length(d[1].b) >= length(d[1].a) + 2 THEN 'single_token_expansion'
+ WHEN least(len(ow), len(cw)) > 0 AND (len(d) + abs(len(ow) - len(cw))) / greatest(len(ow), 1) > 0.70 THEN 'too_many_tokens_changed'
+ WHEN len(ew) = len(fw) AND len(e) = 1 AND ({_SWAPS.replace("d[1]", "e[1]")}) THEN 'ambiguous_equivalent_morphology' ELSE 'ok' END AS reason
+ FROM (SELECT *, {_DIFFS.format("ow", "cw")} AS d, {_DIFFS.format("ew", "fw")} AS e FROM (SELECT *, {_WORDS.format("o")} AS ow, {_WORDS.format("c")} AS cw,
+ {_WORDS.format(_END.format("o"))} AS ew, {_WORDS.format(_END.format("c"))} AS fw FROM ({_EDITS}))))""",
+        "ambiguous_swap": f"""SELECT doc_id, place, len(x) = len(y) AND len(d) = 1 AND coalesce({_SWAPS}, false) AS swap FROM (SELECT *, {_DIFFS.format("x", "y")} AS d
+ FROM (SELECT doc_id, place, {_WORDS.format("part")} AS x, {_WORDS.format(_fixed("part"))} AS y FROM ({_listed(_sentences("text"))})))""",
+        "resume_pending": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+        "row_limit": "SELECT conv_id, turn FROM conversations WHERE coalesce(text, '') <> '' OR coalesce(role, '') <> '' ORDER BY conv_id, turn LIMIT 100",
+        "tfidf_top1": r"""WITH c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY ALL),
+ idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term),
+ cw AS (SELECT doc_id, term, tf * idf / sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY doc_id)) AS w FROM c JOIN idf USING (term)),
+ q AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM benchmark) GROUP BY ALL),
+ qw AS (SELECT item_id, term, tf * idf / sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY item_id)) AS w FROM q JOIN idf USING (term)),
+ s AS (SELECT item_id, doc_id, round(sum(cw.w * qw.w), 9) AS sim FROM cw JOIN qw USING (term) GROUP BY ALL),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) = 1)
+ SELECT item_id, coalesce(doc_id, (SELECT min(doc_id) FROM documents)) AS doc_id, round(coalesce(sim, 0), 6) AS similarity FROM benchmark LEFT JOIN b USING (item_id)""",
+        "must_contain": "SELECT doc_id, contains(lower(text), 'the ') AND contains(lower(text), 'er') AS ok, CASE WHEN length(text) > 280 THEN left(text, 280) || '…' ELSE text END AS preview FROM documents",
+        "token_estimate": f"SELECT doc_id::VARCHAR AS stem, n AS ref_words, p AS est_prompt_tokens, o AS est_output_tokens, p + o AS est_total_tokens FROM (SELECT doc_id, {_N.format('text')}::INT AS n, (35 + 2 * length(text))::INT AS p, greatest(40, {_N.format('text')} + 5)::INT AS o FROM documents)",
+        "correct_documents": f"SELECT doc_id, {_STRIP.format(_fixed('t'))} AS text, n AS n_segments FROM (SELECT doc_id, array_to_string({_chunks('text')}, ' ') AS t, len({_chunks('text')})::INT AS n FROM documents)",
+        "segment_trace": f"SELECT doc_id, place AS seg_idx, '[' || place || '] SKIP ollama_disabled' AS line FROM ({_listed(_chunks('text'))})",
+    }
