@@ -170,7 +170,7 @@ def records(read, start: int, end: int, size: int) -> Iterator[tuple[int, dict]]
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, payload binary"
 
 
-def _reader(payloads: bool):
+def _reader(payloads: bool, split: int):
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
     names = [x.split()[0] for x in _READ.split(", ")]
 
@@ -179,7 +179,7 @@ def _reader(payloads: bool):
             for path, size, start in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "start")), strict=True):
                 files, name = file_system(path)
                 with files.open_input_file(name) as f:
-                    for at, r in records(lambda at, n, f=f: f.read_at(min(n, size - at), at), start, min(size, start + SPLIT), size):  # noqa: B023
+                    for at, r in records(lambda at, n, f=f: f.read_at(min(n, size - at), at), start, min(size, start + split), size):  # noqa: B023
                         stored = base64.b32decode(r["warc-payload-digest"].removeprefix("sha1:")).hex()
                         response = r["warc-type"] == "response"
                         if response and (hashlib.sha1(r["payload"]).hexdigest() != stored or len(r["payload"]) != int(r["x-payload-length"])):
@@ -201,12 +201,12 @@ def _reader(payloads: bool):
     return run
 
 
-def read_warc(spark: SparkSession, files: list[tuple[str, int]], payloads: bool = True) -> DataFrame:
-    """A row for each record of the archives, a task for each SPLIT bytes; payloads only of responses, and only on demand."""
+def read_warc(spark: SparkSession, files: list[tuple[str, int]], payloads: bool = True, split: int = SPLIT) -> DataFrame:
+    """A row for each record of the archives, a task for each `split` bytes; payloads only of responses, and only on demand."""
     splits = spark.createDataFrame(files or [("", 0)], "path string, size long").where("size > 0")
-    splits = splits.select("path", "size", F.explode(F.expr(f"sequence(0L, size - 1, {SPLIT}L)")).alias("start"))
-    count = max(1, sum(-(-size // SPLIT) for _, size in files))
-    return splits.repartition(min(count, 10_000)).mapInArrow(_reader(payloads), _READ)
+    splits = splits.select("path", "size", F.explode(F.expr(f"sequence(0L, size - 1, {split}L)")).alias("start"))
+    count = max(1, sum(-(-size // split) for _, size in files))
+    return splits.repartition(min(count, 10_000)).mapInArrow(_reader(payloads, split), _READ)
 
 
 def query(spark, sf_dir):
