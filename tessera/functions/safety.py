@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,30 +49,30 @@ def ambiguous_swap(a: Column, b: Column, pairs: list[tuple[str, str]] = AMBIGUOU
     return (F.size(x) == F.size(y)) & (F.size(d) == 1) & F.array_contains(listed, F.array_sort(F.array(F.try_element_at(d, F.lit(1)).a, F.try_element_at(d, F.lit(1)).b)))
 
 
-def verdict(original: Column, candidate: Column, ratio: Column | None, min_ratio: float = 0.75, max_relative: float = 1.30, pairs: list[tuple[str, str]] = AMBIGUOUS_PAIRS) -> Column:
-    """struct(accepted, reason); first rule wins. ratio: sequence_ratio of both without sentence ends, or None to leave that rule out."""
-    o, c = strip(original), strip(candidate)
-    oc, cc = strip_sentence_end(o), strip_sentence_end(c)
-    ow, cw = words(o), words(c)
-    n, m, d = F.size(ow), F.size(cw), differences(ow, cw)
-    one = F.try_element_at(d, F.lit(1))
-    expansion = (n == m) & (F.size(d) == 1) & (F.length(one.a) <= 5) & (F.length(one.b) >= F.length(one.a) + 2)
-    reason = F.when(c == "", "empty_output").when(o == c, "unchanged").when(oc == cc, "trailing_punctuation_only")
-    if ratio is not None:
-        reason = reason.when(ratio < min_ratio, F.concat(F.lit("sequence_ratio_low:"), F.format_string("%.3f", ratio)))
+def with_verdict(df: DataFrame, original: str, candidate: str, min_ratio: float = 0.75, max_relative: float = 1.30, pairs: list[tuple[str, str]] = AMBIGUOUS_PAIRS, structural: bool = False) -> DataFrame:
+    """df with accepted, reason and ratio; the first rule that holds decides. The ratio is null where an earlier rule
+    decides, and is left out, rule and column, if `structural`. Texts' parts are columns of their own while the
+    rules are judged, so that each is made once."""
+    parts = {"_o": strip(F.col(original)), "_c": strip(F.col(candidate))}
+    df = df.withColumns(parts).withColumns({"_oe": strip_sentence_end(F.col("_o")), "_ce": strip_sentence_end(F.col("_c"))})
+    df = df.withColumn("_early", F.when(F.col("_c") == "", "empty_output").when(F.col("_o") == F.col("_c"), "unchanged").when(F.col("_oe") == F.col("_ce"), "trailing_punctuation_only"))
+    if not structural:
+        late = F.col("_early").isNull()
+        df = df.withColumn("ratio", sequence_ratio(F.when(late, F.col("_oe")), F.when(late, F.col("_ce"))))
+    df = df.withColumns({"_ow": words(F.col("_o")), "_cw": words(F.col("_c"))}).withColumn("_d", differences(F.col("_ow"), F.col("_cw")))
+    n, m, d = F.size("_ow"), F.size("_cw"), F.size("_d")
+    one = F.try_element_at("_d", F.lit(1))
+    expansion = (n == m) & (d == 1) & (F.length(one.a) <= 5) & (F.length(one.b) >= F.length(one.a) + 2)
+    reason = F.when(F.col("_early").isNotNull(), F.col("_early"))
+    if not structural:
+        reason = reason.when(F.col("ratio") < min_ratio, F.concat(F.lit("sequence_ratio_low:"), F.format_string("%.3f", F.col("ratio"))))
     reason = (
-        reason.when(F.length(c) > max_relative * F.length(o) + 8, "output_much_longer")
+        reason.when(F.length("_c") > max_relative * F.length("_o") + 8, "output_much_longer")
         .when((n >= 6) & (m > n + 4), "many_extra_words")
         .when(expansion, "single_token_expansion")
-        .when((F.least(n, m) > 0) & ((F.size(d) + F.abs(n - m)) / F.greatest(n, F.lit(1)) > 0.70), "too_many_tokens_changed")
-        .when(ambiguous_swap(oc, cc, pairs), "ambiguous_equivalent_morphology")
+        .when((F.least(n, m) > 0) & ((d + F.abs(n - m)) / F.greatest(n, F.lit(1)) > 0.70), "too_many_tokens_changed")
+        .when(ambiguous_swap(F.col("_oe"), F.col("_ce"), pairs), "ambiguous_equivalent_morphology")
         .otherwise("ok")
     )
-    return F.struct(reason.isin("unchanged", "ok").alias("accepted"), reason.alias("reason"))
-
-
-def with_verdict(df, original: str, candidate: str, **limits):
-    """df with accepted, reason and ratio; the ratio is one Arrow pass."""
-    ratio = sequence_ratio(strip_sentence_end(strip(F.col(original))), strip_sentence_end(strip(F.col(candidate))))
-    df = df.withColumn("ratio", ratio)
-    return df.withColumn("v", verdict(F.col(original), F.col(candidate), F.col("ratio"), **limits)).withColumns({"accepted": F.col("v.accepted"), "reason": F.col("v.reason")}).drop("v")
+    df = df.withColumn("reason", reason).drop("_o", "_c", "_oe", "_ce", "_early", "_ow", "_cw", "_d")
+    return df.withColumn("accepted", F.col("reason").isin("unchanged", "ok"))

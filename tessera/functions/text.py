@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WHITE = r"\p{IsWhite_Space}\x1c-\x1f"
+WHITE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 #: Mkhedruli, Asomtavruli and Mtavruli blocks, by letter gate and by retrieval.
 GATE_LETTERS, RETRIEVAL_LETTERS = r"Ⴀ-ჿᲐ-Ჿ", r"Ⴀ-ჿ"
 TRAILING, SENTENCE_FINAL = ".,!?…", ".!?…"
@@ -24,7 +25,7 @@ def nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+\\z", "")
+    return F.btrim(c, F.lit(WHITE_CHARS))
 
 
 def normalized(c: Column) -> Column:
@@ -50,15 +51,15 @@ def is_space(token: Column) -> Column:
 
 
 def core(token: Column) -> Column:
-    return F.regexp_replace(token, f"[{TRAILING}]+\\z", "")
+    return F.rtrim(token, F.lit(TRAILING))
 
 
 def trail(token: Column) -> Column:
-    return F.regexp_extract(token, f"[{TRAILING}]*\\z", 0)
+    return F.substring(token, F.length(core(token)) + 1, F.length(token))
 
 
 def strip_sentence_end(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{WHITE}{SENTENCE_FINAL}]+\\z", "")
+    return F.rtrim(c, F.lit(WHITE_CHARS + SENTENCE_FINAL))
 
 
 def count_chars(c: Column, cls: str) -> Column:

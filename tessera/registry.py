@@ -185,8 +185,7 @@ def _edits(spark, sf_dir):
 
 
 def safety_structural(spark, sf_dir):
-    v = safety.verdict(F.col("original"), F.col("candidate"), None, pairs=PAIRS)
-    return _edits(spark, sf_dir).select("doc_id", v.alias("v")).select("doc_id", "v.accepted", "v.reason")
+    return safety.with_verdict(_edits(spark, sf_dir), "original", "candidate", pairs=PAIRS, structural=True).select("doc_id", "accepted", "reason")
 
 
 def safety_full(spark, sf_dir):
