@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import variants
 from tessera.functions.rules import CONFUSIONS, DROPPED_LETTERS
 from tessera.functions.text import core, nfc, strip, tokens, trail
+from tessera.operators.spread import widened
 
 #: Cores of fewer letters are never replaced.
 MIN_LETTERS = 5
@@ -15,8 +16,8 @@ MIN_LETTERS = 5
 
 def lexicon_of_lines(lines: DataFrame) -> DataFrame:
     """lines(value): stripped, without blanks and # comments, NFC, distinct."""
-    line = strip(F.col("value"))
-    return lines.select(nfc(line).alias("word")).where((F.col("word") != "") & ~F.col("word").startswith("#")).distinct()
+    line = lines.select(strip(F.col("value")).alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
+    return line.distinct().select(nfc(F.col("line")).alias("word")).distinct()
 
 
 def read_lexicon(spark, path: str | None) -> DataFrame | None:
@@ -47,7 +48,7 @@ def replacements(cores: DataFrame, lexicon: DataFrame, confusions: dict[str, str
     """(core, best) for unknown cores of at least MIN_LETTERS. Each candidate is one edit away, so the
     nearest is the smallest candidate in the lexicon."""
     c = F.col("core")
-    odd = unknown(cores.where(F.length("core") >= MIN_LETTERS), lexicon)
+    odd = widened(unknown(cores.where(F.length("core") >= MIN_LETTERS), lexicon), "core")
     near = F.array_union(F.array_union(variants.substitutions(c, confusions), variants.insertions(c, letters)), variants.deletions(c))
     found = odd.select("core", F.explode(near).alias("word")).join(lexicon, "word", "left_semi")
     return found.groupBy("core").agg(F.min("word").alias("best"))

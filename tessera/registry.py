@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.config import Settings
 from tessera.functions import chunking, metrics, safety, text, variants
 from tessera.operators import evaluation, lexicon, retrieval, selection
+from tessera.operators.spread import spread
 from tessera.plans import correct, evaluate
 from tessera.sources import readers, writers
 
@@ -29,7 +30,7 @@ def load(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def georgian(c):
@@ -152,7 +153,7 @@ def cer_pairs(spark, sf_dir):
 
 def wer_pairs(spark, sf_dir):
     r, p = F.col("reference_text"), F.col("prediction")
-    return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.wer(r, p), 9).alias("wer"), F.round(metrics.wer(r, p, metrics.word_distance_native), 9).alias("wer_native"))
+    return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.wer(r, p), 9).alias("wer"))
 
 
 def eval_rows(spark, sf_dir):

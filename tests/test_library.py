@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import registry
 from tessera.config import Settings, load_settings
-from tessera.functions import rules, text
+from tessera.functions import metrics, rules, text
 from tessera.operators import evaluation, lexicon, retrieval, selection
 from tessera.plans import correct, evaluate
 from tessera.sources import readers, writers
@@ -235,8 +235,11 @@ def test_queries(spark, sql, small, name):
 
 
 def test_rates_of_turns(spark, small):
-    rows = registry.wer_pairs(spark, small).collect()
-    assert rows and all(r.wer == r.wer_native for r in rows)
+    """Both word distances on whole turns."""
+    pairs = registry._turn_pairs(spark, small).limit(20)
+    r, p = F.col("reference_text"), F.col("prediction")
+    rows = pairs.select(metrics.wer(r, p).alias("a"), metrics.wer(r, p, metrics.word_distance_native).alias("b")).collect()
+    assert rows and all(x.a == x.b for x in rows)
 
 
 def test_text_helpers(spark):
