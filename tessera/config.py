@@ -26,7 +26,7 @@ class Settings:
     use_heuristics: bool = True
 
 
-#: The environment's names.
+#: The environment's names.
 _VARIABLES = {
     "OLLAMA_HOST": ("llm_host", str),
     "OLLAMA_MODEL": ("llm_model", str),
@@ -37,8 +37,8 @@ _VARIABLES = {
     "MIN_SEQUENCE_RATIO": ("min_sequence_ratio", float),
     "MAX_RELATIVE_LENGTH": ("max_relative_length", float),
 }
-_TOGGLES = {"GEOSTT_LEXICON_ENABLE": "use_lexicon", "GEOSTT_OLLAMA": "use_llm", "GEOSTT_HEURISTICS": "use_heuristics"}
-_LEXICON, _DEFAULT_LEXICON = "GEOSTT_LEXICON", "data/ganmarteba_words.txt"
+_TOGGLES = {"TESSERA_LEXICON_ENABLE": "use_lexicon", "TESSERA_LLM": "use_llm", "TESSERA_HEURISTICS": "use_heuristics"}
+_LEXICON, _DEFAULT_LEXICON = "TESSERA_LEXICON", "data/words.txt"
 
 
 def load_settings(env: Mapping[str, str] = os.environ, root: str = ".") -> Settings:

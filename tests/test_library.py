@@ -26,9 +26,9 @@ def test_settings(tmp_path):
     s = load_settings({}, tmp_path)
     assert (s.llm_model, s.min_sequence_ratio, s.max_relative_length, s.lexicon_path) == ("gemma3:4b", 0.75, 1.30, None)
     (tmp_path / "data").mkdir()
-    (tmp_path / "data/ganmarteba_words.txt").write_text("ა")
-    assert load_settings({}, tmp_path).lexicon_path and load_settings({"GEOSTT_LEXICON": "None"}, tmp_path).lexicon_path is None
-    s = load_settings({"GEOSTT_OLLAMA": "0", "MAX_CHUNK_CHARS": "9"}, tmp_path)
+    (tmp_path / "data/words.txt").write_text("ა")
+    assert load_settings({}, tmp_path).lexicon_path and load_settings({"TESSERA_LEXICON": "None"}, tmp_path).lexicon_path is None
+    s = load_settings({"TESSERA_LLM": "0", "MAX_CHUNK_CHARS": "9"}, tmp_path)
     assert not s.use_llm and s.max_chunk_chars == 9 and s.use_heuristics
 
 
