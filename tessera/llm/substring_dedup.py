@@ -213,16 +213,16 @@ def substring_dedup(docs: DataFrame, length: int = WINDOW, k: int = ANCHOR) -> D
     texts = keyed(docs)
     rows = "a long, c long, doc_id long, place long"
     found = texts.where("doc_id is not null").select("doc_id", "text", "th").mapInArrow(anchor_rows(length, k), rows)
-    shared = found.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a")
-    shared = cut(found.join(shared, "a"), "shared")
+    anchors = cut(found.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a"), "anchors")
+    shared = cut(found.join(anchors, "a"), "shared")
     reps = shared.groupBy("a", "c").agg(F.min(F.struct("doc_id", "place")).alias("m")).select("a", "c", "m.doc_id", "m.place")
     reps = reps.groupBy(place_key().alias("key")).agg(F.collect_list(F.struct("a", "c", "place")).alias("reps"))
-    contexts_ = texts.join(reps, "key").select("doc_id", "text", "reps").mapInArrow(_context_words(length, k), "a long, c long, doc_id long, lead binary, tail binary")
+    contexts_ = texts.join(reps, "key").select("doc_id", "text", "th", "key", "reps").mapInArrow(_context_words(length, k), "a long, c long, doc_id long, lead binary, tail binary")
     judged = contexts_.repartition("a").sortWithinPartitions("a", "doc_id").mapInArrow(judge_shards(length - k + 1), "a long, c long, start long, n long, owner long")
     spans = shared.join(judged, ["a", "c"]).where("owner < doc_id")
     first = F.col("place").bitwiseAND(F.lit((1 << FIRST_BITS) - 1)) + F.col("start")
     spans = spans.groupBy(place_key().alias("key")).agg(F.collect_set(F.shiftleft(first, 8).bitwiseOR(F.col("n"))).alias("spans"))
-    return texts.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept string")
+    return texts.join(spans, "key", "left").select("doc_id", "text", "th", "key", "spans").mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(spark, sf_dir):
