@@ -268,12 +268,13 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, c
     row = F.struct(*[c for c in docs.columns if c != "text"])
     texts = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
     found = texts.select("key", "text").mapInArrow(_anchor_rows(length, k), "a long, c long, key long, place long")
-    shared = found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    shared = cut(found.join(shared, "a"), "shared")
+    anchors = cut(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors")
+    shared = cut(found.join(anchors, "a"), "shared")
     equal = shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("m"))
-    mixed = equal.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select("a")
+    equal = cut(equal, "equal")
+    mixed = cut(equal.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select("a"), "mixed")
     reps = equal.join(mixed, "a").groupBy("m.key").agg(F.collect_list(F.struct("a", "c", "n", "m.place")).alias("reps"))
-    kinds = texts.join(reps, "key").select("key", "text", "reps").mapInArrow(_context_bytes(length, k), "a long, c long, multiple boolean, windows long, lead binary, tail binary")
+    kinds = texts.join(reps, "key").select("row", "text", "key", "reps").mapInArrow(_context_bytes(length, k), "a long, c long, multiple boolean, windows long, lead binary, tail binary")
     judged = kinds.repartition("a").sortWithinPartitions("a").mapInArrow(_judge_shards(length - k + 1), "a long, c long, start long, n long")
     whole = equal.where("n > 1").select("a", "c", F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("n"))
     first = F.col("place").bitwiseAND(F.lit((1 << FIRST_BITS) - 1)) + F.col("start")
@@ -286,8 +287,9 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, c
 def clean_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs with their columns; the text without repeated strings, and n_chars, if there is one, to match.
     A null text stays null."""
-    found = suffix_array_dedup(docs.withColumn("null_text", F.col("text").isNull()), clean=True)
-    values = {"text": F.when(~F.col("row.null_text"), F.col("kept")), "n_chars": F.coalesce(F.length("kept"), F.lit(0)).cast("long")}
+    mark = next(x for x in (f"null_text{i or ''}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
+    found = suffix_array_dedup(docs.withColumn(mark, F.col("text").isNull()), clean=True)
+    values = {"text": F.when(~F.col(f"row.{mark}"), F.col("kept")), "n_chars": F.coalesce(F.length("kept"), F.lit(0)).cast("long")}
     return found.select(*((values[c] if c in values else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
