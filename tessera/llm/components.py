@@ -9,9 +9,10 @@ from tessera.llm.common import cut
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours link to its smallest neighbour, or to itself."""
+    """Each node's larger neighbours link to its smallest neighbour, or to itself. (The cut lets the join
+    divide the links of a hub.)"""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
