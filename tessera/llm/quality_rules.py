@@ -21,6 +21,8 @@ from tessera.llm.ngrams import SIZE, Sample, grams, learning_rows, platt, text_r
 
 SAMPLE = 4000
 STEPS = 60
+#: Rows of the sample whose n-grams are put together at a time.
+BLOCK = 250
 THRESHOLD = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 
@@ -67,24 +69,36 @@ class Regression:
         if len(set(y[fit].tolist())) < 2:
             fit[:] = True
         held = ~fit if not fit.all() else fit
-        size = np.array([len(i) for i in sample.idx])
-        row, idx, val = np.repeat(np.arange(len(y)), size), np.concatenate(sample.idx).astype(np.int64), np.concatenate(sample.share).astype(np.float64)
-        use = fit[row]
+        blocks = [slice(i, i + BLOCK) for i in range(0, len(y), BLOCK)]
+
+        def entries(block: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(row in the block, bucket, share) of a block, made anew each time: the driver holds the sample once."""
+            own = sample.idx[block]
+            return np.repeat(np.arange(len(own)), [len(i) for i in own]), np.concatenate(own), np.concatenate(sample.share[block])
+
         # A gram's shares are divided by the root of their mean, so that rare ones weigh more.
-        mean = np.bincount(idx[use], val[use], SIZE) / fit.sum()
+        mean = np.zeros(SIZE)
+        for block in blocks:
+            row, idx, val = entries(block)
+            mean += np.bincount(idx, val * fit[block][row], SIZE)
+        mean /= fit.sum()
         scale = np.where(mean > 0, 1 / np.sqrt(mean + 1e-6), 0.0)
-        fi, fr, fv = idx[use], (np.cumsum(fit) - 1)[row[use]], val[use] * scale[idx[use]]
-        target, n = y[fit].astype(float), int(fit.sum())
-        w, b = np.zeros(SIZE), 0.0
+        w, b, margin = np.zeros(SIZE), 0.0, np.zeros(len(y))
         first, second = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
-        for t in range(1, STEPS + 1):
-            error = 1 / (1 + np.exp(-np.clip(np.bincount(fr, fv * w[fi], n) + b, -35, 35))) - target
-            slope = np.append(np.bincount(fi, fv * error[fr], SIZE) / n + 1e-5 * w, error.mean())
+        for t in range(1, STEPS + 2):
+            slope = np.append(1e-5 * w, 0.0)
+            for block in blocks:
+                row, idx, val = entries(block)
+                margin[block] = np.bincount(row, val * (w * scale)[idx], len(y[block])) + b
+                error = (1 / (1 + np.exp(-np.clip(margin[block], -35, 35))) - y[block]) * fit[block] / fit.sum()
+                slope[:-1] += np.bincount(idx, val * error[row], SIZE) * scale
+                slope[-1] += error.sum()
+            if t > STEPS:
+                break  # margin is that of the last weights
             first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
             step = 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-5)
             w, b = w - step[:-1], b - step[-1]
         self.w, self.b = w * scale, float(b)
-        margin = np.bincount(row, val * self.w[idx], len(y)) + b
         self.a, self.c = platt(margin[held], y[held])
 
     def probability(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
