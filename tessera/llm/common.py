@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy kernel call looks at (a longer text is taken alone).
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 U64 = np.uint64
 _WHITE = np.zeros(256, bool)
