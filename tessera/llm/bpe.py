@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import load, pieces
 
-#: Words in the table of a Python worker, which is emptied when full; longer words are not kept.
-TABLE_WORDS, TABLE_CHARS = 500_000, 32
+#: Words in the table of a Python worker; when it is full, those met again since the last time stay. Longer words are not kept.
+TABLE_WORDS, TABLE_CHARS = 1_000_000, 32
+#: Bytes of text whose distinct words are looked up together.
+TABLE_BYTES = 1 << 21
 VOCABULARY = "word_bpe_49k.json"
 
 _END = "</w>"
@@ -190,20 +192,30 @@ class WordTable:
     """Texts to ids by a bounded table of words; encode_words gives the ids of new ones."""
 
     def __init__(self, encode_words):
-        self._encode, self._table = encode_words, {}
+        self._encode, self._table, self._again = encode_words, {}, set()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [split_words(t) if t else [] for t in texts]
-        new = [w for w in dict.fromkeys(w for x in split for w in x) if w not in self._table]
-        if len(self._table) + len(new) > TABLE_WORDS:
-            self._table = {}
-            new = list(dict.fromkeys(w for x in split for w in x))
-        table = self._table
-        table.update(zip(new, self._encode(new), strict=True))
-        out = [b"".join(map(table.__getitem__, x)) for x in split]
+        if len(self._table) > TABLE_WORDS:
+            kept = {w: self._table[w] for w in self._again}
+            self._table, self._again = kept if 2 * len(kept) <= TABLE_WORDS else {}, set()
+        # The words of these texts get a small table, which stays in the processor's cache, from the large one.
+        table, again, own, new = self._table, self._again, {}, []
+        for w in set().union(*split):
+            ids = table.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                own[w] = ids
+                again.add(w)
+        fresh = dict(zip(new, self._encode(new), strict=True))
+        own.update(fresh)
+        table.update(fresh)
+        out = [b"".join(map(own.__getitem__, x)) for x in split]
         for w in new:
             if len(w) > TABLE_CHARS:
                 del table[w]
+                self._again.discard(w)
         return out
 
 
@@ -217,7 +229,7 @@ def _encoded(path: str, digest: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, table = _bpe(path)
         for batch in batches:
-            for rows, _, _ in pieces(batch, "text"):
+            for rows, _, _ in pieces(batch, "text", TABLE_BYTES):
                 ids = table.encode(rows.column("text").to_pylist())
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 if digest:

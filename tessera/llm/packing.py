@@ -25,11 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import WordTable, vocabulary_path
+from tessera.llm.bpe import TABLE_BYTES, WordTable, vocabulary_path
 from tessera.llm.common import cut, load, pieces
 
 CAPACITY = 2048
 END = 0
+#: Words that one call of the tokenizer encodes.
+_JOINED = 200
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long"
 
@@ -44,7 +46,31 @@ def _table(path: str) -> WordTable:
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return WordTable(lambda words: [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(words, add_special_tokens=False)])
+    specials = {x.content: i for i, x in t.get_added_tokens_decoder().items() if x.special}
+    if not specials:
+        return WordTable(lambda words: [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch_fast(words, add_special_tokens=False)])
+    # A special token between words parts them for the tokenizer, so that one call encodes many.
+    mark, mark_id = max(specials.items())
+
+    def one_by_one(words: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode(words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), _JOINED):
+            group = words[i : i + _JOINED]
+            text = mark.join(group)
+            if text.count(mark) >= len(group):  # a word has it itself
+                out += one_by_one(group)
+                continue
+            ids = np.array(t.encode_batch_fast([text + mark], add_special_tokens=False)[0].ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for end in (4 * np.flatnonzero(ids == mark_id)).tolist():
+                out.append(raw[at:end])
+                at = end + 4
+        return out
+
+    return WordTable(encode)
 
 
 def _cut_texts(path: str, capacity: int):
@@ -55,7 +81,7 @@ def _cut_texts(path: str, capacity: int):
         table, seen, task = _table(path), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             out = []
-            for rows, _, _ in pieces(batch, "text"):
+            for rows, _, _ in pieces(batch, "text", TABLE_BYTES):
                 for doc_id, ids in zip(rows.column("doc_id").to_pylist(), table.encode(rows.column("text").to_pylist()), strict=True):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
