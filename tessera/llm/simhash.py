@@ -7,6 +7,9 @@ bits. Copies are one fingerprint, whatever their number. Variants that more than
 share would give a square of pairs: their fingerprints get the 2016 variants of all 64 bits with two
 left out instead, whose members need no pairs, only a link to the smallest. No link is lost either way.
 
+One or two bits are much tighter than near copies are. With `similarity`, texts whose sets of five-word shingles have at least
+that Jaccard similarity are linked too (near.py), whatever their fingerprints; the pipeline's stage asks for it, the query doesn't.
+
 Cases: null and empty texts have fingerprint zero, linked like any other. A null doc_id gets a
 fingerprint and a component, and never names one unless all members' ids are null (then it is null).
 Repeated doc_ids keep a row each. Extra columns are ignored.
@@ -22,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import near
 from tessera.llm.common import cut, load
 from tessera.llm.components import components
 
@@ -45,11 +49,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, keep: bool = False):
+    """keep: the text stays, with its node and bands."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in near.sketched(batches) if keep else batches:
             fp = [fingerprint(x.as_py(), shingle) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(fp, pa.int64())], [*(c for c in batch.schema.names if c != "text"), "fp"])
+            names = [c for c in batch.schema.names if keep or c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fp, pa.int64())], [*names, "fp"])
 
     return run
 
@@ -73,12 +80,17 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(more).union(stars.select(F.explode("all").alias("u"), "v").where("u <> v").distinct())
 
 
-def _linked(rows: DataFrame, shingle: int) -> DataFrame:
+def _linked(rows: DataFrame, shingle: int, similarity: float | None = None) -> DataFrame:
     """rows(text, doc_id, ...) to the other columns, fp, root (the component's smallest fingerprint) and component_id."""
-    kinds = ", ".join(f"{name} {kind}" for name, kind in rows.drop("text").dtypes)
-    rows = cut(rows.mapInArrow(_fingerprints(shingle), f"{kinds}, fp long"), "fingerprints")
+    keep = similarity is not None
+    kinds = ", ".join(f"{name} {kind}" for name, kind in (rows if keep else rows.drop("text")).dtypes)
+    rows = cut(rows.mapInArrow(_fingerprints(shingle, keep), f"{kinds}, {'node long, bands array<long>, ' * keep}fp long"), "fingerprints")
     own = rows.groupBy("fp").agg(F.min("doc_id").alias("lo"))
-    roots = components(links(own.select("fp")))
+    edges = links(own.select("fp"))
+    if keep:
+        edges = edges.union(near.links(rows, similarity))
+        rows = rows.drop("text", "node", "bands")
+    roots = components(edges)
     named = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "lo", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("lo").alias("component_id"))
     named = cut(named.join(least, "root").select("fp", "root", "component_id"), "components")
@@ -91,13 +103,13 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return _linked(rows, shingle).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of docs, all columns, that stay: of each component the smallest doc_id (null comes last, then by a
-    hash of the text), as one row."""
+    hash of the text), as one row. similarity: links texts that are so alike as well."""
     key = F.xxhash64("doc_id", "text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    stay = _linked(rows, shingle).groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.key").alias("stay"))
+    stay = _linked(rows, shingle, similarity).groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.key").alias("stay"))
     keyed = docs.select(key.alias("stay"), F.struct(*docs.columns).alias("row")).join(stay, "stay")
     return keyed.dropDuplicates(["stay"]).select("row.*")
 
