@@ -4,7 +4,9 @@ Tokens fall into classes: the most frequent words have one each, other words sha
 ending, ASCII or not), and the end of a text has its own. Latent states emit classes; a word's share of its class is
 its add-one count there, with one more place for the unseen, so the model spreads exactly 1 over all texts. States are trained
 by Baum-Welch: each task sums expected counts over its sequences (cut into SEGMENT tokens for training only), and
-tasks' sums are added by a shuffle. Every training document is used in every round. The likelihood of a
+tasks' sums are added by a shuffle. Every training document is used in every round. Rounds end when the log10 likelihood
+per token rises by less than TOLERANCE, ROUNDS at most. They start from states that already differ: pairs of neighbouring
+classes, counted over all training texts, are split into states on the driver (Hmm.of_pairs). The likelihood of a
 whole text is the scaled forward recursion, exact, over all texts of a batch at once.
 
 Word counts over the whole training corpus are shuffled as (64-bit key, count), combined in each task first.
@@ -32,7 +34,8 @@ from tessera.llm.common import U64, as_long, cut, load, pieces, utf8, word_hashe
 from tessera.llm.quality_classifier import held_out
 
 STATES = 6
-ROUNDS = 3
+ROUNDS = 40
+TOLERANCE = 5e-4
 SEGMENT = 256
 TABLE = 200_000
 #: Classes: shapes first, then single words, then the end.
@@ -151,6 +154,28 @@ class Hmm:
         rows = [rng.uniform(0.5, 1.5, size) for size in ((states,), (states, states), (states, CLASSES))]
         return cls(*(x / x.sum(-1, keepdims=True) for x in rows))
 
+    @classmethod
+    def of_pairs(cls, pairs: np.ndarray, states: int = STATES) -> Hmm:
+        """pairs[a, b]: how often class b follows a (the end precedes a text's first). P(b | a) is split into
+        P(state | a) P(b | state) by expectation maximisation; a state's next is that of the classes it emits."""
+        model = cls.start(states)
+        rng = np.random.default_rng(12)
+        emit, after = rng.dirichlet(np.ones(CLASSES), states), rng.dirichlet(np.ones(states), CLASSES)
+        last = -math.inf
+        for _ in range(2000):
+            p = np.maximum(after @ emit, 1e-300)
+            now = float((pairs * np.log(p)).sum()) / max(1.0, pairs.sum())
+            if not pairs.any() or now - last < 1e-8:
+                break
+            last, ratio = now, pairs / p
+            after, emit = after * (ratio @ emit.T) + 1e-6, emit * (after.T @ ratio) + 1e-6
+            after, emit = after / after.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)
+        if not pairs.any():
+            return model
+        emitted = emit * (after.T @ (pairs / np.maximum(after @ emit, 1e-300)))
+        step = (emit @ after) * emitted.sum(1)[:, None]
+        return cls.of_counts(np.concatenate((after[END] * pairs[END].sum(), step.ravel(), emitted.ravel())), states)
+
     @classmethod
     def of_counts(cls, flat: np.ndarray, states: int) -> Hmm:
         first, step, emit = flat[:states], flat[states : states + states * states].reshape(states, states), flat[states + states * states :].reshape(states, CLASSES)
@@ -159,6 +184,10 @@ class Hmm:
     def expected(self, obs: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Baum-Welch counts (first, step, emit, flat) of sequences: obs[t, i] is valid for t < size[i];
         sizes descend."""
+        return self.counted(obs, size)[0]
+
+    def counted(self, obs: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, float]:
+        """The expected counts, and the log10 likelihood."""
         steps, n = obs.shape
         k = len(self.first)
         emit = np.ascontiguousarray(self.emit.T)
@@ -181,7 +210,7 @@ class Hmm:
         valid = np.arange(steps)[:, None] < size
         seen = obs[valid]
         emitted = np.stack([np.bincount(seen, alpha[..., s][valid], CLASSES) for s in range(k)])
-        return np.concatenate((alpha[0].sum(0), (pairs * self.step).ravel(), emitted.ravel()))
+        return np.concatenate((alpha[0].sum(0), (pairs * self.step).ravel(), emitted.ravel())), float(np.log10(scale).sum())
 
     def log10(self, flat: np.ndarray, off: np.ndarray) -> np.ndarray:
         """log10 probability of each class sequence flat[off[i]:off[i + 1]] by the scaled forward recursion."""
@@ -203,7 +232,7 @@ class Hmm:
 
 
 def _expected(model: Hmm, rows: int = 2000):
-    """Batches of (classes) to one (place, value) for each expected count of the task."""
+    """Batches of (classes) to one (place, value) for each expected count of the task; then come the log10 likelihood and the tokens."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -215,7 +244,8 @@ def _expected(model: Hmm, rows: int = 2000):
             for i in range(0, len(order), rows):
                 s, size = starts[order[i : i + rows]], (stops - starts)[order[i : i + rows]]
                 t = np.arange(int(size[0]))[:, None]
-                found = model.expected(flat[np.minimum(s + t, len(flat) - 1)], size)
+                found, log = model.counted(flat[np.minimum(s + t, len(flat) - 1)], size)
+                found = np.concatenate((found, [log, size.sum()]))
                 total = found if total is None else total + found
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["place", "value"])
@@ -223,17 +253,42 @@ def _expected(model: Hmm, rows: int = 2000):
     return run
 
 
-def train(sequences: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    """sequences(classes)"""
-    model = Hmm.start(states)
+def _paired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (classes) to one (place, value) for each pair of neighbouring classes of the task."""
+    total = np.zeros(CLASSES * CLASSES, np.int64)
+    for batch in batches:
+        flat, off = utf8(batch.column("classes"))
+        before = np.concatenate(([END], flat[:-1])).astype(np.int64)[: len(flat)]
+        before[off[:-1][off[1:] > off[:-1]]] = END
+        total += np.bincount(before * CLASSES + flat, minlength=len(total))
+    place = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(total[place].astype(np.float64))], ["place", "value"])
+
+
+def _summed(sequences: DataFrame, task) -> tuple[np.ndarray, np.ndarray]:
+    sums = sequences.mapInArrow(task, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+    return np.array([r[0] for r in sums], np.int64), np.array([r[1] for r in sums])
+
+
+def train(sequences: DataFrame, states: int = STATES, rounds: int = ROUNDS, tolerance: float = TOLERANCE, trace: list | None = None) -> Hmm:
+    """sequences(classes); trace gets the log10 likelihood per token at the start of each round."""
+    pairs = np.zeros(CLASSES * CLASSES)
+    place, value = _summed(sequences, _paired)
+    pairs[place] = value
+    model, last = Hmm.of_pairs(pairs.reshape(CLASSES, CLASSES), states), -math.inf
     for _ in range(rounds):
-        sums = sequences.mapInArrow(_expected(model), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-        if not sums:
+        place, value = _summed(sequences, _expected(model))
+        if not len(place):
+            break
+        flat = np.zeros(len(place))
+        flat[place] = value
+        now = flat[-2] / flat[-1]
+        if trace is not None:
+            trace.append(now)
+        model = Hmm.of_counts(flat[:-2], states)
+        if now - last < tolerance:
             break
-        flat = np.zeros(len(sums))
-        for r in sums:
-            flat[r[0]] = r[1]
-        model = Hmm.of_counts(flat, states)
+        last = now
     return model
 
 
