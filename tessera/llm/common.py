@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -11,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy kernel call looks at (a longer text is taken alone).
 PIECE_BYTES = 1 << 19
@@ -51,6 +54,54 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """df in as many partitions as a shuffle has, for rows that are few bytes before they are multiplied: adaptive
+    coalescing goes by those bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def trimmed(run):
+    """A task's function that gives freed memory back at its end: idle workers keep no more than they need."""
+
+    @functools.wraps(run)
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return held
+
+
+#: Bits of the tables by which tasks pass over rows before a shuffle; a full table only lets more through.
+SLOTS = 1 << 23
+
+
+def marked(df: DataFrame, column: str) -> np.ndarray:
+    """The bytes of a table of SLOTS bits, those of the column's longs set: 1 MB at most reaches the driver."""
+    slot = F.col(column).bitwiseAND(F.lit(SLOTS - 1)) + 1
+    table = np.zeros(SLOTS // 8, np.uint8)
+    for r in df.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect():
+        table[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, np.uint8)
+    return table
+
+
+def in_table(table: np.ndarray, value: np.ndarray) -> np.ndarray:
+    slot = value & (SLOTS - 1)
+    return (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def wanted(df: DataFrame, table: np.ndarray, column: str) -> DataFrame:
+    """The rows of df whose column is in the table, and some others."""
+
+    @trimmed
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_table(table, batch.column(column).to_numpy())))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def utf8(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, int64 offsets) of a string or binary column; null reads as empty."""
     if isinstance(arr, pa.ChunkedArray):

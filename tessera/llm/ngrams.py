@@ -65,6 +65,7 @@ class Sample:
     def __init__(self, docs: DataFrame, labels: DataFrame, rows: int):
         """The `rows` labelled documents that come first by a hash of their id. A doc_id with several labels
         counts as the lowest; null labels, and labels without a document, don't count."""
+        labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
         chosen = labels.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")  # `rows` ids at most
         found = sorted(tuple(r) for r in texts.mapInArrow(_counted, "doc_id long, y int, idx binary, share binary").collect())

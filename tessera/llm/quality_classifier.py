@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import load, pieces
+from tessera.llm.common import load, pieces, trimmed
 from tessera.llm.ngrams import SIZE, Sample, grams, learning_rows, platt, text_rows
 
 SAMPLE = 4000
@@ -101,6 +101,7 @@ class Model:
 
 
 def scorer(model: Model):
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = [model.score(buf, off) for _, buf, off in pieces(batch, "text")]
@@ -127,6 +128,7 @@ def good_rows(docs: DataFrame, learn: DataFrame, labels: DataFrame, sample: int
     """The rows of docs, all columns, that score THRESHOLD or more; the model is fitted on labelled rows of learn(doc_id, text)."""
     model = Model(Sample(text_rows(learn), learning_rows(labels).where(~held_out(3, 1)), sample))
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in pieces(batch, "text"):

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import _WHITE, U64, RangeHash, load, mix, pieces, word_hashes, words
+from tessera.llm.common import _WHITE, U64, RangeHash, load, mix, pieces, trimmed, word_hashes, words
 from tessera.llm.ngrams import SIZE, Sample, grams, learning_rows, platt, text_rows
 
 SAMPLE = 4000
@@ -123,6 +123,7 @@ def _verdict(model: Regression, threshold: float, buf: np.ndarray, off: np.ndarr
 
 
 def _judged(model: Regression, threshold: float):
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [c for c in batch.schema.names if c != "text"]
@@ -146,6 +147,7 @@ def good_rows(docs: DataFrame, learn: DataFrame, labels: DataFrame, sample: int
     """The rows of docs, all columns, that the rules keep; the regression is fitted on labelled rows of learn(doc_id, text)."""
     model = Regression(Sample(text_rows(learn), learning_rows(labels), sample))
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in pieces(batch, "text"):
