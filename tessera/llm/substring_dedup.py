@@ -8,10 +8,12 @@ shuffled for the whole corpus, about two per 27 words. Contexts whose anchor no
 go no further. Equal contexts are aggregated to the smallest doc_id before any text moves. What is
 left, the distinct contexts of each shared anchor, is the reference: it is sharded by anchor, each shard
 gets suffix automata of bounded size (the bounded form of "broadcast": an automaton stays in the task that
-streams its shard), and every distinct context is streamed through for the smallest doc_id of each window.
+streams its shard), and every distinct context is streamed through for the smallest doc_id of each window. Anchors with very many different
+contexts are taken apart first, so that no task gets more than CROWD contexts of one anchor.
 
 Cases: null or empty texts have no words. Rows with a null doc_id have no order: they are kept whole
-and are no reference. Rows that repeat a doc_id are judged one by one; neither has the smaller id.
+and are no reference. Rows are known by a 64-bit hash of doc_id and text: rows that repeat a doc_id are judged one by one, neither
+has the smaller id, and rows equal in both get the same result.
 Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -24,40 +26,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.anchors import ANCHOR_BITS, COUNT_BITS, FIRST_BITS, TEXT_BITS, contexts, pack, unpack
-from tessera.llm.common import as_long, cut, gathered, pieces, word_hashes, words
+from tessera.llm.anchors import CROWD, FIRST_BITS, contexts, mapped_back, pack, uncrowded, unpack
+from tessera.llm.common import as_long, cut, gathered, marked, pieces, trimmed, wanted, word_hashes, words
 
 WINDOW = 50
 ANCHOR = 25
-#: Symbols of one automaton; a single anchor's contexts are never divided.
+#: Symbols of one automaton, beyond which the next anchor starts another.
 SHARD_SYMBOLS = 60_000
 
-_TEXT_SHIFT = FIRST_BITS + COUNT_BITS + ANCHOR_BITS
-
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, a short hash of the text, and a never-null key of both for joins."""
-    th = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << TEXT_BITS) - 1))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), th.alias("th")).withColumn("key", F.xxhash64("doc_id", "th"))
-
-
-def place_key() -> F.Column:
-    return F.xxhash64(F.col("doc_id"), F.shiftright("place", _TEXT_SHIFT))
+    """doc_id, text, and a key that tells rows apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def anchor_rows(length: int, k: int):
-    """Batches of (doc_id, text, th) to batches of (a, c, doc_id, place)."""
+    """Batches of (doc_id, text, key) to batches of (a, c, doc_id, key, place)."""
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for rows, buf, off in pieces(batch, "text"):
                 s, e, row = words(buf, off)
-                ids, th = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th"))
+                ids, key = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key"))
                 begin = np.searchsorted(row, np.arange(rows.num_rows))
                 for a, c, r, first, count, anchor in contexts(word_hashes(buf, s, e), row, length, k):
-                    out.append([a, c, ids[r], pack(first - begin[r], count, anchor - begin[r], th[r])])
-            yield from gathered(out, ["a", "c", "doc_id", "place"])
+                    out.append([a, c, ids[r], key[r], pack(first - begin[r], count, anchor - begin[r])])
+            yield from gathered(out, ["a", "c", "doc_id", "key", "place"])
 
     return run
 
@@ -135,59 +131,67 @@ def runs(values: list) -> Iterator[tuple[int, int, object]]:
             start = i
 
 
-def _judge(shard: list[tuple], window: int) -> list[tuple]:
-    """Rows (a, c, doc_id, left, right) of whole anchors, by ascending doc_id in each anchor, to runs
+def _judge(shard: list[tuple]) -> list[tuple]:
+    """Rows (a, c, doc_id, lead, tail, window) of whole anchors, by ascending doc_id in each anchor, to runs
     (a, c, first window, windows, smallest doc_id)."""
     ids: dict = {}
-    sequences = [[ids.setdefault(w, len(ids)) for w in (*left.split(), a, *right.split())] for a, _, _, left, right in shard]
+    sequences = [[ids.setdefault(w, len(ids)) for w in (*left.split(), a, *right.split())] for a, _, _, left, right, _ in shard]
     automaton = SuffixAutomaton()
     for symbols, row in zip(sequences, shard, strict=True):
         automaton.add(symbols, row[2])
-    return [(a, c, start, n, owner) for symbols, (a, c, *_) in zip(sequences, shard, strict=True) for start, n, owner in runs(automaton.owners(symbols, window))]
+    return [(row[0], row[1], start, n, owner) for symbols, row in zip(sequences, shard, strict=True) for start, n, owner in runs(automaton.owners(symbols, row[5]))]
 
 
-def judge_shards(window: int, limit: int = SHARD_SYMBOLS):
-    """Batches sorted by (a, doc_id) to runs; whole anchors are gathered up to `limit` symbols."""
+def judge_shards(limit: int = SHARD_SYMBOLS):
+    """Batches sorted by (a, value), value being the doc_id, to runs; whole anchors are gathered up to `limit` symbols."""
     names = ["a", "c", "start", "n", "owner"]
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names)
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, size, current = [], 0, None
+        shard, size, current, own = [], 0, None, set()
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("a", "c", "doc_id", "lead", "tail")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("a", "c", "value", "lead", "tail", "window")), strict=True):
                 if row[0] != current:
                     current = row[0]
+                    own = set()
                     if size >= limit:
-                        yield batch_of(_judge(shard, window))
+                        yield batch_of(_judge(shard))
                         shard, size = [], 0
-                shard.append(row)
-                size += 1 + row[3].count(b" ") + row[4].count(b" ")
+                if row[1] not in own:  # a row of docs that comes twice has its contexts twice
+                    own.add(row[1])
+                    shard.append(row)
+                    size += 1 + row[3].count(b" ") + row[4].count(b" ")
         if shard:
-            yield batch_of(_judge(shard, window))
+            yield batch_of(_judge(shard))
 
     return run
 
 
 def _context_words(length: int, k: int):
-    """Batches of (text, reps) to one row (a, c, doc_id, lead, tail) for each context: its words beside the anchor."""
+    """Batches of (text, reps) to one row for each context: its words beside the anchor."""
+    names = ["a", "c", "value", "lead", "tail", "window"]
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in names]
             for doc_id, text, reps in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "reps")), strict=True):
                 w = text.encode().split()
                 for rep in reps:
                     first, count, anchor = unpack(rep["place"])
-                    for to, x in zip(out, (rep["a"], rep["c"], doc_id, b" ".join(w[first:anchor]), b" ".join(w[anchor + k : first + count - 1 + length])), strict=True):
+                    for to, x in zip(out, (rep["a"], rep["c"], doc_id, b" ".join(w[first:anchor]), b" ".join(w[anchor + k : first + count - 1 + length]), length - k + 1), strict=True):
                         to.append(x)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.binary()) for x in out[3:])], ["a", "c", "doc_id", "lead", "tail"])
+            kinds = [pa.int64()] * 3 + [pa.binary(), pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names)
 
     return run
 
 
 def _kept(length: int):
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, texts = [], [], []
@@ -211,18 +215,30 @@ def _kept(length: int):
 def substring_dedup(docs: DataFrame, length: int = WINDOW, k: int = ANCHOR) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, n_removed, kept (the kept words, joined by one space)."""
     texts = keyed(docs)
-    rows = "a long, c long, doc_id long, place long"
-    found = texts.where("doc_id is not null").select("doc_id", "text", "th").mapInArrow(anchor_rows(length, k), rows)
+    found = texts.where("doc_id is not null").mapInArrow(anchor_rows(length, k), "a long, c long, doc_id long, key long, place long")
     anchors = cut(found.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a"), "anchors")
     shared = cut(found.join(anchors, "a"), "shared")
-    reps = shared.groupBy("a", "c").agg(F.min(F.struct("doc_id", "place")).alias("m")).select("a", "c", "m.doc_id", "m.place")
-    reps = reps.groupBy(place_key().alias("key")).agg(F.collect_list(F.struct("a", "c", "place")).alias("reps"))
-    contexts_ = texts.join(reps, "key").select("doc_id", "text", "th", "key", "reps").mapInArrow(_context_words(length, k), "a long, c long, doc_id long, lead binary, tail binary")
-    judged = contexts_.repartition("a").sortWithinPartitions("a", "doc_id").mapInArrow(judge_shards(length - k + 1), "a long, c long, start long, n long, owner long")
+    equal = cut(shared.groupBy("a", "c").agg(F.min(F.struct("doc_id", "key", "place")).alias("m")), "equal")
+    schema = "a long, c long, value long, lead binary, tail binary, window int"
+
+    def contexts_of(those: DataFrame, texts: DataFrame) -> DataFrame:
+        reps = those.groupBy("m.key").agg(F.collect_list(F.struct("a", "c", "m.place")).alias("reps"))
+        return texts.join(reps, "key").select("doc_id", "text", "key", "reps").mapInArrow(_context_words(length, k), schema)
+
+    def judged_of(kinds: DataFrame) -> DataFrame:
+        return kinds.repartition("a").sortWithinPartitions("a", "value").mapInArrow(judge_shards(), "a long, c long, start long, n long, owner long")
+
+    crowded = cut(equal.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("a"), "crowded")
+    if crowded.limit(1).count():
+        hot = cut(equal.join(crowded, "a"), "hot")
+        apart, maps = uncrowded(cut(contexts_of(hot, wanted(texts, marked(hot.select("m.key"), "key"), "key")), "kinds"), F.min("value"), words=True)
+        judged = judged_of(contexts_of(equal.join(crowded, "a", "left_anti"), texts)).unionByName(mapped_back(judged_of(apart), maps))
+    else:
+        judged = judged_of(contexts_of(equal, texts))
     spans = shared.join(judged, ["a", "c"]).where("owner < doc_id")
     first = F.col("place").bitwiseAND(F.lit((1 << FIRST_BITS) - 1)) + F.col("start")
-    spans = spans.groupBy(place_key().alias("key")).agg(F.collect_set(F.shiftleft(first, 8).bitwiseOR(F.col("n"))).alias("spans"))
-    return texts.join(spans, "key", "left").select("doc_id", "text", "th", "key", "spans").mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept string")
+    spans = spans.groupBy("key").agg(F.collect_set(F.shiftleft(first, 8).bitwiseOR(F.col("n"))).alias("spans"))
+    return texts.join(spans, "key", "left").select("doc_id", "text", "key", "spans").mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(spark, sf_dir):

@@ -2,13 +2,15 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm import simhash, substring_dedup, suffix_array_dedup
+from tessera.llm import anchors, simhash, substring_dedup, suffix_array_dedup
 from tessera.llm.anchors import contexts, pack, sliding_min, unpack
 from tessera.llm.common import U64, RangeHash
 from tessera.llm.components import components
 
 from . import brute
+from .conftest import prose
 
 
 def keyed(rows):
@@ -20,7 +22,7 @@ def test_sliding_min_and_places():
     for w in range(1, 9):
         assert sliding_min(x, w).tolist() == [int(x[i : i + w].min()) for i in range(len(x) - w + 1)]
     first, count, anchor = (np.array([v], np.int64) for v in (70_000, 201, 70_200))
-    assert [int(v[0]) for v in unpack(pack(first, count, anchor, np.array([32767])))] == [70_000, 201, 70_200]
+    assert [int(v[0]) for v in unpack(pack(first, count, anchor))] == [70_000, 201, 70_200]
 
 
 def test_every_window_has_one_context():
@@ -83,6 +85,65 @@ def test_suffix_array_dedup_of_documents(spark, small, texts):
     assert keyed(got) == keyed(brute.byte_dedup(texts))
 
 
+@pytest.fixture
+def crowded():
+    """Rows that share passages of 30 to 90 words among unlike words, so that one anchor has very many contexts."""
+    rng = random.Random(12)
+    passage = prose(rng, 90)
+    cuts = [(0, 90), (0, 62), (5, 55), (20, 70), (30, 60), (10, 88)]
+    rows = []
+    for i in range(260):
+        a, b = cuts[i % len(cuts)]
+        rows.append((i, f"{prose(rng, rng.randint(0, 40))} {' '.join(passage.split()[a:b])} {prose(rng, rng.randint(0, 40))}"))
+    return rows + [(7, rows[3][1]), (400, rows[8][1])]
+
+
+@pytest.mark.parametrize("crowd", [1, 20])
+def test_crowded_anchors(spark, crowded, monkeypatch, crowd):
+    for module in (anchors, substring_dedup, suffix_array_dedup):
+        monkeypatch.setattr(module, "CROWD", crowd)
+    docs = spark.createDataFrame(crowded, "doc_id long, text string").repartition(3)
+    assert keyed(map(tuple, substring_dedup.substring_dedup(docs).collect())) == keyed(brute.substring_dedup(crowded))
+    got = [(r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_array_dedup.suffix_array_dedup(docs, 300, 150).collect()]
+    assert keyed(got) == keyed(brute.byte_dedup(crowded, 300))
+
+
+def test_no_anchor_stays_crowded(spark):
+    """One anchor with 20,000 contexts: no task gets more than CROWD of an anchor, and every window is still somewhere."""
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(50)]
+    some = [(" ".join(rng.choices(words, k=25)).encode(), " ".join(rng.choices(words, k=25)).encode()) for _ in range(2000)]
+    rows = [(1, 10 * i + j, i, some[i][0], some[(i + j) % 2000][1], 26) for i in range(2000) for j in range(10)]
+    schema = "a long, c long, value long, lead binary, tail binary, window int"
+    left, maps = anchors.uncrowded(spark.createDataFrame(rows, schema).repartition(4), F.min("value"), words=True)
+    left = left.cache()
+    assert left.groupBy("a").count().agg(F.max("count")).first()[0] <= anchors.CROWD
+    found = {(r.a, r.c): r for r in left.collect()}
+    places = {}
+    for r in maps.collect():
+        x = found[r.b, r.d]
+        n = len(x.lead.split()) + len(x.tail.split()) - x.window + 2
+        places.setdefault(r.c, []).extend(range(r.shift, r.shift + n))
+    assert all(sorted(places[10 * i + j]) == list(range(26)) for i in range(2000) for j in range(10))
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """Rows of one doc_id, many of them: hashes of few bits would be alike."""
+    rng = random.Random(14)
+    passage = prose(rng, 60)
+    rows = [(1, passage), (5, passage)] + [(5, prose(rng, 61)) for _ in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert keyed(map(tuple, substring_dedup.substring_dedup(docs).collect())) == keyed(brute.substring_dedup(rows))
+    twice = rows[:40] + rows[:3]
+    got = [(r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_array_dedup.suffix_array_dedup(spark.createDataFrame(twice, "doc_id long, text string"), 200, 100).collect()]
+    assert keyed(got) == keyed(brute.byte_dedup(twice, 200))
+
+
+def test_common_prefixes():
+    x = np.array([1, 2, 1, 2, 1, 3, 0], np.uint32)
+    assert suffix_array_dedup.common_prefixes(x, np.array([0, 2, 4, 1]), 4).tolist() == [0, 3, 1, 0]
+
+
 def test_clean_rows_keep_columns_and_characters(odd, odd_rows):
     found = suffix_array_dedup.clean_rows(odd)
     assert found.columns == odd.columns and found.count() == len(odd_rows)
