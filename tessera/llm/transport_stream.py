@@ -7,7 +7,9 @@ checksums, finds the stream by the tables, checks continuity counters, reassembl
 returns payload, timestamps and random-access points. Packets of one text are handled as one numpy matrix.
 
 Cases: null and empty texts are 64 zero bytes. Null doc_ids and repeated rows keep a row each; extra
-columns are ignored. A stream that is not whole packets, has a wrong sync byte or a bad table raises ValueError.
+columns are ignored. A stream that is not whole packets, has a wrong sync byte or a bad table raises ValueError, and so do lost or
+reordered packets (a gap in the counters, or a PES packet of another length than its head says), unless `strict` is false: then the
+errors are counted and such units are left out of the payload. A packet sent twice, as the format allows, counts once.
 """
 
 from __future__ import annotations
@@ -123,6 +125,7 @@ class Stream(NamedTuple):
     timestamps: list[int]
     random_access: list[int]  # packet numbers
     continuity_errors: int
+    broken_units: list[int]  # PES packets that aren't whole
 
 
 def _table(packet: np.ndarray, table_id: int) -> bytes:
@@ -137,7 +140,7 @@ def _table(packet: np.ndarray, table_id: int) -> bytes:
     return section[8:-4]
 
 
-def demux(media: bytes) -> Stream:
+def demux(media: bytes, strict: bool = True) -> Stream:
     if len(media) % PACKET:
         raise ValueError("not whole packets")
     p = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
@@ -159,24 +162,35 @@ def demux(media: bytes) -> Stream:
 
     number = np.flatnonzero((pid == data_pid) & (p[:, 3] & 0x10 > 0))
     own = p[number]
+    fresh = np.append(True, (own[1:] != own[:-1]).any(1))[: len(own)]
+    own, number = own[fresh], number[fresh]
     counter = own[:, 3].astype(np.int64) & 15
     errors = int((counter[1:] != (counter[:-1] + 1) % 16).sum())
+    if strict and errors:
+        raise ValueError("lost or reordered packets")
     field = np.where(own[:, 3] & 0x20 > 0, own[:, 4].astype(np.int64) + 1, 0)
     access = (field > 1) & (own[:, 5] & 0x40 > 0)
     size = PACKET - 4 - field
     data = own[np.arange(PACKET) >= (4 + field)[:, None]].tobytes()
     end = np.cumsum(size)
     begins = np.flatnonzero(own[:, 1] & 0x40)
+    if strict and len(own) and (not len(begins) or begins[0]):
+        raise ValueError("the stream begins inside a PES packet")
     starts = (end - size)[begins].tolist()
-    parts, stamps = [], []
-    for a, b in zip(starts, [*starts[1:], len(data)], strict=True):
+    parts, stamps, broken = [], [], []
+    for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(data)], strict=True)):
         if data[a : a + 3] != b"\0\0\1":
             raise ValueError("no PES packet where one begins")
         length, header = int.from_bytes(data[a + 4 : a + 6], "big"), 9 + data[a + 8]
         if data[a + 7] & 0x80:
             stamps.append(_ticks(data[a + 9 : a + 14]))
-        parts.append(data[a + header : min(b, a + 6 + length) if length else b])
-    return Stream(b"".join(parts), data_pid, kind, len(p), stamps, number[access].tolist(), errors)
+        if length and b - a != 6 + length:
+            if strict:
+                raise ValueError(f"PES packet {i} has {b - a - 6} bytes of {length}")
+            broken.append(i)
+        else:
+            parts.append(data[a + header : b])
+    return Stream(b"".join(parts), data_pid, kind, len(p), stamps, number[access].tolist(), errors, broken)
 
 
 def _write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,22 +212,24 @@ def media_column(docs: DataFrame) -> DataFrame:
 _FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps array<long>, random_access array<long>"
 
 
-def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterable[pa.RecordBatch], strict: bool = True) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for x in batch.column("media"):
+        for x, n in zip(batch.column("media"), batch.column("n_bytes").to_pylist(), strict=True):
             media = x.as_py()
-            s = demux(media)
-            feature = f"pid={s.pid};type={s.stream_type};packets={s.packets};units={len(s.timestamps)};access={len(s.random_access)};last_pts={max(s.timestamps, default=-1)};errors={s.continuity_errors}"
+            s = demux(media, strict)
+            if strict and n is not None and n > len(s.payload):
+                raise ValueError(f"{len(s.payload)} bytes of payload, of {n}")
+            feature = f"pid={s.pid};type={s.stream_type};packets={s.packets};units={len(s.timestamps)};access={len(s.random_access)};last_pts={max(s.timestamps, default=-1)};errors={s.continuity_errors + len(s.broken_units)}"
             out.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, s.timestamps, s.random_access))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         names = [c for c in batch.schema.names if c != "media"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], [*names, *(x.split()[0] for x in _FEATURES.split(", "))])
 
 
-def stream_features(media: DataFrame) -> DataFrame:
+def stream_features(media: DataFrame, strict: bool = True) -> DataFrame:
     """Reads the streams of media(doc_id, n_bytes, media) back: payload digests, timestamps, random-access points."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, f"doc_id long, n_bytes long, {_FEATURES}")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(functools.partial(_read, strict=strict), f"doc_id long, n_bytes long, {_FEATURES}")
 
 
 def query(spark, sf_dir):

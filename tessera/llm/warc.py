@@ -8,7 +8,8 @@ name of its own and renames it when whole, so a repeated or lost task leaves no
 Reader: files are cut into byte ranges of any size, without an index. A task looks in its range for the
 gzip magic, takes a place for a member only if what is there inflates to a WARC record head, decodes members from there on (each
 member's checksum is verified), and owns the records that start inside its range, reading on past the range's end as
-needed. Archives lie under the shared folder, reached by pyarrow's file systems (file, hdfs, s3, gs).
+needed. No damage passes in silence: a file begins with a record, where a record ends another's head must be readable (its
+task looks, even beyond its range), and what has a head must be whole; else ValueError or zlib.error. Archives lie under the shared folder, reached by pyarrow's file systems (file, hdfs, s3, gs).
 
 Cases: null html is an empty payload. A null page_id is written without a choice (always a response) and read back as
 null; so are null urls. Blanks, control characters and letters beyond ASCII in a url are percent-encoded in the archive. Repeated page_ids keep a record each; with equal payloads the one response is any of them. Extra columns are
@@ -31,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh_path, load
+from tessera.llm.common import cut, fresh_path, load, trimmed
 
 MIN_REVISIT = 1000
-#: Bytes of archive that a reading task looks through, and of one read.
-SPLIT, READ = 8 << 20, 1 << 20
+#: Bytes of archive that a reading task looks through, of one read, and that are inflated at a time.
+SPLIT, READ, CHUNK = 8 << 20, 1 << 20, 1 << 14
 LEVEL = 2
 
 MAGIC = b"\x1f\x8b\x08"
@@ -70,15 +71,15 @@ def record(name: str, url: str | None, payload: bytes, digest: str, refers_to: i
 
 
 def parse(data: bytes) -> dict:
-    """A record's fields and payload; ValueError if it isn't one."""
+    """A record's fields and payload; ValueError if it isn't whole."""
     top, found, rest = data.partition(b"\r\n\r\n")
     lines = top.decode("utf-8", "replace").split("\r\n")
     if not found or not lines[0].startswith("WARC/"):
         raise ValueError("no record")
     head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    block = rest[: int(head["content-length"])]
-    if len(block) != int(head["content-length"]):
+    if not head.get("content-length", "").isdigit() or len(rest) < int(head["content-length"]):
         raise ValueError("short record")
+    block = rest[: int(head["content-length"])]
     return head | {"payload": block.partition(b"\r\n\r\n")[2]}
 
 
@@ -88,6 +89,7 @@ def _page(name: str) -> int | None:
 
 
 def _writer(folder: str):
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, target, temp, out, size = TaskContext.get(), None, None, None, 0
         for batch in batches:
@@ -121,50 +123,48 @@ def write_warc(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) ->
 
 
 def records(read, start: int, end: int, size: int) -> Iterator[tuple[int, dict]]:
-    """(offset, record) of the records that start in bytes start to end of an archive; read(at, n) gives bytes."""
-    buf, base = b"", start  # buf holds the archive from base on
-
-    def more() -> bool:
-        nonlocal buf
-        got = read(base + len(buf), READ) if base + len(buf) < size else b""
-        buf += got
-        return bool(got)
+    """(offset, record) of the records that start in bytes start to end of an archive; read(at, n) gives bytes, fewer at the end."""
+    buf, base = bytearray(), start  # buf holds the archive from base on
+
+    def held(at: int, n: int = CHUNK) -> bytes:
+        """Up to n bytes at a place at or behind the last one asked for."""
+        nonlocal base
+        if at - base > READ:
+            del buf[: at - base]
+            base = at
+        while base + len(buf) < min(size, at + n):
+            got = read(base + len(buf), READ)
+            if not got:
+                raise ValueError("archive ends early")
+            buf.extend(got)
+        return bytes(buf[at - base : at - base + n])
+
+    def at_head(at: int) -> bool:
+        try:
+            return zlib.decompressobj(31).decompress(held(at), 5) == b"WARC/"
+        except zlib.error:
+            return False
 
-    at, synced = start, False
+    at, synced = start, start == 0  # synced: a record must start here
     while at < end:
-        while True:
-            found = buf.find(MAGIC, at - base)
-            if found >= 0:
-                break
-            keep = max(at, base + len(buf) - len(MAGIC) + 1)
-            buf, base, at = buf[keep - base :], keep, keep
-            if at >= end or not more():
+        if not at_head(at):
+            if synced:
+                raise ValueError(f"no record at {at}")
+            found = held(at + 1, READ).find(MAGIC)
+            if found < 0 and at + READ >= size:
                 return
-        at = base + found
-        if at >= end:
-            return
-        z, data, fed, rest = zlib.decompressobj(31), [], found, 0
-        try:
-            while not z.eof:
-                if fed >= len(buf) and not more():
-                    raise ValueError("archive ends in a member")
-                chunk = buf[fed : fed + READ]
-                data.append(z.decompress(chunk))
-                fed += len(chunk)
-                if not data[0].startswith(b"WARC/"[: len(data[0])]):
-                    raise ValueError("no record")
-            rest = len(z.unused_data)
-            found_record = parse(b"".join(data))
-        except (zlib.error, ValueError, KeyError):
-            if synced and base + found == at and buf[at - base :].startswith(MAGIC):
-                raise
-            at += 1
-            synced = False
+            at += 1 + found if found >= 0 else READ - len(MAGIC) + 1
             continue
-        yield at, found_record
-        synced = True
-        at = base + fed - rest
-        buf, base = buf[at - base :], at
+        z, data, fed = zlib.decompressobj(31), [], at
+        while not z.eof:
+            if not (chunk := held(fed)):
+                raise ValueError("archive ends in a member")
+            data.append(z.decompress(chunk))
+            fed += len(chunk)
+        yield at, parse(b"".join(data))
+        at, synced = fed - len(z.unused_data), True
+    if synced and at < size and not at_head(at):
+        raise ValueError(f"no record at {at}")
 
 
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, payload binary"
@@ -187,6 +187,7 @@ def _reader(payloads: bool, split: int):
                         url = r.get("warc-target-uri")
                         yield (_page(r["warc-record-id"]), url, int(r["x-payload-length"]), stored, r["warc-type"], None if response else _page(r["warc-refers-to"]), path, at, r["payload"] if payloads and response else None)
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for row in rows(batches):
