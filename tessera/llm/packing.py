@@ -25,72 +25,73 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import TABLE_BYTES, WordTable, vocabulary_path
-from tessera.llm.common import cut, load, pieces
+from tessera.llm.bpe import TABLE_BYTES, WordBpe, WordTable, spread_rows, vocabulary_path
+from tessera.llm.common import cut, load, pieces, trimmed
 
 CAPACITY = 2048
 END = 0
-#: Words that one call of the tokenizer encodes.
-_JOINED = 200
+#: Pre-tokens that one call of the tokenizer encodes.
+_JOINED = 2000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long"
 
 
-@functools.lru_cache(2)
-def _table(path: str) -> WordTable:
-    import os
+class LibraryBpe(WordBpe):
+    """Pre-tokens are made here, and the tokenizers library merges each new one of a batch once."""
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        import os
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    specials = {x.content: i for i, x in t.get_added_tokens_decoder().items() if x.special}
-    if not specials:
-        return WordTable(lambda words: [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch_fast(words, add_special_tokens=False)])
-    # A special token between words parts them for the tokenizer, so that one call encodes many.
-    mark, mark_id = max(specials.items())
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def one_by_one(words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch_fast(words, add_special_tokens=False)]
+        super().__init__(path)
+        self._library = Tokenizer.from_file(path)
+        self._library.no_truncation()
+        self._library.no_padding()
+        self._library.normalizer = None  # pre-tokens are normalized, and have no white space
+        self._library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
-    def encode(words: list[str]) -> list[bytes]:
+    def encode_units(self, units: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for i in range(0, len(words), _JOINED):
-            group = words[i : i + _JOINED]
-            text = mark.join(group)
-            if text.count(mark) >= len(group):  # a word has it itself
-                out += one_by_one(group)
-                continue
-            ids = np.array(t.encode_batch_fast([text + mark], add_special_tokens=False)[0].ids, "<u4")
-            raw, at = ids.tobytes(), 0
-            for end in (4 * np.flatnonzero(ids == mark_id)).tolist():
-                out.append(raw[at:end])
-                at = end + 4
+        for i in range(0, len(units), _JOINED):
+            ids = np.array(self._library.encode_batch_fast([" ".join(units[i : i + _JOINED])], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
-    return WordTable(encode)
+
+@functools.lru_cache(1)
+def _table(path: str) -> WordTable:
+    return WordTable(LibraryBpe(path))
 
 
 def _cut_texts(path: str, capacity: int):
-    end = END.to_bytes(4, "little")
     names = [x.split()[0] for x in PIECES.split(", ")]
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, task = _table(path), Counter(), TaskContext.get().partitionId()
+        table, seen, task = _table(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            out = []
-            for rows, _, _ in pieces(batch, "text", TABLE_BYTES):
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), table.encode(rows.column("text").to_pylist()), strict=True):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                        own = ids[4 * start : 4 * (start + capacity)]
-                        n = len(own) // 4
-                        out.append((doc_id, piece, start, n, zlib.crc32(own), task, seen[n]))
-                        seen[n] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names)
+            for rows, buf, off in pieces(batch, "text", TABLE_BYTES):
+                ids, bounds = table.encode(buf, off)
+                ids = np.insert(ids, bounds[1:], END).astype("<u4")
+                size = np.diff(bounds) + 1
+                many = -(-size // capacity)
+                of = np.repeat(np.arange(len(size)), many)
+                piece = spread_rows(many, np.zeros(len(many), np.int64))
+                start = piece * capacity
+                length = np.minimum(capacity, size[of] - start)
+                raw, at = memoryview(ids.tobytes()), np.concatenate(([0], np.cumsum(4 * length))).tolist()
+                crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)), np.int64, len(of))
+                # A piece's number is how many of its length the task has had before.
+                order = np.argsort(length, kind="stable")
+                kinds, first, count = np.unique(length[order], return_index=True, return_counts=True)
+                number = np.empty(len(of), np.int64)
+                number[order] = np.arange(len(of)) - np.repeat(first, count) + np.repeat(seen[kinds], count)
+                seen[kinds] += count
+                own = [piece.astype(np.int32), start, length, crc, np.full(len(of), task, np.int32), number]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(of)), *map(pa.array, own)], names)
 
     return run
 
@@ -198,6 +199,7 @@ def _placed(counts: dict[int, int], capacity: int):
     length, rank, first, offset = (np.array(x, np.int64) for x in zip(*sorted(rows), strict=True)) if rows else (np.zeros(0, np.int64),) * 4
     key = (length << 48) | rank
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, r = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
@@ -216,7 +218,8 @@ def best_fit_packing(docs: DataFrame, path: str | None = None, capacity: int = C
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     by_task = cut(by_task.select("task", "length", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier")), "counts")
     counts = {int(r["length"]): int(r["n"]) for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    ranked = found.join(by_task.select("task", "length", "earlier"), ["task", "length"]).withColumn("rank", F.col("earlier") + F.col("number"))
+    # The counts grow with the number of tasks: a merge join, of rows of numbers only, whose keys are no larger than a task.
+    ranked = found.join(by_task.select("task", "length", "earlier").hint("merge"), ["task", "length"]).withColumn("rank", F.col("earlier") + F.col("number"))
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_placed(counts, capacity), kinds)
 

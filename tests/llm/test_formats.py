@@ -30,13 +30,40 @@ def odd_texts():
     return ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
 
 
-def test_bpe_equals_the_library(library, texts):
-    table = bpe.WordTable(bpe.WordBpe(bpe.vocabulary_path()).encode_words)
+def encoded(table, rows):
+    data = [t.encode() for t in rows]
+    ids, bounds = table.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    return ids, bounds
+
+
+def ids_of(table, rows):
+    ids, bounds = encoded(table, rows)
+    return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+@pytest.mark.parametrize("model", [bpe.WordBpe, packing.LibraryBpe])
+def test_bpe_equals_the_library(library, texts, model):
+    table = bpe.WordTable(model(bpe.vocabulary_path()))
     rows = [t for _, t in texts[:80]] + odd_texts()
-    ids = [np.frombuffer(x, "<u4").tolist() for x in table.encode(rows)]
-    assert ids == [x.ids for x in library.encode_batch(rows, add_special_tokens=False)]
+    want = [x.ids for x in library.encode_batch(rows, add_special_tokens=False)]
+    assert ids_of(table, rows) == want
     model = bpe.WordBpe(bpe.vocabulary_path())
-    assert [model.decode(np.array(x, "<u4").tobytes()).decode() for x in ids] == [library.decode(x, skip_special_tokens=False) for x in ids]
+    assert [x.decode() for x in model.decode(*encoded(table, rows))] == [library.decode(x, skip_special_tokens=False) for x in want]
+    assert ids_of(table, []) == [] and ids_of(table, ["", " "]) == [[], []]
+
+
+def test_merging_together_is_exact_merging():
+    model, rng = bpe.WordBpe(bpe.vocabulary_path()), random.Random(9)
+    units = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(1, 60))) for _ in range(2000)] + ["a", "the", "aaaa" * 12, "w" * 300]
+    assert model.merge_together(units) == [model.merge_exactly(u) for u in units]
+    tokens, sizes = model.propose_together(units)
+    assert [x.tolist() for x in np.split(tokens, np.cumsum(sizes)[:-1])] == [model._propose(u) for u in units]
+
+
+def test_another_split_takes_the_general_way(monkeypatch, library):
+    monkeypatch.setattr(bpe, "_SPLIT", "another")
+    rows = odd_texts()[:200]
+    assert ids_of(bpe.WordTable(bpe.WordBpe(bpe.vocabulary_path())), rows) == [x.ids for x in library.encode_batch(rows, add_special_tokens=False)]
 
 
 def test_compatible_pairs_are_those_of_exact_merging():
@@ -52,10 +79,10 @@ def test_compatible_pairs_are_those_of_exact_merging():
 
 def test_small_tables(monkeypatch, library):
     monkeypatch.setattr(bpe, "TABLE_WORDS", 5)
-    monkeypatch.setattr(bpe, "TABLE_CHARS", 3)
-    table = bpe.WordTable(bpe.WordBpe(bpe.vocabulary_path()).encode_words)
+    monkeypatch.setattr(bpe, "TABLE_BYTES_EACH", 3)
+    table = bpe.WordTable(bpe.WordBpe(bpe.vocabulary_path()))
     for _ in range(3):
-        assert [len(x) // 4 for x in table.encode(ODD)] == [len(x.ids) for x in library.encode_batch(ODD, add_special_tokens=False)]
+        assert ids_of(table, ODD) == [library.encode(t, add_special_tokens=False).ids for t in ODD]
 
 
 def test_bpe_rows(odd, odd_rows, nothing, library):
@@ -123,13 +150,28 @@ def test_streams_come_back():
 
 def test_broken_streams():
     media = bytearray(transport_stream.mux(os.urandom(5000)))
-    lost = bytes(media[: 188 * 5] + media[188 * 6 :])
-    assert transport_stream.demux(lost).continuity_errors == 1
     for bad in (media[:-1], b"", bytes(188), media[: 188 * 0] + b"\0" + media[1:], media[:20] + b"\xee" + media[21:]):
         with pytest.raises(ValueError):
             transport_stream.demux(bytes(bad))
 
 
+def test_lost_repeated_and_reordered_packets():
+    payload = os.urandom(70_000)  # three units
+    p = np.frombuffer(transport_stream.mux(payload), np.uint8).reshape(-1, 188)
+    n = len(p)
+
+    def stream(places):
+        return p[places].tobytes()
+
+    twice = [*range(5), 4, *range(5, n), n - 1]
+    assert transport_stream.demux(stream(twice)).payload == payload
+    for lost in ([*range(5), *range(6, n)], list(range(n - 1)), [*range(300), *range(301, n)], [*range(6), 7, 6, *range(8, n)], [0, 1, *range(18, n)], list(range(n - 16))):
+        with pytest.raises(ValueError):
+            transport_stream.demux(stream(lost))
+    s = transport_stream.demux(stream([*range(5), *range(6, n)]), strict=False)
+    assert s.continuity_errors == 1 and s.broken_units == [0] and s.payload == payload[transport_stream.UNIT :]
+
+
 def test_media_rows(odd, odd_rows, nothing):
     want = []
     for i, t, *_ in odd_rows:
@@ -179,6 +221,21 @@ def test_warc_records_in_any_ranges():
         list(warc.records(lambda at, n: data[:-9][at : at + n], 0, len(data) - 9, len(data) - 9))
 
 
+@pytest.mark.parametrize("which", [0, 11, 29])
+def test_damaged_members_raise(which):
+    """The first, a middle and the last member, damaged in magic, head and body, read in one range and in many."""
+    rng = random.Random(7)
+    made = [warc.record(f"urn:x-page:{i}", "u", rng.randbytes(rng.randint(200, 300)), "00" * 20, None) for i in range(30)]
+    starts = np.cumsum([0, *map(len, made)]).tolist()
+    for at in (starts[which], starts[which] + 12, starts[which] + len(made[which]) // 2, starts[which] + len(made[which]) - 6):
+        data = bytearray(b"".join(made))
+        data[at] ^= 0x55
+        for cuts in ([0, len(data)], [0, *starts[1:30], len(data)], sorted({0, len(data), *(rng.randrange(len(data)) for _ in range(9))})):
+            with pytest.raises((ValueError, zlib.error)):
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    list(warc.records(lambda at, n: bytes(data[at : at + n]), a, b, len(data)))  # noqa: B023
+
+
 def test_warc_members_are_gzip():
     import gzip
 
