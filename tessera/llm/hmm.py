@@ -3,8 +3,9 @@
 Tokens fall into classes: the most frequent words have one each, other words share one by shape (length,
 ending, ASCII or not), and the end of a text has its own. Latent states emit classes; a word's share of its class is
 its add-one count there, with one more place for the unseen, so the model spreads exactly 1 over all texts. States are trained
-by Baum-Welch: each task sums expected counts over its sequences (cut into SEGMENT tokens for training only), and
-tasks' sums are added by a shuffle. Every training document is used in every round. Rounds end when the log10 likelihood
+by Baum-Welch: each task sums expected counts over its whole sequences, and tasks' sums are added by a shuffle. The forward vectors
+of a batch are kept at every BLOCK-th token only and made again block by block on the way back, so memory is bounded though no
+sequence is cut. Every training document is used in every round. Rounds end when the log10 likelihood
 per token rises by less than TOLERANCE, ROUNDS at most. They start from states that already differ: pairs of neighbouring
 classes, counted over all training texts, are split into states on the driver (Hmm.of_pairs). The likelihood of a
 whole text is the scaled forward recursion, exact, over all texts of a batch at once.
@@ -30,13 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, as_long, cut, load, pieces, utf8, word_hashes, words
+from tessera.llm.common import U64, as_long, cut, load, pieces, trimmed, utf8, word_hashes, words
 from tessera.llm.quality_classifier import held_out
 
 STATES = 6
-ROUNDS = 40
-TOLERANCE = 5e-4
-SEGMENT = 256
+ROUNDS = 14
+TOLERANCE = 1e-3
+#: Tokens between the forward vectors that are kept.
+BLOCK = 32
 TABLE = 200_000
 #: Classes: shapes first, then single words, then the end.
 SHAPES, SINGLE = 64, 190
@@ -115,6 +117,7 @@ def _encoded(v: Vocabulary):
     `rare` has the keys of the other words, an entry for each occurrence."""
     logs = np.log10(v.count + 1.0)
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -181,73 +184,87 @@ class Hmm:
         first, step, emit = flat[:states], flat[states : states + states * states].reshape(states, states), flat[states + states * states :].reshape(states, CLASSES)
         return cls(*((x + 0.1) / (x + 0.1).sum(-1, keepdims=True) for x in (first, step, emit)))
 
-    def expected(self, obs: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Baum-Welch counts (first, step, emit, flat) of sequences: obs[t, i] is valid for t < size[i];
-        sizes descend."""
-        return self.counted(obs, size)[0]
-
-    def counted(self, obs: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, float]:
-        """The expected counts, and the log10 likelihood."""
-        steps, n = obs.shape
-        k = len(self.first)
-        emit = np.ascontiguousarray(self.emit.T)
-        live = [int(x) for x in np.searchsorted(-size, -np.arange(steps), side="left")]
-        alpha, scale = np.zeros((steps, n, k)), np.ones((steps, n))
-        for t in range(steps):
+    def counted(self, flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, float]:
+        """Baum-Welch counts (first, step, emit, flat) of the class sequences flat[off[i]:off[i + 1]], none of them empty, and their log10 likelihood."""
+        size = np.diff(off)
+        order = np.argsort(-size, kind="stable")
+        at, size = off[:-1][order], size[order]
+        k, steps = len(self.first), int(size[0])
+        live = np.searchsorted(-size, -np.arange(steps), side="left").tolist()
+        # Vectors are columns, so that the long rows are of one state each; single precision, sums in double.
+        first, back, table = (x.astype(np.float32) for x in (self.first, self.step, self.emit))
+        onward = np.ascontiguousarray(back.T)
+
+        def forward(before: np.ndarray | None, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(classes, scaled vectors, scales) at place t."""
             m = live[t]
-            a = (self.first if t == 0 else alpha[t - 1, :m] @ self.step) * emit[obs[t, :m]]
-            scale[t, :m] = z = a.sum(1)
-            alpha[t, :m] = a / z[:, None]
-        beta = np.ones((n, k))
-        pairs = np.zeros((k, k))
-        for t in range(steps - 1, -1, -1):
-            m = live[t + 1] if t + 1 < steps else 0
-            if m:
-                b = emit[obs[t + 1, :m]] * beta[:m] / scale[t + 1, :m, None]
-                pairs += alpha[t, :m].T @ b
-                beta[:m] = b @ self.step.T
-            alpha[t] *= beta  # now the posteriors
-        valid = np.arange(steps)[:, None] < size
-        seen = obs[valid]
-        emitted = np.stack([np.bincount(seen, alpha[..., s][valid], CLASSES) for s in range(k)])
-        return np.concatenate((alpha[0].sum(0), (pairs * self.step).ravel(), emitted.ravel())), float(np.log10(scale).sum())
+            seen = flat[at[:m] + t]
+            a = table.take(seen, 1)
+            a *= first[:, None] if before is None else onward @ before[:, :m]
+            z = a.sum(0)
+            a /= z
+            return seen, a, z
+
+        kept, a, log = [], None, 0.0
+        for t in range(steps):
+            if t % BLOCK == 0:
+                kept.append(a)
+            _, a, z = forward(a, t)
+            log += float(np.log10(z).sum(dtype=np.float64))
+        behind, pairs, emitted = np.ones((k, len(size)), np.float32), np.zeros((k, k)), np.zeros((k, CLASSES))
+        while kept:
+            start = len(kept) * BLOCK - BLOCK
+            held, made, after = [kept.pop()], [], []
+            for t in range(start, min(steps, start + BLOCK)):
+                made.append(forward(held[-1], t))
+                held.append(made[-1][1])
+            for t in range(start + len(made) - 1, start - 1, -1):
+                seen, a, z = made[t - start]
+                m = live[t]
+                after.append(a * behind[:, :m])
+                if t:
+                    b = table.take(seen, 1)
+                    b *= behind[:, :m]
+                    b /= z
+                    pairs += held[t - start][:, :m] @ b.T
+                    behind[:, :m] = back @ b
+            classes, all_after = np.concatenate([x[0] for x in reversed(made)]), np.concatenate(after, 1)
+            emitted += np.stack([np.bincount(classes, x, CLASSES) for x in all_after])
+        return np.concatenate((after[-1].sum(1, dtype=np.float64), (pairs * self.step).ravel(), emitted.ravel())), log
 
     def log10(self, flat: np.ndarray, off: np.ndarray) -> np.ndarray:
         """log10 probability of each class sequence flat[off[i]:off[i + 1]] by the scaled forward recursion."""
         size = np.diff(off)
         order = np.argsort(-size, kind="stable")
         at, size = off[:-1][order], size[order]
-        emit = np.ascontiguousarray(self.emit.T)
         steps = int(size[0]) if len(size) else 0
+        onward = np.ascontiguousarray(self.step.T)
         live = np.searchsorted(-size, -np.arange(steps), side="left").tolist()
         total, a = np.zeros(len(size)), None
         for t, m in enumerate(live):
-            a = (self.first if a is None else a[:m] @ self.step) * emit[flat[at[:m] + t]]
-            z = a.sum(1)
-            a /= z[:, None]
+            before = self.first[:, None] if a is None else onward @ a[:, :m]
+            a = self.emit.take(flat[at[:m] + t], 1)
+            a *= before
+            z = a.sum(0)
+            a /= z
             total[:m] += np.log10(z)
         out = np.empty(len(size))
         out[order] = total
         return out
 
 
-def _expected(model: Hmm, rows: int = 2000):
+def _expected(model: Hmm):
     """Batches of (classes) to one (place, value) for each expected count of the task; then come the log10 likelihood and the tokens."""
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = 0.0
         for batch in batches:
             flat, off = utf8(batch.column("classes"))
-            starts = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
-            stops = np.minimum(starts + SEGMENT, np.repeat(off[1:], -(-np.diff(off) // SEGMENT)))
-            order = np.argsort(starts - stops, kind="stable")
-            for i in range(0, len(order), rows):
-                s, size = starts[order[i : i + rows]], (stops - starts)[order[i : i + rows]]
-                t = np.arange(int(size[0]))[:, None]
-                found, log = model.counted(flat[np.minimum(s + t, len(flat) - 1)], size)
-                found = np.concatenate((found, [log, size.sum()]))
-                total = found if total is None else total + found
-        if total is not None:
+            if len(flat):
+                found, log = model.counted(flat, off[np.append(True, off[1:] > off[:-1])])
+                total = total + np.concatenate((found, [log, len(flat)]))
+        if not np.isscalar(total):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["place", "value"])
 
     return run
@@ -293,6 +310,7 @@ def train(sequences: DataFrame, states: int = STATES, rounds: int = ROUNDS, tole
 
 
 def _scored(model: Hmm, v: Vocabulary):
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, off = utf8(batch.column("classes"))

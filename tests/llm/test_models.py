@@ -98,25 +98,30 @@ def exact(model, obs):
     return total, counts / total
 
 
-def test_forward_and_expected_counts():
+@pytest.mark.parametrize("block", [1, 2, 3, hmm.BLOCK])
+def test_forward_and_expected_counts(monkeypatch, block):
+    """Against all paths, over several blocks of a sequence."""
+    monkeypatch.setattr(hmm, "BLOCK", block)
     model, rng = hmm.Hmm.start(2), np.random.default_rng(3)
-    sequences = [rng.integers(0, hmm.CLASSES, n).astype(np.uint8) for n in (6, 4, 4, 1)]
-    flat, off = np.concatenate(sequences), np.cumsum([0, 6, 4, 4, 1])
+    sizes = [4, 9, 6, 1, 4, 8]
+    sequences = [rng.integers(0, hmm.CLASSES, n).astype(np.uint8) for n in sizes]
+    flat, off = np.concatenate(sequences), np.cumsum([0, *sizes])
     want = [exact(model, s) for s in sequences]
     assert np.allclose(model.log10(flat, off), [math.log10(p) for p, _ in want])
-    obs = np.zeros((6, 4), np.uint8)
-    for i, s in enumerate(sequences):
-        obs[: len(s), i] = s
-    assert np.allclose(model.expected(obs, np.diff(off)), sum(c for _, c in want))
+    counts, log = model.counted(flat, off)
+    assert np.allclose(counts, sum(c for _, c in want)) and np.isclose(log, sum(math.log10(p) for p, _ in want))
 
 
-def test_training_raises_the_likelihood(odd, spark):
+def test_training_raises_the_likelihood():
     rng = np.random.default_rng(4)
-    rows = [(bytes(rng.integers(0, 4, 300).astype(np.uint8) * 2 + i % 2),) for i in range(40)]
-    df = spark.createDataFrame(rows, "classes binary").repartition(3)
-    flat, off = np.frombuffer(b"".join(r[0] for r in rows), np.uint8), np.arange(41) * 300
-    scores = [hmm.train(df, 3, n).log10(flat, off).sum() for n in (0, 1, 3)]
-    assert scores == sorted(scores) and scores[0] < scores[2]
+    rows = [rng.integers(0, 4, 300) * 2 + i % 2 for i in range(40)]
+    flat, off = np.concatenate(rows).astype(np.uint8), np.arange(41) * 300
+    model, logs = hmm.Hmm.start(3), []
+    for _ in range(8):
+        counts, log = model.counted(flat, off)
+        logs.append(log)
+        model = hmm.Hmm.of_counts(counts, 3)
+    assert logs == sorted(logs) and logs[-1] > logs[0] + 100
 
 
 @pytest.mark.parametrize("table", [hmm.TABLE, 3])
@@ -136,11 +141,21 @@ def test_base_scores(odd, odd_rows, table):
     assert all(r.score <= 0 for r in rows)
 
 
-def test_scores_sum_to_one(spark):
-    """Over all texts of up to one word from a closed set the model gives at most 1, and counts the unseen."""
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "a", "b", "cc", "dd", "a", "b b"] * 4)], "doc_id long, text string")
-    rows = {r.text: 10**r.score for r in hmm.hmm_scores(docs, 2, 2).join(docs, "doc_id").collect()}
-    assert sum(rows.values()) < 1
+def test_scores_sum_to_one():
+    """The class model spreads 1 over all sequences that end, and a class's words and the unseen share its mass."""
+    model = hmm.Hmm.start(2)
+    model.emit[:] = 1e-12  # three classes besides the end
+    model.emit[:, [0, 1, 2]], model.emit[:, hmm.END] = 0.15, 0.55
+    total = sum(10.0 ** model.log10(np.array([*x, hmm.END], np.uint8), np.array([0, n + 1]))[0] for n in range(9) for x in itertools.product(range(3), repeat=n))
+    assert math.isclose(total, 1 - 0.45**9, rel_tol=1e-6)
+
+
+def test_class_shares(spark):
+    """exp10(score) of a text of one word, over the class model's part, is the word's add-one share of its class."""
+    texts = ["a", "a", "b", "cc", "dd", "a", "b b"] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.text: r.score for r in hmm.hmm_scores(docs, 2, 2).join(docs, "doc_id").collect()}
+    assert all(x < 0 for x in rows.values()) and rows["a"] > rows["dd"] and sum(10**x for x in rows.values()) < 1
 
 
 def test_empty_table(nothing):
