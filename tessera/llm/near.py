@@ -19,14 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, RangeHash, as_long, cut, mix, pieces, word_hashes, words
+from tessera.llm.common import U64, RangeHash, as_long, cut, in_table, marked, mix, pieces, trimmed, word_hashes, words
 
 SHINGLE = 5
 BANDS, ROWS = 20, 5
 #: The most nodes of a band that are compared pair by pair, and how many a node of larger ones is compared with.
 BUCKET, PIVOTS = 48, 4
-#: Bits of the table by which tasks pass over texts that are in no candidate pair, before texts are shuffled.
-SLOTS = 1 << 23
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -95,6 +93,7 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
 def _alike(similarity: float, rows: int = 256):
     """Batches of (u, v, s, t), s and t the texts, to those (u, v) whose texts are alike."""
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, rows):
@@ -108,31 +107,32 @@ def _alike(similarity: float, rows: int = 256):
     return run
 
 
-def _marked(ends: DataFrame) -> np.ndarray:
-    """The bytes of a table of SLOTS bits, those of the nodes set: 1 MB at most reaches the driver."""
-    slot = F.col("node").bitwiseAND(F.lit(SLOTS - 1)) + 1
-    table = np.zeros(SLOTS // 8, np.uint8)
-    for r in ends.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect():
-        table[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, np.uint8)
-    return table
+def _node_texts(table: np.ndarray):
+    """Batches of (text) to (node, text) of nodes in the table, each node once a task."""
 
-
-def _wanted(table: np.ndarray):
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had: set[int] = set()
         for batch in batches:
-            slot = batch.column("node").to_numpy() & (SLOTS - 1)
-            yield batch.filter(pa.array((table[slot >> 3] >> (slot & 7) & 1).astype(bool)))
+            for rows, buf, off in pieces(batch, "text"):
+                node = shingles(buf, off)[2].view(np.int64)
+                keep = in_table(table, node)
+                for i in np.flatnonzero(keep).tolist():
+                    keep[i] = int(node[i]) not in had
+                    had.add(int(node[i]))
+                yield pa.RecordBatch.from_arrays([as_long(node), rows.column("text")], ["node", "text"]).filter(pa.array(keep))
 
     return run
 
 
-def links(rows: DataFrame, similarity: float) -> DataFrame:
-    """rows(node, bands, fp, text), fp the same in all rows of a node: edges (u, v) of the fps of alike texts."""
+def links(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """rows(node, bands, fp), fp the same in all rows of a node, of texts(text): edges (u, v) of the fps of alike texts."""
     found = cut(candidates(rows.select(F.explode("bands").alias("key"), "node")), "candidates")
-    ends = found.select("u").union(found.select("v")).distinct().withColumnRenamed("u", "node")
-    wanted = rows.select("node", "fp", "text").mapInArrow(_wanted(_marked(ends)), "node long, fp long, text string")
-    texts = cut(wanted.join(ends, "node").groupBy("node").agg(F.first("fp").alias("fp"), F.first("text").alias("text")), "texts")
-    left = texts.select(F.col("node").alias("u"), F.col("fp").alias("f"), F.col("text").alias("s"))
-    right = texts.select(F.col("node").alias("v"), F.col("fp").alias("g"), F.col("text").alias("t"))
+    nodes = found.select(F.col("u").alias("node")).union(found.select("v")).distinct()
+    ends = cut(rows.join(nodes, "node").groupBy("node").agg(F.first("fp").alias("fp")), "ends")
+    held = texts.mapInArrow(_node_texts(marked(ends, "node")), "node long, text string")
+    held = cut(held.join(ends, "node").groupBy("node").agg(F.first("fp").alias("fp"), F.first("text").alias("text")), "texts")
+    left = held.select(F.col("node").alias("u"), F.col("fp").alias("f"), F.col("text").alias("s"))
+    right = held.select(F.col("node").alias("v"), F.col("fp").alias("g"), F.col("text").alias("t"))
     pairs = found.join(left, "u").join(right, "v").where("f <> g").select(F.col("f").alias("u"), F.col("g").alias("v"), "s", "t")
     return pairs.mapInArrow(_alike(similarity), "u long, v long").distinct()

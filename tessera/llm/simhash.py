@@ -4,8 +4,10 @@ A fingerprint is cut into two segments of 32 bits. If two fingerprints differ in
 segment differs in at most one, so the two agree in one of its 32 variants with one bit left out. The
 64 variants of each distinct fingerprint are the index; equal variants meet and are verified by counting
 bits. Copies are one fingerprint, whatever their number. Variants that more than BUCKET fingerprints
-share would give a square of pairs: their fingerprints get the 2016 variants of all 64 bits with two
-left out instead, whose members need no pairs, only a link to the smallest. No link is lost either way.
+share would give a square of pairs: there the 64 bits are one segment, of which two bits are left out (2016 variants of a
+fingerprint), and members need no pairs, only a link to the smallest. No link is lost either way. (Cutting a crowded key further
+by its other 33 bits costs 33, then 17, 9, ... variants for each of up to 64 crowded keys of a fingerprint, which in a dense group, where no
+cut thins the keys out, is more than 2016.)
 
 One or two bits are much tighter than near copies are. With `similarity`, texts whose sets of five-word shingles have at least
 that Jaccard similarity are linked too (near.py), whatever their fingerprints; the pipeline's stage asks for it, the query doesn't.
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import near
-from tessera.llm.common import cut, load
+from tessera.llm.common import cut, load, trimmed, widened
 from tessera.llm.components import components
 
 SHINGLE = 3
@@ -49,13 +51,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def _fingerprints(shingle: int, keep: bool = False):
-    """keep: the text stays, with its node and bands."""
+def _fingerprints(shingle: int, sketch: bool = False):
+    """sketch: with the node and bands of the text."""
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in near.sketched(batches) if keep else batches:
+        for batch in near.sketched(batches) if sketch else batches:
             fp = [fingerprint(x.as_py(), shingle) for x in batch.column("text")]
-            names = [c for c in batch.schema.names if keep or c != "text"]
+            names = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fp, pa.int64())], [*names, "fp"])
 
     return run
@@ -65,7 +68,7 @@ def links(fps: DataFrame) -> DataFrame:
     """fps(fp), distinct: edges (u, v) that join all fingerprints with at most two differing bits."""
     j = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j")
     key = F.expr("(cast(j as bigint) << 32) | (shiftrightunsigned(fp, 32 * (j div 32)) & 4294967295L & ~shiftleft(1L, j % 32))")
-    index = fps.select("fp", j).select("fp", key.alias("key"))
+    index = widened(fps).select("fp", j).select("fp", key.alias("key"))
     buckets = cut(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"), "buckets")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE
     pairs = buckets.where("n = 2").select("u", "v").where(near).distinct()
@@ -75,21 +78,22 @@ def links(fps: DataFrame) -> DataFrame:
     small = crowded.where(F.col("n") <= BUCKET)
     more = small.select("key", F.col("fp").alias("u")).join(small.select("key", F.col("fp").alias("v")), "key").where("u < v").where(near).select("u", "v").distinct()
     two = F.explode(F.expr("flatten(transform(sequence(1, 63), a -> transform(sequence(0, a - 1), b -> shiftleft(1L, a) | shiftleft(1L, b))))")).alias("out")
-    wide = crowded.where(F.col("n") > BUCKET).select("fp").distinct().select("fp", two).select("fp", "out", F.expr("fp & ~out").alias("rest"))
+    wide = widened(crowded.where(F.col("n") > BUCKET).select("fp").distinct()).select("fp", two).select("fp", "out", F.expr("fp & ~out").alias("rest"))
     stars = wide.groupBy("out", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("v"), F.collect_set("fp").alias("all")).where("n > 1")
     return pairs.union(more).union(stars.select(F.explode("all").alias("u"), "v").where("u <> v").distinct())
 
 
 def _linked(rows: DataFrame, shingle: int, similarity: float | None = None) -> DataFrame:
     """rows(text, doc_id, ...) to the other columns, fp, root (the component's smallest fingerprint) and component_id."""
-    keep = similarity is not None
-    kinds = ", ".join(f"{name} {kind}" for name, kind in (rows if keep else rows.drop("text")).dtypes)
-    rows = cut(rows.mapInArrow(_fingerprints(shingle, keep), f"{kinds}, {'node long, bands array<long>, ' * keep}fp long"), "fingerprints")
+    sketch = similarity is not None
+    texts = rows.select("text")
+    kinds = ", ".join(f"{name} {kind}" for name, kind in rows.drop("text").dtypes)
+    rows = cut(rows.mapInArrow(_fingerprints(shingle, sketch), f"{kinds}, {'node long, bands array<long>, ' * sketch}fp long"), "fingerprints")
     own = rows.groupBy("fp").agg(F.min("doc_id").alias("lo"))
     edges = links(own.select("fp"))
-    if keep:
-        edges = edges.union(near.links(rows, similarity))
-        rows = rows.drop("text", "node", "bands")
+    if sketch:
+        edges = edges.union(near.links(rows, texts, similarity))
+        rows = rows.drop("node", "bands")
     roots = components(edges)
     named = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "lo", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("lo").alias("component_id"))
