@@ -53,6 +53,30 @@ def byte_dedup(rows, length=400):
     return out
 
 
+def clean(rows, length):
+    """[(id, text)] without byte strings that occur twice, but characters of which a part repeats stay whole."""
+    seen, data, out = collections.Counter(), [t.encode() for _, t in rows], []
+    for b in data:
+        seen.update(hash(b[j : j + length]) for j in range(len(b) - length + 1))
+    for (i, _), b in zip(rows, data, strict=True):
+        runs = []
+        for j in range(len(b) - length + 1):
+            if seen[hash(b[j : j + length])] > 1:
+                if runs and j <= runs[-1][1]:
+                    runs[-1][1] = j + length
+                else:
+                    runs.append([j, j + length])
+        kept, at = b"", 0
+        for x, y in runs:
+            while x < y and b[x] & 0xC0 == 0x80:
+                x += 1
+            while x < y < len(b) and b[y] & 0xC0 == 0x80:
+                y -= 1
+            kept, at = kept + b[at:x], y
+        out.append((i, (kept + b[at:]).decode()))
+    return out
+
+
 def fingerprint(text):
     w = words(lower(text))
     shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])

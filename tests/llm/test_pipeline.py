@@ -1,10 +1,19 @@
+import collections
 import os
+import zlib
+
+import numpy as np
 
 import corpus_pipeline
 from tessera.llm import registry
+from tessera.llm.bpe import vocabulary_path
 from tessera.llm.common import cut
 
 from . import brute
+from .test_near import components
+
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+from tokenizers import Tokenizer  # noqa: E402
 
 
 def test_queries_and_sql_names():
@@ -24,13 +33,19 @@ def test_stages_against_brute_force(spark, small):
         n, _, _, _, again = brute.rule_counts(t)
         if n >= 20 and 100 * again <= 30 * n:  # the regression's own rejections are junk by sight
             assert sum(map(t.count, "#*$%&|!")) > 5, i
-    fps = [(i, brute.fingerprint(t)) for i, t in rows[2]]
-    assert sorted(i for i, _ in rows[3]) == sorted(set(brute.components(fps)))
-    kept = {i: b for i, *_, b in brute.byte_dedup(rows[3])}
+    assert sorted(i for i, _ in rows[3]) == sorted(set(components(rows[2])))
+    assert sorted(rows[4]) == sorted(brute.clean(rows[3], corpus_pipeline.REPEAT_BYTES)) and sorted(rows[4]) != sorted(rows[3])
+    library, pieces = Tokenizer.from_file(vocabulary_path()), after[-1].collect()
+    want = []
     for i, t in rows[4]:
-        assert t.encode().startswith(b"") and abs(len(t.encode()) - len(kept[i])) <= 6 and len(t.encode()) >= len(kept[i])
-    pieces = after[-1].collect()
-    assert {r.doc_id for r in pieces} == {i for i, _ in rows[4]} and all(r.length <= 2048 for r in pieces)
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        want += [(i, s // 2048, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes())) for s in range(0, len(ids), 2048)]
+    assert sorted(tuple(r)[:5] for r in pieces) == sorted(want)
+    used = collections.Counter()
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used[r.sequence_id]
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048 and len(used) <= sum(used.values()) / 2048 * 1.05 + 1
 
 
 def test_run(spark, small):
@@ -45,5 +60,6 @@ def test_stages_on_odd_rows(spark, odd, nothing, labels, tmp_path):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, folder).columns == docs.columns
             docs = cut(stage(spark, docs, folder), "stage")
-        corpus_pipeline.packing_stage(spark, docs, folder).count()
-    assert os.path.isdir(tmp_path)
+        texts = [r.text for r in docs.collect()]
+        packed = corpus_pipeline.packing_stage(spark, docs, folder).collect()
+        assert len(packed) >= len(texts) and sum(r.piece == 0 for r in packed) == len(texts)
