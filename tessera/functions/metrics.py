@@ -36,24 +36,34 @@ def word_distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         yield pd.Series([None if x is None or y is None else _distance(x.split(), y.split()) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
+#: Words that both texts have, at most, for a distance without Python: private-use characters less two.
+NATIVE_WORDS = 6398
+
+
 def word_distance_native(reference: Column, hypothesis: Column) -> Column:
-    """Without Python: each distinct word of the pair becomes one private-use character. For pairs of at most
-    6,400 distinct words; beyond them it fails."""
+    """Without Python: each word that both texts have becomes a private-use character of its own; the words that only one text has
+    become one character, as they equal nothing. Null beyond NATIVE_WORDS common words."""
     r, h = words(reference), words(hypothesis)
-    kinds = F.array_union(r, h)
-    checked = F.when(F.size(kinds) <= 6400, kinds).otherwise(F.raise_error(F.lit("more than 6,400 distinct words")).cast("array<string>"))
+    common = F.array_intersect(r, h)
+
+    def coded(ws: Column, alone: int) -> Column:
+        place = F.when(F.size(common) > 0, F.transform(ws, lambda w: F.coalesce(F.nullif(F.array_position(common, w), F.lit(0).cast("long")) + 1, F.lit(alone).cast("long")))).otherwise(F.transform(ws, lambda w: F.lit(alone).cast("long")))
+        return F.array_join(F.transform(place, lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 0xE000), 4, "0")), "UTF-16BE")), "")
+
+    return F.when(F.size(common) <= NATIVE_WORDS, F.levenshtein(coded(r, 0), coded(h, 1)))
 
-    def coded(ws: Column) -> Column:
-        return F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(checked, w) + 0xDFFF), 4, "0")), "UTF-16BE")), "")
 
-    return F.levenshtein(coded(r), coded(h))
+def word_distance_any(reference: Column, hypothesis: Column) -> Column:
+    """word_distance_native, and Python only for the pairs that are beyond it."""
+    beyond = F.size(F.array_intersect(words(reference), words(hypothesis))) > NATIVE_WORDS
+    return F.coalesce(word_distance_native(reference, hypothesis), word_distance(F.when(beyond, reference), F.when(beyond, hypothesis)))
 
 
 def _rate(distance: Column, size: Column, other: Column) -> Column:
     return F.when(size == 0, F.when(other == 0, 0.0).otherwise(1.0)).otherwise(distance / size)
 
 
-def wer(reference: Column, hypothesis: Column, distance=word_distance) -> Column:
+def wer(reference: Column, hypothesis: Column, distance=word_distance_any) -> Column:
     return _rate(distance(reference, hypothesis), F.size(words(reference)), F.size(words(hypothesis)))
 
 

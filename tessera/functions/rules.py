@@ -23,7 +23,6 @@ CONFUSIONS = {
     "ქ": "კღ", "ძ": "ზჯ", "ჯ": "ძჭ", "ც": "ხჩ", "ჩ": "ცხ", "ხ": "ცჩ", "ჰ": "ღკ", "ე": "ო",
 }
 DROPPED_LETTERS = "რლნვმდთს"
-ALPHABET = "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ"
 
 # Limits of the variant generators.
 MAX_SUBSTITUTIONS, MAX_INSERTIONS, MAX_DELETIONS = 96, 220, 64

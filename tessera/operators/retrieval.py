@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.stage import staged
+
 #: Runs of two or more word characters, lower case.
 TERM = r"(?U)\b\w\w+\b"
 
@@ -27,15 +29,25 @@ def weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def essential(qw: DataFrame, cw: DataFrame) -> DataFrame:
+    """Of qw(q, term, qw) the terms that a best chunk must share one of. A term adds at most qw times the largest weight that a chunk gives it, and
+    the best similarity is at least the largest of these bounds; the smallest bounds of a query that stay below it together are left out."""
+    bound = qw.join(cw.groupBy("term").agg(F.max("weight").alias("most")), "term").withColumn("bound", F.col("qw") * F.col("most"))
+    own = Window.partitionBy("q")
+    summed = F.sum("bound").over(own.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
+    return bound.withColumn("summed", summed).withColumn("least", F.max("bound").over(own)).where("summed >= least - 1e-8").select("q", "term")
+
+
 def top1(queries: DataFrame, chunks: DataFrame, query_id: str, chunk_id: str, query_text: str = "text", chunk_text: str = "text") -> DataFrame:
     """Per query: the chunk of highest cosine similarity, the first on ties; similarity 0 with the first chunk if no
-    term is shared. Pairs without a shared term are never made; the maximum is a partial aggregate."""
+    term is shared. Pairs are made by a query's essential terms only, so that common words make none; the maximum is a partial aggregate."""
     q, c = queries.select(F.col(query_id).alias("q"), F.col(query_text).alias("t")), chunks.select(F.col(chunk_id).alias("c"), F.col(chunk_text).alias("t"))
-    counts = term_counts(c, "c", "t")
+    counts = staged(term_counts(c, "c", "t"), "counts")
     idf = inverse_frequency(counts, c)
-    qw = weights(term_counts(q, "q", "t"), idf, "q").withColumnRenamed("weight", "qw")
-    cw = weights(counts, idf, "c")
-    sims = cw.join(qw, "term").groupBy("q", "c").agg(F.sum(F.col("weight") * F.col("qw")).alias("similarity"))
+    qw = staged(weights(term_counts(q, "q", "t"), idf, "q").withColumnRenamed("weight", "qw"), "queries")
+    cw = staged(weights(counts, idf, "c"), "weights")
+    pairs = cw.join(essential(qw, cw), "term").select("q", "c").distinct()
+    sims = pairs.join(qw, "q").join(cw, ["c", "term"]).groupBy("q", "c").agg(F.sum(F.col("weight") * F.col("qw")).alias("similarity"))
     # Sums in another order differ in the last bits; rounding keeps ties ties.
     sims = sims.withColumn("similarity", F.round("similarity", 9))
     best = sims.groupBy("q").agg(F.max(F.struct("similarity", (-F.col("c")).alias("back"))).alias("m"))

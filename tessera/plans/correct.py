@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 import pandas as pd
@@ -17,27 +18,46 @@ from tessera.functions.rules import TOKEN_FIXES
 from tessera.functions.safety import gate, with_verdict
 from tessera.functions.text import GATE_LETTERS, changed_cores, fix_tokens, nfc, prompt, strip
 from tessera.operators.lexicon import rescored
+from tessera.operators.stage import staged
 
 #: A prompt to answer. Must be picklable; may raise, which rejects that segment alone.
 Client = Callable[[str], str]
 
-TEMPLATE = "Correct only clear recognition errors; leave the rest as it is.\n\n{examples}\n\n{chunk}"
+# The prompt is ours; a caller with one of their own passes template and examples, or a client with another system text.
+SYSTEM = (
+    "You correct Georgian text that a speech recogniser wrote. Mend words that were clearly misheard and leave everything else: word order, "
+    "endings, punctuation, names and numbers. Both forms of a word that has two are right. Add nothing, explain nothing, and "
+    "answer with the corrected text alone. If nothing is wrong, answer with the text as it is."
+)
+EXAMPLES = "\n\n".join(
+    f"Text: {a}\nCorrected: {b}"
+    for a, b in (
+        ("დღეს საწმელს ვამზადებ", "დღეს საჭმელს ვამზადებ"),
+        ("ჩიტი მაგლა დაფლინავს", "ჩიტი მაღლა დაფრინავს"),
+        ("ხვალ სკოლაში მივდივარ", "ხვალ სკოლაში მივდივარ"),
+    )
+)
+TEMPLATE = "Examples:\n\n{examples}\n\nThe text to correct:\n{chunk}"
 
 SEGMENT = ["doc_id", "seg_idx", "source", "output", "skipped_llm", "skip_reason", "rejected_model", "reject_reason", "pre_llm"]
 
 
 class HttpClient:
-    """A local model server's generate call, answer as one message."""
+    """The generate call of a local model server: one JSON request, one JSON answer that holds `response`."""
 
-    def __init__(self, settings: Settings, system: str = ""):
+    def __init__(self, settings: Settings, system: str = SYSTEM):
         self.settings, self.system = settings, system
 
+    def request(self, text: str) -> urllib.request.Request:
+        asked = {"model": self.settings.llm_model, "prompt": text, "system": self.system, "stream": False, "options": {"temperature": self.settings.llm_temperature}}
+        return urllib.request.Request(self.settings.llm_host + "/api/generate", data=json.dumps(asked).encode(), headers={"Content-Type": "application/json"}, method="POST")
+
     def __call__(self, text: str) -> str:
-        s = self.settings
-        body = {"model": s.llm_model, "system": self.system, "prompt": text, "stream": False, "options": {"temperature": s.llm_temperature}}
-        request = urllib.request.Request(f"{s.llm_host}/api/generate", json.dumps(body, ensure_ascii=False).encode(), {"Content-Type": "application/json; charset=utf-8"})
-        with urllib.request.urlopen(request, timeout=s.llm_timeout_s) as r:
-            return str(json.loads(r.read().decode("utf-8", "replace")).get("response", "")).strip()
+        with urllib.request.urlopen(self.request(text), timeout=self.settings.llm_timeout_s) as answer:
+            found = json.load(answer)
+        if not isinstance(found, dict) or "error" in found:
+            raise RuntimeError(f"the model server answered {found!r:.200}")
+        return str(found.get("response") or "").strip()
 
 
 def segments(docs: DataFrame, settings: Settings, fixes: dict[str, str] = TOKEN_FIXES, lexicon: DataFrame | None = None, **tables) -> DataFrame:
@@ -51,27 +71,33 @@ def segments(docs: DataFrame, settings: Settings, fixes: dict[str, str] = TOKEN_
     return df.drop("preserve").withColumn("pre_llm", F.when(F.col("working") != F.col("source"), F.col("working")))
 
 
-def answered(df: DataFrame, client: Client, text: str = "prompt") -> DataFrame:
-    """df with candidate and failed; rows go through the client one by one, in Arrow batches."""
+def answered(df: DataFrame, client: Client, text: str = "prompt", at_once: int = 1) -> DataFrame:
+    """df with candidate and failed; rows go through the client in Arrow batches, `at_once` calls of a task side by side (a
+    client called so must bear threads)."""
+
+    def ask(x: str) -> tuple[str | None, bool]:
+        try:
+            return client(x), False
+        except Exception:  # noqa: BLE001  one segment never fails the batch
+            return None, True
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            candidate, failed = [], []
-            for x in batch[text]:
-                try:
-                    candidate.append(client(x))
-                    failed.append(False)
-                except Exception:  # noqa: BLE001  one segment never fails the batch
-                    candidate.append(None)
-                    failed.append(True)
+            if at_once > 1:
+                with ThreadPoolExecutor(at_once) as pool:
+                    answers = list(pool.map(ask, batch[text]))
+            else:
+                answers = [ask(x) for x in batch[text]]
+            candidate, failed = [a for a, _ in answers], [f for _, f in answers]
             yield batch.assign(candidate=pd.Series(candidate, index=batch.index, dtype=object), failed=pd.Series(failed, index=batch.index, dtype=bool))
 
     kinds = ", ".join(f"{c} {t}" for c, t in df.dtypes)
     return df.mapInPandas(run, f"{kinds}, candidate string, failed boolean")
 
 
-def corrected_segments(docs: DataFrame, settings: Settings, client: Client | None = None, letters: str = GATE_LETTERS, template: str = TEMPLATE, examples: str = "", **rules) -> DataFrame:
-    """The segment report. The gate is a filter before the model, since a UDF in a CASE sees all rows."""
+def corrected_segments(docs: DataFrame, settings: Settings, client: Client | None = None, gate_letters: str = GATE_LETTERS, template: str = TEMPLATE, examples: str = EXAMPLES, at_once: int = 1, **rules) -> DataFrame:
+    """The segment report. The gate is a filter before the model, since a UDF in a CASE sees all rows. What comes before the gate is
+    staged: the skipped and the asked segments are two branches of one table."""
     df = segments(docs, settings, **rules)
     none = F.lit("")
 
@@ -81,10 +107,10 @@ def corrected_segments(docs: DataFrame, settings: Settings, client: Client | Non
     if not settings.use_llm:
         return result(df, F.col("working"), True, F.lit("ollama_disabled"), F.lit(False), none)
     client = client or HttpClient(settings)
-    df = df.withColumn("gate", gate(F.col("working"), letters))
+    df = staged(df.withColumn("gate", gate(F.col("working"), gate_letters)), "segments")
     skipped = result(df.where("gate <> 'ok'"), F.col("working"), True, F.col("gate"), F.lit(False), none)
     asked = df.where("gate = 'ok'").withColumn("prompt", prompt(template, chunk=F.col("working"), examples=examples))
-    asked = answered(asked, client).withColumn("proposed", nfc(F.col("candidate")))
+    asked = answered(asked, client, at_once=at_once).withColumn("proposed", nfc(F.col("candidate")))
     asked = with_verdict(asked, "working", "proposed", min_ratio=settings.min_sequence_ratio, max_relative=settings.max_relative_length)
     accepted = ~F.col("failed") & F.coalesce("accepted", F.lit(False))
     why = F.when(F.col("failed"), "ollama_error").when(accepted, "").otherwise(F.col("reason"))

@@ -69,13 +69,24 @@ def dry_run(pairs: DataFrame) -> DataFrame:
     )
 
 
+def dry_run_totals(rows: DataFrame, pairs_found: int | None = None) -> DataFrame:
+    """Of dry_run's rows: one row with the number of pairs and requests and the tokens they would take."""
+    return rows.agg(
+        F.lit(True).alias("dry_run"),
+        (F.lit(pairs_found).cast("long") if pairs_found is not None else F.count("*")).alias("pairs_found"),
+        F.count("*").alias("pairs_selected"),
+        F.coalesce(F.sum("est_total_tokens"), F.lit(0)).alias("est_total_tokens"),
+        F.count("*").alias("est_requests"),
+    )
+
+
 #: stem and audio to (text, prompt tokens, output tokens, total tokens); may raise.
 Transcriber = Callable[[str, bytes], tuple[str, int, int, int]]
 
 
 def transcribed(audio: DataFrame, transcriber: Transcriber, wait_s: float = 0.0) -> DataFrame:
     """audio(stem, wav_path, content, reference_text) to speech rows; a failure is a row with its error and rates of 1.
-    wait_s: pause between calls of one task; for a global limit give one partition."""
+    wait_s: pause between calls, of which there is then one at a time in all: the limit is that of the service, not of a task."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         called = False
@@ -93,7 +104,8 @@ def transcribed(audio: DataFrame, transcriber: Transcriber, wait_s: float = 0.0)
             yield pd.DataFrame(out, columns=["stem", "wav_path", "reference_text", "prediction", "execution_time_s", "prompt_tokens", "output_tokens", "total_tokens", "error"])
 
     kinds = "stem string, wav_path string, reference_text string, prediction string, execution_time_s double, prompt_tokens int, output_tokens int, total_tokens int, error string"
-    rows = audio.select("stem", "wav_path", "content", "reference_text").mapInPandas(run, kinds)
+    asked = audio.select("stem", "wav_path", "content", "reference_text")
+    rows = (asked.coalesce(1) if wait_s else asked).mapInPandas(run, kinds)
     rates = scored(rows.withColumnsRenamed({"output_tokens": "said"}))
     failed = F.col("error") != ""
     return rates.withColumns({c: F.when(failed, 1.0).otherwise(F.col(c)) for c in ("wer", "cer")}).withColumn("output_tokens", F.col("said")).select(*SPEECH_COLUMNS)

@@ -6,12 +6,14 @@ Latin rule tables as parameters.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import Settings
 from tessera.functions import chunking, metrics, safety, text, variants
-from tessera.operators import evaluation, lexicon, retrieval, selection
+from tessera.operators import evaluation, lexicon, ranking, retrieval, selection
 from tessera.operators.spread import spread
 from tessera.plans import correct, evaluate
 from tessera.sources import readers, writers
@@ -87,7 +89,7 @@ def token_fixes(spark, sf_dir):
 
 
 def vocabulary(spark, sf_dir):
-    words = F.filter(F.transform(text.tokens(F.lower(F.col("text"))), text.core), lambda w: w.rlike("^[a-z]+$"))
+    words = F.filter(F.transform(text.words(F.lower(F.col("text"))), text.core), lambda w: w != "")
     return load(spark, sf_dir, "conversations").select(F.explode(words).alias("word")).distinct()
 
 
@@ -111,8 +113,8 @@ def lexicon_build(spark, sf_dir):
 
 
 def sorted_lexicon(spark, sf_dir):
-    order = Window.orderBy(F.lower("word"), "word")
-    return lexicon_build(spark, sf_dir).select("word", F.row_number().over(order).alias("place"))
+    found = ranking.numbered(lexicon_build(spark, sf_dir), "place", F.lower("word"), F.col("word"))
+    return found.select("word", (F.col("place") + 1).cast("int").alias("place"))
 
 
 def html_word_links(spark, sf_dir):
@@ -139,9 +141,8 @@ def lexicon_rescored_documents(spark, sf_dir):
 
 
 def _turn_pairs(spark, sf_dir):
-    """Each turn with the next of its conversation; characters beyond ASCII as one question mark each."""
-    plain = F.regexp_replace(text.normalized(F.col("text")), r"[^\x00-\x7f]", "?")
-    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", plain.alias("reference_text"))
+    """Each turn with the next of its conversation."""
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalized(F.col("text")).alias("reference_text"))
     following = F.lead("reference_text").over(Window.partitionBy("conv_id").orderBy("turn", "reference_text"))
     return turns.withColumn("prediction", following).where("prediction is not null")
 
@@ -190,7 +191,10 @@ def safety_structural(spark, sf_dir):
 
 
 def safety_full(spark, sf_dir):
-    return safety.with_verdict(_edits(spark, sf_dir), "original", "candidate", pairs=PAIRS).select("doc_id", "accepted", "reason", "ratio")
+    """All rules, the sequence ratio too, over chunks, which is what a model gets."""
+    edits = documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.chunks(F.col("text"))).alias("seg_idx", "original"))
+    edits = edits.withColumn("candidate", text.fix_tokens(F.regexp_replace("original", "[.]$", ""), FIXES))
+    return safety.with_verdict(edits, "original", "candidate", pairs=PAIRS).select("doc_id", "seg_idx", "accepted", "reason", "ratio")
 
 
 def ambiguous_swap(spark, sf_dir):
@@ -208,7 +212,7 @@ def row_limit(spark, sf_dir):
 
 
 def seeded_sample(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("ordinal"))
+    rows = ranking.numbered(documents(spark, sf_dir).select("doc_id"), "ordinal", F.col("doc_id"))
     return selection.seeded_sample(rows, "ordinal", rows.count(), 100, 42).select("doc_id")
 
 
@@ -246,6 +250,28 @@ def correct_documents_llm_stub(spark, sf_dir):
     return correct.flags(found).select("doc_id", "text", "llm_attempted", "llm_applied", writers.report_json(MODEL).alias("report"))
 
 
+def quick(prompt: str) -> str:
+    """A stand-in for a model whose answers tell most rules apart, by the prompt's length."""
+    kind = len(prompt) % 5
+    if kind == 0:
+        raise RuntimeError("no answer")
+    return ["", prompt + ".", prompt, prompt + " so"][kind - 1]
+
+
+def correct_documents_full(spark, sf_dir):
+    """The whole path: token fixes, lexicon with preserved words, gate, model and verdict (any ratio will do), with the service's flags."""
+    docs = documents(spark, sf_dir).withColumn("text", F.lower("text"))
+    how = {"fixes": FIXES, "lexicon": lexicon_build(spark, sf_dir), "confusions": CONFUSED, "letters": DROPPED, "gate_letters": LATIN, "template": "{chunk}", "examples": ""}
+    found = correct.flags(correct.correct_documents(docs, Settings(min_sequence_ratio=0.0), client=quick, **how))
+    reasons = F.array_join(F.transform("segments", lambda x: F.concat(x.skip_reason, x.reject_reason)), ",")
+    return found.select("doc_id", "text", "llm_attempted", "llm_applied", reasons.alias("reasons"))
+
+
+def dry_run_totals(spark, sf_dir):
+    rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("stem"), (F.length("text") / 16.0).alias("seconds"), F.length("text").alias("wav_bytes"), F.col("text").alias("reference_text"))
+    return evaluate.dry_run_totals(evaluate.dry_run(rows))
+
+
 def evaluate_manifest(spark, sf_dir):
     rows = _turn_pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("row_index"), F.col("reference_text").alias("stt_input"), F.col("prediction").alias("reference_text"))
     return evaluate.evaluate_pairs(rows, Settings(use_llm=False), fixes=FIXES).drop("execution_time_s", "tokens_per_second")
@@ -262,7 +288,7 @@ _QUERIES = [
     variants_insertion, variants_deletion, lexicon_build, sorted_lexicon, html_word_links, oov_tokens, lexicon_rescore, lexicon_rescored_documents,
     cer_pairs, wer_pairs, eval_rows, eval_summary, speech_summary, safety_structural, safety_full, ambiguous_swap, resume_pending, row_limit,
     seeded_sample, tfidf_top1, must_contain, token_estimate, correct_documents, segment_trace, correct_documents_llm_stub, evaluate_manifest,
-    evaluate_retrieval,
+    evaluate_retrieval, correct_documents_full, dry_run_totals,
 ]
 
 
@@ -311,7 +337,7 @@ _GATED = f"""SELECT doc_id, place AS seg_idx, CASE WHEN part = '' THEN 'empty' W
  WHEN {_N.format("part")} = 2 AND length(part) < 12 THEN 'very_short_two_token' ELSE 'ok' END AS reason FROM ({_listed(_chunks(_GEORGIAN))})"""
 
 _VOCABULARY = r"""SELECT DISTINCT word FROM (SELECT unnest(list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''),
- lambda w: regexp_replace(w, '[.,!?…]+$', ''))) AS word FROM conversations) WHERE regexp_matches(word, '^[a-z]+$')"""
+ lambda w: regexp_replace(w, '[.,!?…]+$', ''))) AS word FROM conversations) WHERE word <> ''"""
 
 
 def _alternatives() -> str:
@@ -341,15 +367,67 @@ _BEST = f"""SELECT core, min(v) AS best FROM (SELECT core, unnest(list_concat({_
  FROM (SELECT DISTINCT core FROM cores WHERE length(core) >= 5 AND core NOT IN (SELECT word FROM lex))) WHERE v IN (SELECT word FROM lex) GROUP BY core"""
 _WITH = f"WITH lex AS MATERIALIZED ({_LEXICON}), cores AS MATERIALIZED ({_CORES}), best AS MATERIALIZED ({_BEST})"
 _PAIRS = rf"""SELECT * FROM (SELECT conv_id, turn, r AS reference_text, lead(r) OVER (PARTITION BY conv_id ORDER BY turn, r) AS prediction
- FROM (SELECT conv_id, turn, regexp_replace({_STRIP.format("coalesce(text, '')")}, '[^\x00-\x7f]', '?', 'g') AS r FROM conversations)) WHERE prediction IS NOT NULL"""
-_CER = "CASE WHEN length(reference_text) = 0 THEN CASE WHEN length(prediction) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(reference_text, prediction) / length(reference_text) END"
+ FROM (SELECT conv_id, turn, {_STRIP.format("coalesce(text, '')")} AS r FROM conversations)) WHERE prediction IS NOT NULL"""
 _WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
+#: DuckDB's levenshtein counts bytes: the conversations' letters beyond ASCII become control characters, one each. Others make the distance null.
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_SINGLE = "translate({0}, '" + _LETTERS + "', " + " || ".join(f"chr({i})" for i in [*range(1, 9), *range(14, 27)]) + ")"
+
+
+def _rate(distance: str, size: str, other: str) -> str:
+    return f"CASE WHEN {size} = 0 THEN CASE WHEN {other} = 0 THEN 0.0 ELSE 1.0 END ELSE {distance} / {size} END"
+
+
+def _char_rate(r: str = "reference_text", p: str = "prediction") -> str:
+    x, y = _SINGLE.format(r), _SINGLE.format(p)
+    return _rate(f"CASE WHEN strlen({x}) = length({r}) AND strlen({y}) = length({p}) THEN levenshtein({x}, {y}) END", f"length({r})", f"length({p})")
+
+
+def _word_rate(r: str = "reference_text", p: str = "prediction") -> str:
+    """Words that both texts have become one ASCII character each, 124 at most; the others equal nothing. (Of a row with lists r and p.)"""
+    x, y = _WORDS.format(r), _WORDS.format(p)
+    common = f"list_sort(list_intersect({x}, {y}))"
+
+    def coded(ws: str, alone: int) -> str:
+        return f"array_to_string(list_transform({ws}, lambda w: chr(coalesce(nullif(list_position({common}, w), 0) + 2, {alone})::INT)), '')"
+
+    return _rate(f"CASE WHEN len({common}) <= 124 THEN levenshtein({coded(x, 1)}, {coded(y, 2)}) END", f"len({x})", f"len({y})")
+
+
 _SWAPS = " OR ".join(f"(d[1].a = '{x}' AND d[1].b = '{y}')" for p in PAIRS for x, y in (p, p[::-1]))
 _DIFFS = "list_filter(list_transform(range(1, least(len({0}), len({1})) + 1), lambda i: {{'a': {0}[i], 'b': {1}[i]}}), lambda p: p.a <> p.b)"
 _END = r"regexp_replace({0}, '[\s.!?…]+$', '')"
+_CORRECTED = rf"""SELECT row_index, stt_input, reference_text, {_STRIP.format(_fixed("t"))} AS prediction FROM (SELECT *, array_to_string({_chunks("stt_input")}, ' ') AS t
+ FROM (SELECT (conv_id * 1000 + turn)::INT AS row_index, reference_text AS stt_input, prediction AS reference_text FROM ({_PAIRS})) WHERE stt_input <> '' OR reference_text <> '')"""
+_CASES = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in FIXES.items())
+_FULL = rf"""WITH lex AS MATERIALIZED ({_LEXICON}), seg AS MATERIALIZED ({_listed(_chunks("t"), table="(SELECT doc_id, lower(text) AS t FROM documents)")}),
+ tok AS MATERIALIZED (SELECT doc_id, place, i, k, CASE k {_CASES} ELSE k END AS f, regexp_extract(w, '[.,!?…]*$') AS tr FROM (SELECT *, regexp_replace(w, '[.,!?…]+$', '') AS k
+  FROM (SELECT doc_id, place, unnest(range(len(l))) AS i, unnest(l) AS w FROM (SELECT doc_id, place, regexp_extract_all(part, '\s+|\S+') AS l FROM seg)))),
+ cores AS MATERIALIZED (SELECT DISTINCT doc_id, f AS core FROM tok), best AS MATERIALIZED ({_BEST}),
+ held AS (SELECT DISTINCT doc_id, place, f FROM tok WHERE f <> k),
+ work AS (SELECT tok.doc_id, tok.place, string_agg(CASE WHEN held.f IS NULL THEN coalesce(best, tok.f) ELSE tok.f END || tr, '' ORDER BY i) AS w
+  FROM tok LEFT JOIN held ON held.doc_id = tok.doc_id AND held.place = tok.place AND held.f = tok.f LEFT JOIN best ON tok.f = core GROUP BY ALL),
+ asked AS (SELECT *, {_STRIP.format("w")} AS q FROM work),
+ gated AS (SELECT *, CASE WHEN q = '' THEN 'empty' WHEN {_N.format("q")} < 2 THEN 'too_few_words' WHEN {_ratio("q", LATIN, False)} < 0.55 THEN 'low_georgian_letter_ratio'
+  WHEN {_N.format("q")} = 2 AND length(q) < 12 THEN 'very_short_two_token' ELSE '' END AS skipped FROM asked),
+ said AS (SELECT *, CASE WHEN skipped <> '' THEN skipped WHEN length(q) % 5 = 0 THEN 'ollama_error' WHEN length(q) % 5 = 1 THEN 'empty_output'
+  WHEN length(q) % 5 = 2 THEN 'trailing_punctuation_only' ELSE '' END AS reason,
+  CASE WHEN skipped = '' AND length(q) % 5 = 3 THEN q WHEN skipped = '' AND length(q) % 5 = 4 THEN q || ' so' ELSE w END AS output FROM gated)
+ SELECT doc_id, coalesce({_STRIP.format("string_agg(output, ' ' ORDER BY place)")}, '') AS text, coalesce(bool_or(skipped = ''), false) AS llm_attempted,
+ coalesce(bool_or(skipped = '' AND output <> w), false) AS llm_applied, coalesce(string_agg(reason, ',' ORDER BY place), '') AS reasons FROM documents LEFT JOIN said USING (doc_id) GROUP BY doc_id"""
 _EDITS = rf"""SELECT doc_id, {_STRIP.format("text")} AS o, {_STRIP.format(_fixed("regexp_replace(text, '[.]$', '')"))} AS c FROM documents"""
 
 
+_TOP1 = r"""WITH c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY ALL),
+ idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term),
+ cw AS (SELECT doc_id, term, tf * idf / sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY doc_id)) AS w FROM c JOIN idf USING (term)),
+ q AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM benchmark) GROUP BY ALL),
+ qw AS (SELECT item_id, term, tf * idf / sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY item_id)) AS w FROM q JOIN idf USING (term)),
+ s AS (SELECT item_id, doc_id, round(sum(cw.w * qw.w), 9) AS sim FROM cw JOIN qw USING (term) GROUP BY ALL),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) = 1)
+ SELECT item_id, coalesce(doc_id, (SELECT min(doc_id) FROM documents)) AS doc_id, round(coalesce(sim, 0), 6) AS similarity FROM benchmark LEFT JOIN b USING (item_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     median = "round(median({0}), 6)"
     return {
@@ -372,10 +450,21 @@ def oracle_sql() -> dict[str, str]:
         "lexicon_rescored_documents": rf"""{_WITH}, t AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '\s+|\S+') AS l FROM documents))
  SELECT doc_id, string_agg(coalesce(best, k) || regexp_extract(w, '[.,!?…]*$'), '' ORDER BY i) AS rescored
  FROM (SELECT *, regexp_replace(w, '[.,!?…]+$', '') AS k FROM t) LEFT JOIN best ON k = core GROUP BY doc_id""",
-        "cer_pairs": f"SELECT conv_id, turn, round({_CER}, 9) AS cer FROM ({_PAIRS})",
+        "cer_pairs": f"SELECT conv_id, turn, round({_char_rate()}, 9) AS cer FROM ({_PAIRS})",
+        "wer_pairs": f"SELECT conv_id, turn, round({_word_rate()}, 9) AS wer FROM ({_PAIRS})",
+        "eval_rows": f"""SELECT conv_id, turn, {_word_rate()} AS wer, {_char_rate()} AS cer, {_N.format("prediction")}::INT AS output_tokens,
+ CASE WHEN turn > 0 THEN {_N.format("prediction")} / (turn / 4) ELSE 0.0 END AS tokens_per_second FROM ({_PAIRS})""",
+        "evaluate_manifest": f"SELECT *, {_word_rate()} AS wer, {_char_rate()} AS cer, {_N.format('prediction')}::INT AS output_tokens FROM ({_CORRECTED})",
+        "evaluate_retrieval": f"""SELECT '{MODEL}' AS model, count(*) AS n_tasks, avg(contains(lower(d.text || chr(10) || b.text), 'th')::INT) AS must_contain_accuracy, avg(0.0::DOUBLE) AS avg_georgian_letter_ratio
+ FROM ({_TOP1}) AS t JOIN documents AS d USING (doc_id) JOIN benchmark AS b USING (item_id)""",
+        "correct_documents_full": _FULL,
+        "dry_run_totals": f"""SELECT true AS dry_run, count(*) AS pairs_found, count(*) AS pairs_selected, sum(35 + 2 * length(text) + greatest(40, {_N.format("text")} + 5))::BIGINT AS est_total_tokens,
+ count(*) AS est_requests FROM documents""",
+        "seeded_sample": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents) WHERE n <= 100 OR "
+        + " OR ".join(f"n = {n} AND place IN ({', '.join(map(str, random.Random(42).sample(range(n), 100)))})" for n in (200, 1000, 10_000)),
         "eval_summary": f"""SELECT count(*) AS rows_processed, round(avg(wer), 6) AS average_wer, round(avg(cer), 6) AS average_cer, round(avg(s), 6) AS average_execution_time_s,
  round(avg(tps), 6) AS average_tokens_per_second, {median.format("s")} AS median_execution_time_s, {median.format("tps")} AS median_tokens_per_second
- FROM (SELECT abs({_N.format("reference_text")} - {_N.format("prediction")}) / greatest({_N.format("reference_text")}, 1) AS wer, {_CER} AS cer, turn / 4 AS s,
+ FROM (SELECT abs({_N.format("reference_text")} - {_N.format("prediction")}) / greatest({_N.format("reference_text")}, 1) AS wer, {_char_rate()} AS cer, turn / 4 AS s,
  CASE WHEN turn > 0 THEN {_N.format("prediction")} / (turn / 4) ELSE 0 END AS tps FROM ({_PAIRS}))""",
         "speech_summary": f"""SELECT count(*) AS rows_processed, count(*) FILTER (n <= 60) AS rows_scored, count(*) FILTER (n > 60) AS rows_failed, 3::BIGINT AS rows_skipped_resume,
  round(avg(w), 6) AS average_wer, {median.format("w")} AS median_wer, round(avg(c), 6) AS average_cer, {median.format("c")} AS median_cer, round(avg(s), 6) AS average_execution_time_s,
@@ -394,14 +483,7 @@ def oracle_sql() -> dict[str, str]:
  FROM (SELECT doc_id, place, {_WORDS.format("part")} AS x, {_WORDS.format(_fixed("part"))} AS y FROM ({_listed(_sentences("text"))})))""",
         "resume_pending": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "row_limit": "SELECT conv_id, turn FROM conversations WHERE coalesce(text, '') <> '' OR coalesce(role, '') <> '' ORDER BY conv_id, turn LIMIT 100",
-        "tfidf_top1": r"""WITH c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY ALL),
- idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term),
- cw AS (SELECT doc_id, term, tf * idf / sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY doc_id)) AS w FROM c JOIN idf USING (term)),
- q AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM benchmark) GROUP BY ALL),
- qw AS (SELECT item_id, term, tf * idf / sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY item_id)) AS w FROM q JOIN idf USING (term)),
- s AS (SELECT item_id, doc_id, round(sum(cw.w * qw.w), 9) AS sim FROM cw JOIN qw USING (term) GROUP BY ALL),
- b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) = 1)
- SELECT item_id, coalesce(doc_id, (SELECT min(doc_id) FROM documents)) AS doc_id, round(coalesce(sim, 0), 6) AS similarity FROM benchmark LEFT JOIN b USING (item_id)""",
+        "tfidf_top1": _TOP1,
         "must_contain": "SELECT doc_id, contains(lower(text), 'the ') AND contains(lower(text), 'er') AS ok, CASE WHEN length(text) > 280 THEN left(text, 280) || '…' ELSE text END AS preview FROM documents",
         "token_estimate": f"SELECT doc_id::VARCHAR AS stem, n AS ref_words, p AS est_prompt_tokens, o AS est_output_tokens, p + o AS est_total_tokens FROM (SELECT doc_id, {_N.format('text')}::INT AS n, (35 + 2 * length(text))::INT AS p, greatest(40, {_N.format('text')} + 5)::INT AS o FROM documents)",
         "correct_documents": f"SELECT doc_id, {_STRIP.format(_fixed('t'))} AS text, n AS n_segments FROM (SELECT doc_id, array_to_string({_chunks('text')}, ' ') AS t, len({_chunks('text')})::INT AS n FROM documents)",

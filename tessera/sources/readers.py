@@ -48,11 +48,21 @@ def load_pairs(spark: SparkSession, path: str, input_field: str = "stt1_text", r
 
 
 def read_pairs(spark: SparkSession, path: str, input_field: str = "stt1_text", reference_field: str = "text", row_field: str = "row") -> DataFrame:
-    """The same at scale: files of JSON lists, one entry a row; an entry without a row number has null."""
-    schema = f"`{row_field}` string, `{input_field}` string, `{reference_field}` string"
-    df = spark.read.schema(schema).json(path, multiLine=True)
-    row = F.expr(f"try_cast(`{row_field}` as int)")
-    return df.select(row.alias("row_index"), normalized(F.col(input_field)).alias("stt_input"), normalized(F.col(reference_field)).alias("reference_text"))
+    """The same for many files, read by tasks, a file each: lists, or objects that hold one. An entry without a row number has its
+    1-based place in its file; an entry without a field, and a file without a list, raise when they are read."""
+    entries, held = "array<map<string,string>>", ", ".join(f"{k} array<map<string,string>>" for k in PAIR_KEYS)
+    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
+    wrapped = F.from_json("value", held)
+    found = F.when(F.ltrim("value").startswith("["), F.from_json("value", entries)).otherwise(F.coalesce(*(wrapped[k] for k in PAIR_KEYS)))
+    checked = F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.col("file"), F.lit(" holds no list of pairs"))).cast(entries))
+    df = files.select("file", F.posexplode(checked).alias("at", "e"))
+
+    def field(name: str) -> Column:
+        missing = F.raise_error(F.concat(F.lit("entry "), (F.col("at") + 1).cast("string"), F.lit(" of "), F.col("file"), F.lit(f" has no field '{name}'"))).cast("string")
+        return normalized(F.when(F.map_contains_key("e", F.lit(name)), F.coalesce(F.col("e")[name], F.lit(""))).otherwise(missing))
+
+    row = F.coalesce(F.col("e")[row_field].try_cast("int"), F.col("at") + 1)
+    return df.select(row.alias("row_index"), field(input_field).alias("stt_input"), field(reference_field).alias("reference_text"))
 
 
 def discover_pairs(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,10 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import registry
+from tessera import cli, registry, service
 from tessera.config import Settings, load_settings
 from tessera.functions import metrics, rules, text
-from tessera.operators import evaluation, lexicon, retrieval, selection
+from tessera.operators import evaluation, lexicon, ranking, retrieval, selection
 from tessera.plans import correct, evaluate
 from tessera.sources import readers, writers
 from tessera.streaming import correct as streaming
@@ -100,6 +100,77 @@ def test_pairs_manifest(spark, tmp_path):
     assert [tuple(r) for r in readers.read_pairs(spark, str(path)).collect()] == [(1, "a", "b")]
 
 
+def test_pairs_at_scale(spark, tmp_path):
+    def read(data):
+        (tmp_path / "q.json").write_text(json.dumps(data))
+        return [tuple(r) for r in readers.read_pairs(spark, str(tmp_path / "q.json")).collect()]
+
+    entries = [{"row": "7", "stt1_text": " a ", "text": None}, {"row": "x", "stt1_text": 5, "text": "b"}, {"stt1_text": "c", "text": "d"}]
+    want = [(7, "a", ""), (2, "5", "b"), (3, "c", "d")]
+    assert read(entries) == want and read({"meta": 1, "data": entries}) == want and read({"rows": [], "items": entries}) == want
+    for bad in ({"pairs": 1}, [{"text": "a"}]):
+        with pytest.raises(Exception, match="no list of pairs|no field"):
+            read(bad)
+
+
+def test_numbered_and_median(spark):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    values = [rng.randint(-50, 50) / 4 for _ in range(901)] + [None] * 7
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v double, i int").repartition(5)
+    got = sorted((r.place, r.v, r.i) for r in ranking.numbered(df.where("v is not null"), "place", F.col("v"), F.col("i")).collect())
+    assert [(v, i) for _, v, i in got] == sorted((v, i) for i, v in enumerate(values) if v is not None) and [p for p, *_ in got] == list(range(901))
+    assert ranking.median(df, F.col("v")) == statistics.median(v for v in values if v is not None)
+    assert ranking.median(df.where("i < 10"), F.col("v")) == statistics.median(values[:10]) and ranking.median(df.limit(0), F.col("v")) is None
+    assert ranking.numbered(df.limit(0), "place", F.col("v")).count() == 0
+
+
+def test_answers_side_by_side(spark):
+    asked = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "i int, prompt string").coalesce(1)
+
+    def client(x):
+        if x == "p3":
+            raise RuntimeError
+        return x.upper()
+
+    rows = correct.answered(asked, client, at_once=4).collect()
+    assert [(r.candidate, r.failed) for r in rows] == [(None, True) if i == 3 else (f"P{i}", False) for i in range(20)]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setenv("TESSERA_LLM", "0")
+    (tmp_path / "in.txt").write_text("ველ მივედი. მაგლა დაფლინავს")
+    assert cli.main([str(tmp_path / "in.txt"), "-o", str(tmp_path / "out.txt"), "--json-report", str(tmp_path / "r.json"), "--verbose"], spark) == 0
+    assert (tmp_path / "out.txt").read_text() == "ვერ მივედი. მაღლა დაფრინავს"
+    report = json.loads((tmp_path / "r.json").read_text())
+    assert list(report) == ["ollama_model", "segments"] and report["segments"][0]["skip_reason"] == "ollama_disabled"
+    assert "[0] SKIP ollama_disabled\n  IN : ველ" in capsys.readouterr().err
+
+
+def test_service(spark, monkeypatch):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    monkeypatch.setenv("TESSERA_LLM", "0")
+    with service.server(spark, port=0) as s:
+        threading.Thread(target=s.serve_forever, daemon=True).start()
+
+        def post(path, body):
+            request = urllib.request.Request(f"http://127.0.0.1:{s.server_port}{path}", json.dumps(body).encode(), method="POST")
+            try:
+                with urllib.request.urlopen(request, timeout=60) as r:
+                    return r.status, json.load(r)
+            except urllib.error.HTTPError as e:
+                return e.code, None
+
+        assert post("/v1/correct/prellm", {"text": "ველ"}) == (200, {"text": "ვერ", "llm_applied": False, "llm_attempted": False})
+        assert post("/v1/correct/final", {})[0] == 200 and post("/v1/other", {})[0] == 404 and post("/v1/correct/final", {"text": 1})[0] == 422
+        s.shutdown()
+
+
 def test_linked_words(spark):
     links = ["%E1%83%90", "a+b", "%zz", ""]
     html = "".join(f'<a href="/word/{x}">' for x in links) + '<a href="/other/x">'
