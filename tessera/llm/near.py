@@ -67,11 +67,11 @@ def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(index: DataFrame) -> DataFrame:
-    """index(key, node), with repeats: distinct pairs (u, v) of nodes that share keys."""
-    buckets = cut(index.distinct().groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).where("n > 1"), "buckets")
+    """index(key, node), distinct: distinct pairs (u, v) of nodes that share keys."""
+    buckets = cut(index.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).where("n > 1"), "buckets")
     pairs = buckets.where("n = 2").select("u", "v")
     if buckets.where("n > 2").limit(1).count():
-        crowded = cut(index.join(buckets.where("n > 2").select("key", "n"), "key").distinct(), "crowded")
+        crowded = cut(index.join(buckets.where("n > 2").select("key", "n"), "key"), "crowded")
         small = crowded.where(F.col("n") <= BUCKET)
         pairs = pairs.union(small.select("key", F.col("node").alias("u")).join(small.select("key", F.col("node").alias("v")), "key").where("u < v").select("u", "v"))
         large = crowded.where(F.col("n") > BUCKET).select("key", "node")
@@ -127,9 +127,10 @@ def _node_texts(table: np.ndarray):
 
 def links(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """rows(node, bands, fp), fp the same in all rows of a node, of texts(text): edges (u, v) of the fps of alike texts."""
-    found = cut(candidates(rows.select(F.explode("bands").alias("key"), "node")), "candidates")
-    nodes = found.select(F.col("u").alias("node")).union(found.select("v")).distinct()
-    ends = cut(rows.join(nodes, "node").groupBy("node").agg(F.first("fp").alias("fp")), "ends")
+    # Copies become one row before anything is joined by node or key.
+    nodes = cut(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    found = cut(candidates(nodes.select(F.explode(F.array_distinct("bands")).alias("key"), "node")), "candidates")
+    ends = cut(nodes.select("node", "fp").join(found.select(F.col("u").alias("node")).union(found.select("v")).distinct(), "node"), "ends")
     held = texts.mapInArrow(_node_texts(marked(ends, "node")), "node long, text string")
     held = cut(held.join(ends, "node").groupBy("node").agg(F.first("fp").alias("fp"), F.first("text").alias("text")), "texts")
     left = held.select(F.col("node").alias("u"), F.col("fp").alias("f"), F.col("text").alias("s"))
