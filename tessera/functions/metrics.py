@@ -13,21 +13,29 @@ from tessera.functions.text import words
 
 
 def _distance(a: list[str], b: list[str]) -> int:
-    """Unit-cost edit distance; equal ends are set aside first."""
+    """Unit-cost edit distance, a whole column of the table at a time as the bits of two integers (where neighbours in it
+    rise and fall); equal ends are set aside first."""
     lo, x, y = 0, len(a), len(b)
     while lo < x and lo < y and a[lo] == b[lo]:
         lo += 1
     while x > lo and y > lo and a[x - 1] == b[y - 1]:
         x, y = x - 1, y - 1
     a, b = a[lo:x], b[lo:y]
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, s in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, t in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(diagonal + (s != t), row[j] + 1, row[j - 1] + 1)
-    return row[-1]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    every, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    rise, fall = every, 0
+    for w in b:
+        equal = places.get(w, 0)
+        across = (((equal & rise) + rise) ^ rise) | equal
+        up, down = (fall | ~(across | rise)) & every, rise & across
+        score += bool(up & last) - bool(down & last)
+        up, down, side = up << 1 | 1, down << 1, equal | fall
+        rise, fall = (down | ~(side | up)) & every, up & side & every
+    return score
 
 
 @F.pandas_udf(T.IntegerType())
@@ -53,17 +61,11 @@ def word_distance_native(reference: Column, hypothesis: Column) -> Column:
     return F.when(F.size(common) <= NATIVE_WORDS, F.levenshtein(coded(r, 0), coded(h, 1)))
 
 
-def word_distance_any(reference: Column, hypothesis: Column) -> Column:
-    """word_distance_native, and Python only for the pairs that are beyond it."""
-    beyond = F.size(F.array_intersect(words(reference), words(hypothesis))) > NATIVE_WORDS
-    return F.coalesce(word_distance_native(reference, hypothesis), word_distance(F.when(beyond, reference), F.when(beyond, hypothesis)))
-
-
 def _rate(distance: Column, size: Column, other: Column) -> Column:
     return F.when(size == 0, F.when(other == 0, 0.0).otherwise(1.0)).otherwise(distance / size)
 
 
-def wer(reference: Column, hypothesis: Column, distance=word_distance_any) -> Column:
+def wer(reference: Column, hypothesis: Column, distance=word_distance) -> Column:
     return _rate(distance(reference, hypothesis), F.size(words(reference)), F.size(words(hypothesis)))
 
 
