@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.SQL}
+    return {"op1_substring_dedup": substring_dedup.SQL, "op2_warc": warc.SQL, "op3_suffix_array_dedup": suffix_array_dedup.SQL}

@@ -241,6 +241,29 @@ def substring_dedup(docs: DataFrame, length: int = WINDOW, k: int = ANCHOR) -> D
     return texts.join(spans, "key", "left").select("doc_id", "text", "key", "spans").mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, kept string")
 
 
+#: Windows are compared as strings; runs of removed words are the islands of the windows' starts.
+SQL = f"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - {WINDOW} + 2)) AS i,
+         unnest(list_transform(range(1, len(words) - {WINDOW} + 2), lambda x: array_to_string(words[x:x + {WINDOW} - 1], ' '))) AS k FROM w),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS lo FROM windows) WHERE lo < doc_id),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + {WINDOW} - 1 AS b FROM (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+      SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {WINDOW} THEN 0 ELSE 1 END AS fresh FROM hits))
+  GROUP BY doc_id, run),
+edges AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT w.doc_id, words, CASE WHEN a IS NULL THEN words ELSE flatten(list_transform(range(0, len(a) + 1),
+         lambda j: words[CASE WHEN j = 0 THEN 1 ELSE b[j] + 1 END:CASE WHEN j = len(a) THEN len(words) ELSE a[j + 1] - 1 END])) END AS left_over
+  FROM w LEFT JOIN edges ON w.doc_id = edges.doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - len(left_over) AS n_removed, sha256(coalesce(array_to_string(left_over, ' '), '')) AS kept_sha256
+FROM kept
+"""
+
+
 def query(spark, sf_dir):
     from tessera.llm.common import load
 

@@ -337,5 +337,25 @@ def clean_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return found.select(*((values[c] if c in values else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
+#: Strings are compared by their MD5 sums; removed runs are the islands of the strings' starts.
+SQL = f"""
+WITH w AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS bytes, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS (
+  SELECT doc_id, unnest(range(1, n - {LENGTH} + 2)) AS i,
+         unnest(list_transform(range(1, n - {LENGTH} + 2), lambda x: md5_number(array_slice(bytes, x, x + {LENGTH} - 1)))) AS k FROM w),
+hits AS (SELECT doc_id, i FROM strings SEMI JOIN (SELECT k FROM strings GROUP BY k HAVING count(*) > 1) USING (k)),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + {LENGTH} - 1 AS b FROM (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+      SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS fresh FROM hits))
+  GROUP BY doc_id, run),
+edges AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a + 1) AS gone FROM runs GROUP BY doc_id)
+SELECT w.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(len(a), 0) AS n_spans,
+       CASE WHEN a IS NULL THEN sha256(bytes) ELSE sha256(unhex(array_to_string(list_transform(range(0, len(a) + 1),
+         lambda j: hex(array_slice(bytes, CASE WHEN j = 0 THEN 1 ELSE b[j] + 1 END, CASE WHEN j = len(a) THEN n ELSE a[j + 1] - 1 END))), ''))) END AS kept_sha256
+FROM w LEFT JOIN edges ON w.doc_id = edges.doc_id
+"""
+
+
 def query(spark, sf_dir):
     return suffix_array_dedup(load(spark, sf_dir, "documents")).select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

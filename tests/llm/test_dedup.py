@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +76,18 @@ def test_substring_dedup_of_documents(spark, small, texts):
     assert keyed(map(tuple, got)) == keyed(brute.substring_dedup(texts))
 
 
+def test_sql_against_brute_force(odd_rows, texts):
+    """On the driver's texts and on nulls, empty texts and copies (ids told apart, since SQL's rows are by id)."""
+    extra = [(10**6 + n, t) for n, (_, t, *_) in enumerate(odd_rows) if len(t or "") < 5000]
+    rows = [*texts, *extra]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    digest = lambda kept: hashlib.sha256(kept if isinstance(kept, bytes) else kept.encode()).hexdigest()
+    for sql, want in (substring_dedup.SQL, brute.substring_dedup(rows)), (suffix_array_dedup.SQL, brute.byte_dedup(rows)):
+        assert sorted(con.sql(sql).fetchall()) == sorted((*r[:-1], digest(r[-1])) for r in want)
+
+
 def test_suffix_array_dedup(odd, odd_rows):
     got = [(r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_array_dedup.suffix_array_dedup(odd).collect()]
     assert keyed(got) == keyed(brute.byte_dedup([r[:2] for r in odd_rows]))
