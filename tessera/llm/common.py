@@ -158,6 +158,11 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[base][0], _POWERS[base][1]
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo 2**64 for i <= n."""
+    return _powers(base, n)[0]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of uint64 that spreads every bit."""
     x = x ^ (x >> U64(32))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, hmm, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_array_dedup, transport_stream, warc
+from tessera.llm import bpe, hmm, packing, periodic_runs, quality_classifier, quality_rules, simhash, substring_dedup, suffix_array_dedup, transport_stream, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,14 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.query,
         "op9_bpe_round": bpe.query,
         "op10_simhash_components": simhash.query,
+        "op11_periodic_runs": periodic_runs.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.SQL, "op2_warc": warc.SQL, "op3_suffix_array_dedup": suffix_array_dedup.SQL}
+    return {
+        "op1_substring_dedup": substring_dedup.SQL,
+        "op2_warc": warc.SQL,
+        "op3_suffix_array_dedup": suffix_array_dedup.SQL,
+        "op11_periodic_runs": periodic_runs.SQL,
+    }
