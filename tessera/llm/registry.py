@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, hmm, packing, periodic_runs, quality_classifier, quality_rules, simhash, substring_dedup, suffix_array_dedup, transport_stream, warc
+from tessera.llm import bpe, hmm, line_dedup, packing, periodic_runs, quality_classifier, quality_rules, simhash, substring_dedup, suffix_array_dedup, transport_stream, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_bpe_round": bpe.query,
         "op10_simhash_components": simhash.query,
         "op11_periodic_runs": periodic_runs.query,
+        "op12_line_dedup": line_dedup.query,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": warc.SQL,
         "op3_suffix_array_dedup": suffix_array_dedup.SQL,
         "op11_periodic_runs": periodic_runs.SQL,
+        "op12_line_dedup": line_dedup.SQL,
     }
