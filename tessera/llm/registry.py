@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, hmm, line_dedup, packing, periodic_runs, quality_classifier, quality_rules, simhash, substring_dedup, suffix_array_dedup, transport_stream, warc
+from tessera.llm import bpe, hmm, line_dedup, merkle_manifest, packing, periodic_runs, quality_classifier, quality_rules, simhash, substring_dedup, suffix_array_dedup, transport_stream, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_simhash_components": simhash.query,
         "op11_periodic_runs": periodic_runs.query,
         "op12_line_dedup": line_dedup.query,
+        "op13_merkle_manifest": merkle_manifest.query,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_suffix_array_dedup": suffix_array_dedup.SQL,
         "op11_periodic_runs": periodic_runs.SQL,
         "op12_line_dedup": line_dedup.SQL,
+        "op13_merkle_manifest": merkle_manifest.SQL,
     }
