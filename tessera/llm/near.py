@@ -1,11 +1,19 @@
-"""Pairs of texts whose sets of shingles are alike, by bands of least hashes and an exact check.
+"""Pairs of texts whose sets of shingles are alike, by bands of least hashes and exact checks of the whole sets.
 
 A text's set holds the hashes of its lower-cased runs of SHINGLE words (of all its words if it has fewer). BANDS x ROWS
-least hashes are cut into bands; texts that agree in a whole band are candidates, and a candidate stays if the Jaccard
-similarity of the two whole sets reaches the bound. A pair of similarity s shares a band with probability
-1 - (1 - s**ROWS)**BANDS: 0.9996 at 0.8. Copies (equal words in lower case) are one node, whatever their number. In a band that
-more than BUCKET nodes share, a node is compared with PIVOTS of them only, others in every band, so that the number of
-candidates grows with the nodes and not with their square; alike texts then meet through a pivot.
+least hashes are cut into bands; texts that agree in a whole band are candidates, and candidates are linked if the Jaccard
+similarity of their whole sets reaches the bound. A pair of similarity s shares a band with probability
+1 - (1 - s**ROWS)**BANDS: 0.9996 at 0.8. Copies (equal words in lower case) are one node, whatever their number.
+
+What is asked for is the components of the links, so in a band that more than BUCKET nodes share not every pair becomes a row, though none
+that could join two components is left out:
+1. Each node goes to one block of the largest such band it is in; a block (BLOCK nodes or BLOCK_SHINGLES hashes, about) finds all
+   links between its nodes by products of 0/1 matrices, and returns a spanning forest and how many links each node has.
+2. In bands that still hold several components all nodes of others than its own are compared with the node of most links: the text
+   that the rest was made from, if there is one.
+3. In bands that still do, blocks are paired: those of the component of that node with those of the other nodes, and the latter among
+   themselves. All pairs of two components are decided there; nodes of one component aren't compared.
+Third steps take as long as a band has nodes that nothing links, squared, in blocks; nothing is skipped for that.
 
 Cases: texts without words have no set and no candidates.
 """
@@ -20,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, RangeHash, as_long, cut, in_table, marked, mix, pieces, trimmed, word_hashes, words
+from tessera.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS = 20, 5
-#: The most nodes of a band that are compared pair by pair, and how many a node of larger ones is compared with.
-BUCKET, PIVOTS = 48, 4
+#: The most nodes of a band whose pairs are rows; nodes of a block and hashes in their sets, about.
+BUCKET, BLOCK, BLOCK_SHINGLES = 48, 512, 1 << 20
+#: Columns of a matrix, and how many nodes of a block must share a hash to be a column (others are counted pair by pair).
+COLUMNS, DENSE = 2048, 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -66,32 +77,71 @@ def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*rows.columns, as_long(node), lists], [*rows.schema.names, "node", "bands"])
 
 
-def candidates(index: DataFrame) -> DataFrame:
-    """index(key, node), distinct: distinct pairs (u, v) of nodes that share keys."""
-    buckets = cut(index.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).where("n > 1"), "buckets")
-    pairs = buckets.where("n = 2").select("u", "v")
-    if buckets.where("n > 2").limit(1).count():
-        crowded = cut(index.join(buckets.where("n > 2").select("key", "n"), "key"), "crowded")
-        small = crowded.where(F.col("n") <= BUCKET)
-        pairs = pairs.union(small.select("key", F.col("node").alias("u")).join(small.select("key", F.col("node").alias("v")), "key").where("u < v").select("u", "v"))
-        large = crowded.where(F.col("n") > BUCKET).select("key", "node")
-        least = [F.min(F.struct(F.xxhash64("node", "key", F.lit(i)), "node"))["node"] for i in range(PIVOTS)]
-        pivots = cut(large.groupBy("key").agg(F.array(*least).alias("all")).select("key", F.explode("all").alias("pivot")), "pivots")
-        met = large.join(pivots, "key").where("node <> pivot")
-        pairs = pairs.union(met.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")))
-    return pairs.distinct()
-
-
-def _sets(column: pa.Array) -> list[np.ndarray]:
-    out = []
-    for _, buf, off in pieces(pa.RecordBatch.from_arrays([column], ["text"]), "text"):
-        h, bounds, _ = shingles(buf, off)
-        out += [np.unique(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two sets (sorted, distinct) share."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    out = np.zeros((n, n), np.float32)
+    first = np.cumsum(count) - count
+    for c in range(2, DENSE + 1):  # hashes of c nodes: the pairs of their owners
+        some = owner[first[count == c][:, None] + np.arange(c)]
+        a, b = np.triu_indices(c, 1)
+        flat = np.bincount((some[:, a] * n + some[:, b]).ravel(), minlength=n * n) if len(some) else 0
+        out += np.reshape(flat, (n, n)) if len(some) else 0
+    out += out.T
+    many = count > DENSE
+    column = np.cumsum(many) - 1
+    token, owner = token[many[token]], owner[many[token]]
+    column = column[token]
+    for lo in range(0, int(many.sum()), COLUMNS):
+        own = slice(*np.searchsorted(column, (lo, lo + COLUMNS)))
+        held = np.zeros((n, COLUMNS), np.float32)
+        held[owner[own], column[own] - lo] = 1
+        out += held @ held.T
+    np.fill_diagonal(out, size)
     return out
 
 
+def _forest(linked: np.ndarray) -> np.ndarray:
+    """Each node's parent in a spanning forest of a matrix of links, -1 for a root."""
+    n = len(linked)
+    parent, new = np.full(n, -1), np.ones(n, bool)
+    for root in range(n):
+        todo = [root] if new[root] else []
+        new[root] = False
+        while todo:
+            at = todo.pop()
+            found = np.flatnonzero(linked[at] & new)
+            parent[found], new[found] = at, False
+            todo += found.tolist()
+    return parent
+
+
+def _blocks(similarity: float):
+    """A group's rows (node, label, side, shingles) to (node, parent, degree): all links between nodes of two labels and, if
+    the group has two, of two sides."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        node, label, side = (table.column(c).to_numpy() for c in ("node", "label", "side"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        both, size = overlaps(sets), np.array([len(x) for x in sets], np.float32)
+        linked = both >= similarity * (size[:, None] + size - both) - 1e-4
+        linked &= label[:, None] != label
+        if side.min() != side.max():
+            linked &= side[:, None] != side
+        parent = _forest(linked)
+        up = pa.array(node[np.maximum(parent, 0)], mask=parent < 0)
+        return pa.table({"node": pa.array(node), "parent": up, "degree": pa.array(linked.sum(1).astype(np.int64))})
+
+    return run
+
+
 def _alike(similarity: float, rows: int = 256):
-    """Batches of (u, v, s, t), s and t the texts, to those (u, v) whose texts are alike."""
+    """Batches of (u, v, s, t), s and t the sets, to those (u, v) that are alike."""
 
     @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,41 +149,107 @@ def _alike(similarity: float, rows: int = 256):
             for i in range(0, batch.num_rows, rows):
                 part = batch.slice(i, rows)
                 keep = []
-                for a, b in zip(_sets(part.column("s")), _sets(part.column("t")), strict=True):
+                for s, t in zip(part.column("s"), part.column("t"), strict=True):
+                    a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (s, t))
                     both = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(both >= similarity * (len(a) + len(b) - both))
+                    keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-4)
                 yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _node_texts(table: np.ndarray):
-    """Batches of (text) to (node, text) of nodes in the table, each node once a task."""
+def _node_sets(table: np.ndarray):
+    """Batches of (text) to (node, shingles) of nodes in the table, each node once a task."""
 
     @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had: set[int] = set()
         for batch in batches:
-            for rows, buf, off in pieces(batch, "text"):
-                node = shingles(buf, off)[2].view(np.int64)
-                keep = in_table(table, node)
-                for i in np.flatnonzero(keep).tolist():
-                    keep[i] = int(node[i]) not in had
-                    had.add(int(node[i]))
-                yield pa.RecordBatch.from_arrays([as_long(node), rows.column("text")], ["node", "text"]).filter(pa.array(keep))
+            for _, buf, off in pieces(batch, "text"):
+                h, bounds, node = shingles(buf, off)
+                nodes, sets = [], []
+                for i in np.flatnonzero(in_table(table, node.view(np.int64)) & (bounds[1:] > bounds[:-1])).tolist():
+                    if int(node[i]) not in had:
+                        had.add(int(node[i]))
+                        nodes.append(node[i])
+                        sets.append(np.unique(h[bounds[i] : bounds[i + 1]]).tobytes())
+                yield pa.RecordBatch.from_arrays([as_long(np.array(nodes, U64)), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return run
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs(u, v) whose sets are alike. Sizes decide first; only hashes of what is left travel."""
+    near = F.col("m") >= F.lit(similarity) * F.col("n") - 1e-4
+    near &= F.col("n") >= F.lit(similarity) * F.col("m") - 1e-4
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("s"), F.length("shingles").alias("m"))
+    sizes = sets.select(F.col("node").alias("v"), F.length("shingles").alias("n"))
+    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("t"))
+    likely = pairs.join(sizes, "v").join(left, "u").where(near).select("u", "v", "s")
+    return likely.join(right, "v").select("u", "v", "s", "t").mapInArrow(_alike(similarity), "u long, v long")
+
+
+def _labelled(crowded: DataFrame, edges: DataFrame) -> DataFrame:
+    """crowded with label, the component of the edges that the node is in."""
+    roots = components(edges)
+    return crowded.join(roots.select("node", "root"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+
+
+def crowded_links(crowded: DataFrame, sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """crowded(key, node, n), bands of many nodes, and the edges (u, v) that are known: edges that, with these, have the components of all links."""
+    held = sets.select("node", "shingles", (F.length("shingles") / 8).alias("size"))
+    crowded = cut(crowded.join(held.select("node", "size"), "node"), "members")
+    sizes = crowded.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
+    kinds = "node long, parent long, degree long"
+    one = crowded.groupBy("node").agg(F.max(F.struct("n", "key")).alias("m")).select("node", F.col("m.key").alias("key"))
+    one = one.join(sizes.select("key", blocks.alias("blocks")), "key").select("key", "node", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    found = one.join(held, "node").select("key", "block", "node", F.col("node").alias("label"), F.lit(0).alias("side"), "shingles")
+    found = cut(found.groupBy("key", "block").applyInArrow(_blocks(similarity), kinds), "blocks")
+    edges = found.where("parent is not null").select(F.col("node").alias("u"), F.col("parent").alias("v"))
+
+    def still_open() -> DataFrame:
+        """The members of bands of several components; best: the node of most links, and its component."""
+        several = _labelled(crowded, known.union(edges)).join(found.select("node", "degree"), "node")
+        best = several.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max(F.struct("degree", "node", "label")).alias("best")).where("a <> b")
+        return cut(several.join(best.select("key", "best"), "key"), "open")
+
+    rest = still_open()
+    if not rest.limit(1).count():
+        return edges
+    pairs = rest.where("label <> best.label").select(F.col("node").alias("u"), F.col("best.node").alias("v")).distinct()
+    edges = cut(edges.union(_verified(pairs, sets, similarity)), "edges")
+    rest = still_open()
+    if not rest.limit(1).count():
+        return edges
+    # Blocks of the main component (side 0) and of the others (side 1), and the pairs of blocks each node goes to.
+    rest = rest.withColumn("side", (F.col("label") != F.col("best.label")).cast("int"))
+    shares = rest.groupBy("key").agg(*(F.greatest(F.lit(1), F.ceil(F.greatest(F.count_if(F.col("side") == s) / BLOCK, F.sum(F.when(F.col("side") == s, F.col("size"))) / BLOCK_SHINGLES))).cast("int").alias(f"blocks{s}") for s in (0, 1)))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("blocks0")).otherwise(F.col("blocks1"))).cast("int")
+    rest = rest.join(shares, "key").withColumn("own", own)
+    across = F.expr("transform(sequence(0, if(side = 0, blocks1, blocks0) - 1), j -> struct(0 as kind, if(side = 0, own, j) as a, if(side = 0, j, own) as b))")
+    inner = F.expr("if(side = 0, array(), transform(sequence(0, blocks1 - 1), j -> struct(1 as kind, least(own, j) as a, greatest(own, j) as b)))")
+    dealt = rest.select("key", "node", "label", "side", F.explode(F.concat(across, inner)).alias("at")).select("key", "at.*", "node", "label", "side")
+    more = dealt.join(held.select("node", "shingles"), "node").groupBy("key", "kind", "a", "b").applyInArrow(_blocks(similarity), kinds)
+    return edges.union(more.where("parent is not null").select(F.col("node").alias("u"), F.col("parent").alias("v")))
+
+
 def links(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """rows(node, bands, fp), fp the same in all rows of a node, of texts(text): edges (u, v) of the fps of alike texts."""
+    """rows(node, bands, fp), fp the same in all rows of a node, of texts(text): edges (u, v) of fps with the components of alike texts."""
     # Copies become one row before anything is joined by node or key.
     nodes = cut(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
-    found = cut(candidates(nodes.select(F.explode(F.array_distinct("bands")).alias("key"), "node")), "candidates")
-    ends = cut(nodes.select("node", "fp").join(found.select(F.col("u").alias("node")).union(found.select("v")).distinct(), "node"), "ends")
-    held = texts.mapInArrow(_node_texts(marked(ends, "node")), "node long, text string")
-    held = cut(held.join(ends, "node").groupBy("node").agg(F.first("fp").alias("fp"), F.first("text").alias("text")), "texts")
-    left = held.select(F.col("node").alias("u"), F.col("fp").alias("f"), F.col("text").alias("s"))
-    right = held.select(F.col("node").alias("v"), F.col("fp").alias("g"), F.col("text").alias("t"))
-    pairs = found.join(left, "u").join(right, "v").where("f <> g").select(F.col("f").alias("u"), F.col("g").alias("v"), "s", "t")
-    return pairs.mapInArrow(_alike(similarity), "u long, v long").distinct()
+    index = nodes.select(F.explode(F.array_distinct("bands")).alias("key"), "node")
+    buckets = cut(index.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).where("n > 1"), "buckets")
+    shared = cut(index.join(buckets.where("n > 2").select("key", "n"), "key"), "shared")
+    small = shared.where(F.col("n") <= BUCKET)
+    pairs = small.select("key", F.col("node").alias("u")).join(small.select("key", F.col("node").alias("v")), "key").where("u < v").select("u", "v")
+    pairs = cut(pairs.union(buckets.where("n = 2").select("u", "v")).distinct(), "candidates")
+    crowded = shared.where(F.col("n") > BUCKET)
+    ends = cut(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(crowded.select("node")).distinct(), "ends")
+    held = texts.mapInArrow(_node_sets(marked(ends, "node")), "node long, shingles binary")
+    sets = cut(held.join(ends, "node").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    found = cut(_verified(pairs, sets, similarity), "alike")
+    if crowded.limit(1).count():
+        found = cut(found.union(crowded_links(crowded, sets, found, similarity)), "alike")
+    left, right = nodes.select(F.col("node").alias("u"), F.col("fp").alias("f")), nodes.select(F.col("node").alias("v"), F.col("fp").alias("g"))
+    return found.join(left, "u").join(right, "v").where("f <> g").select(F.col("f").alias("u"), F.col("g").alias("v")).distinct()

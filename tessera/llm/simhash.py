@@ -114,7 +114,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float | Non
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     stay = _linked(rows, shingle, similarity).groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.key").alias("stay"))
-    keyed = docs.select(key.alias("stay"), F.struct(*docs.columns).alias("row")).join(stay, "stay")
+    keyed = docs.select(key.alias("stay"), F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row")).join(stay, "stay")
     return keyed.dropDuplicates(["stay"]).select("row.*")
 
 

@@ -91,3 +91,53 @@ def test_large_group(spark):
     rows = [(0, t)] + [(i, edited(rng, t, 3)) for i in range(1, 150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert [r.doc_id for r in simhash.one_of_each(docs, similarity=0.8).collect()] == [0]
+
+
+def fresh(rng, text, n, k):
+    """n words of the text become words that no other text has."""
+    w = text.split()
+    for j, i in enumerate(rng.sample(range(len(w)), n)):
+        w[i] = f"new{k}x{j}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize(("n", "block"), [(1000, 512), (300, 20)])
+def test_hub(spark, monkeypatch, n, block):
+    """Texts that are alike to one text only, not to each other, in one block and in many."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    rng = random.Random(n)
+    t = prose(rng, 200)
+    rows = [(0, t)]
+    while len(rows) <= n:
+        text = fresh(rng, t, 4, len(rows))
+        if similarity(shingles(t), shingles(text)) >= 0.81:
+            rows.append((len(rows), text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert [r.doc_id for r in simhash.one_of_each(docs, similarity=0.8).collect()] == [0]
+
+
+@pytest.mark.parametrize("block", [4, 30, 512])
+def test_crowded_bands(spark, monkeypatch, block):
+    """Chains of edits, pairs and strangers in the same bands: the components are those of all pairs."""
+    monkeypatch.setattr(near, "BUCKET", 3)
+    monkeypatch.setattr(near, "BLOCK", block)
+    rng = random.Random(block)
+    rows = []
+    for _ in range(2):
+        t = prose(rng, 120)
+        texts = [t]
+        for k in range(90):
+            texts.append(fresh(rng, rng.choice(texts[-6:] if k % 3 else [t]), rng.choice((1, 2, 5, 9)), f"{len(rows)}y{k}"))
+        rows += [(len(rows) + i, x) for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = set(components(rows))
+    assert 2 < len(want) < len(rows)
+    assert {r.doc_id for r in simhash.one_of_each(docs, similarity=0.8).collect()} == want
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(near, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 40):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(n)]
+        assert near.overlaps(sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
