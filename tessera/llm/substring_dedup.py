@@ -171,14 +171,18 @@ def judge_shards(limit: int = SHARD_SYMBOLS):
 
 
 def _context_words(length: int, k: int):
-    """Batches of (text, reps) to one row for each context: its words beside the anchor."""
+    """Batches of (key, text, reps) to one row for each context: its words beside the anchor. Equal rows have one key, so one task, and count once."""
     names = ["a", "c", "value", "lead", "tail", "window"]
 
     @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had: set[int] = set()
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, text, reps in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "reps")), strict=True):
+            for key, doc_id, text, reps in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text", "reps")), strict=True):
+                if key in had:
+                    continue
+                had.add(key)
                 w = text.encode().split()
                 for rep in reps:
                     first, count, anchor = unpack(rep["place"])

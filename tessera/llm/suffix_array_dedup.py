@@ -204,9 +204,13 @@ def _context_bytes(length: int, k: int):
 
     @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had: set[int] = set()
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for text, reps in zip(batch.column("text").to_pylist(), batch.column("reps").to_pylist(), strict=True):
+            for key, text, reps in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "reps")), strict=True):
+                if key in had:  # equal rows have one key, so one task: their contexts are counted in n
+                    continue
+                had.add(key)
                 b = text.encode()
                 for rep in reps:
                     first, count, anchor = unpack(rep["place"])
@@ -296,7 +300,7 @@ def _kept(length: int, clean: bool):
 def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, clean: bool = False) -> DataFrame:
     """Per row of docs(doc_id, text): row (its other columns), n_bytes, n_removed, n_spans (maximal removed
     runs) and kept (bytes, or with `clean` a string of whole characters)."""
-    row = F.struct(*[c for c in docs.columns if c != "text"])
+    row = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns if c != "text"))
     texts = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
     found = texts.select("key", "text").mapInArrow(_anchor_rows(length, k), "a long, c long, key long, place long")
     anchors = cut(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors")

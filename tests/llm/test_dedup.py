@@ -216,3 +216,20 @@ def test_empty_tables(nothing):
     assert suffix_array_dedup.clean_rows(nothing).count() == 0
     assert simhash.simhash_components(nothing).count() == 0
     assert simhash.one_of_each(nothing).count() == 0
+
+
+def test_equal_rows_send_their_contexts_once(spark):
+    from tessera.llm import substring_dedup as op1
+    from tessera.llm import suffix_array_dedup as op3
+
+    rng = random.Random(31)
+    t = prose(rng, 400)
+    rows = [(1, t)] * 300 + [(2, t + " and more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in op1.substring_dedup(docs).collect())
+    assert got == sorted(brute.substring_dedup(rows))
+    got = sorted((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in op3.suffix_array_dedup(docs).collect())
+    assert got == sorted(brute.byte_dedup(rows))
+    batch = op1.keyed(docs).withColumn("reps", op1.F.expr("array(named_struct('a', 1L, 'c', 2L, 'place', 0L))")).repartition("key")
+    sent = batch.mapInArrow(op1._context_words(50, 20), "a long, c long, value long, lead binary, tail binary, window int")
+    assert sent.count() == 2

@@ -141,3 +141,10 @@ def test_overlaps(monkeypatch):
     for n in (1, 2, 40):
         sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(n)]
         assert near.overlaps(sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+
+
+def test_stage_keeps_columns_with_dots(spark):
+    docs = spark.createDataFrame([(1, "a text of some words", "x"), (2, "a text of some words", "y")], "doc_id long, text string, `a.b` string")
+    for stage in (corpus_pipeline.near_dedup_stage, corpus_pipeline.suffix_array_dedup_stage):
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "a.b"] and docs.first()["a.b"] == "x"
