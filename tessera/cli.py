@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import load_settings
 from tessera.operators.lexicon import read_lexicon
-from tessera.plans.correct import assembled, corrected_segments
+from tessera.plans.correct import correct_documents
 from tessera.ship import ship
 from tessera.sources.readers import read_document
 from tessera.sources.writers import report_json, trace, write_text
@@ -27,13 +27,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, **how
     ship(spark)
     docs = read_document(spark, given.input)
     lexicon = read_lexicon(spark, settings.lexicon_path) if settings.use_lexicon else None
-    found = corrected_segments(docs, settings, lexicon=lexicon, **how)
-    row = assembled(docs, found).withColumn("report", report_json(settings.llm_model)).first()
+    found = correct_documents(docs, settings, lexicon=lexicon, **how)
+    row = found.withColumn("report", report_json(settings.llm_model)).first()
     write_text(row["text"], given.output)
     if given.json_report:
         write_text(row["report"], given.json_report)
     if given.verbose:
-        segments = spark.createDataFrame([(row["doc_id"], row["segments"])], assembled(docs, found).select("doc_id", "segments").schema)
+        segments = spark.createDataFrame([(row["doc_id"], row["segments"])], found.select("doc_id", "segments").schema)
         told = trace(segments.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*"))
         for line, s in zip((r["line"] for r in told.orderBy("seg_idx").collect()), row["segments"], strict=True):
             parts = [line, f"  IN : {s['source']}", *([f"  PRE: {s['pre_llm']}"] if s["pre_llm"] else []), f"  OUT: {s['output']}"]

@@ -9,6 +9,7 @@ from tessera.functions import variants
 from tessera.functions.rules import CONFUSIONS, DROPPED_LETTERS, MAX_DELETIONS, MAX_INSERTIONS, MAX_SUBSTITUTIONS, symmetric
 from tessera.functions.text import core, nfc, strip, tokens, trail
 from tessera.operators.spread import widened
+from tessera.operators.stage import staged
 
 #: Cores of fewer letters are never replaced.
 MIN_LETTERS = 5
@@ -85,15 +86,17 @@ def replacements(cores: DataFrame, lexicon: DataFrame, confusions: dict[str, str
 
 
 def rescored(segments: DataFrame, lexicon: DataFrame | None, key: list[str], text: str = "working", preserve: str | None = "preserve", **tables) -> DataFrame:
-    """segments with `text` rescored; cores listed in `preserve` stay. Only segments' unknown cores are shuffled,
-    once to distinct words and once back, never the texts' other tokens."""
+    """segments with `text` rescored; cores listed in `preserve` stay. key: columns that tell rows apart. Only segments' unknown cores are shuffled,
+    once to distinct words and once back, never the texts' other tokens. The lexicon, and the unknown words with what replaces them, are
+    staged: each is read more than once. segments are read three times, so whoever makes them at some cost stages them."""
     if lexicon is None:
         return segments
+    lexicon = staged(lexicon.select("word"), "lexicon")
     cores = F.array_distinct(F.filter(F.transform(tokens(F.col(text)), core), lambda x: F.length(x) >= MIN_LETTERS))
     if preserve:
         cores = F.array_except(cores, F.col(preserve))
     exploded = segments.select(*key, F.explode(cores).alias("core"))
-    best = exploded.join(replacements(exploded, lexicon, **tables), "core")
+    best = exploded.join(staged(replacements(exploded, lexicon, **tables), "replacements"), "core")
     table = best.groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("core", "best"))).alias("best"))
 
     def fixed(p):

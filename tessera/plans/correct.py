@@ -1,4 +1,8 @@
-"""Document correction: chunks, token fixes, lexicon, gate, language model, verdict, text again."""
+"""Document correction: chunks, token fixes, lexicon, gate, language model, verdict, text again.
+
+Rows are told apart by a number of their own (row_id), made before a text is split and carried through; doc_id is only
+carried, so it may be null or repeat, and every input row has one output row.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +21,7 @@ from tessera.functions.chunking import chunks
 from tessera.functions.rules import TOKEN_FIXES
 from tessera.functions.safety import gate, with_verdict
 from tessera.functions.text import GATE_LETTERS, changed_cores, fix_tokens, nfc, prompt, strip
-from tessera.operators.lexicon import rescored
+from tessera.operators.lexicon import read_lexicon, rescored
 from tessera.operators.stage import staged
 
 #: A prompt to answer. Must be picklable; may raise, which rejects that segment alone.
@@ -61,14 +65,18 @@ class HttpClient:
 
 
 def segments(docs: DataFrame, settings: Settings, fixes: dict[str, str] = TOKEN_FIXES, lexicon: DataFrame | None = None, **tables) -> DataFrame:
-    """doc_id, seg_idx, source, working, pre_llm: all that comes before the gate."""
+    """row_id, doc_id, seg_idx, source, working, pre_llm: all that comes before the gate, staged. A text without chunks is a row without seg_idx."""
     text = strip(nfc(F.coalesce(F.col("text"), F.lit(""))))
-    df = docs.select("doc_id", F.posexplode(chunks(text, settings.max_chunk_chars)).alias("seg_idx", "source"))
+    # The number is made in a step of its own: beside an explode it would number what comes out.
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
+    df = rows.select("row_id", "doc_id", F.posexplode_outer(chunks(text, settings.max_chunk_chars)).alias("seg_idx", "source"))
     df = df.withColumn("working", fix_tokens(F.col("source"), fixes) if settings.use_heuristics else F.col("source"))
-    df = df.withColumn("preserve", changed_cores(F.col("source"), F.col("working")))
-    if settings.use_lexicon:
-        df = rescored(df, lexicon, ["doc_id", "seg_idx"], **tables)
-    return df.drop("preserve").withColumn("pre_llm", F.when(F.col("working") != F.col("source"), F.col("working")))
+    if settings.use_lexicon and lexicon is not None:
+        # Rescoring reads its segments several times.
+        df = staged(df.withColumn("preserve", changed_cores(F.col("source"), F.col("working"))), "chunks")
+        df = rescored(df, lexicon, ["row_id", "seg_idx"], **tables).drop("preserve")
+    df = df.withColumn("pre_llm", F.when(F.col("working") != F.col("source"), F.col("working")))
+    return staged(df, "segments")
 
 
 def answered(df: DataFrame, client: Client, text: str = "prompt", at_once: int = 1) -> DataFrame:
@@ -95,21 +103,21 @@ def answered(df: DataFrame, client: Client, text: str = "prompt", at_once: int =
     return df.mapInPandas(run, f"{kinds}, candidate string, failed boolean")
 
 
-def corrected_segments(docs: DataFrame, settings: Settings, client: Client | None = None, gate_letters: str = GATE_LETTERS, template: str = TEMPLATE, examples: str = EXAMPLES, at_once: int = 1, **rules) -> DataFrame:
-    """The segment report. The gate is a filter before the model, since a UDF in a CASE sees all rows. What comes before the gate is
-    staged: the skipped and the asked segments are two branches of one table."""
+def _processed(docs: DataFrame, settings: Settings, client: Client | None = None, gate_letters: str = GATE_LETTERS, template: str = TEMPLATE, examples: str = EXAMPLES, at_once: int = 1, **rules) -> DataFrame:
+    """The segment report, with a row of nulls for a text without segments. The gate is a filter before the model, since a UDF in a CASE sees all
+    rows; the skipped and the asked segments are two branches of one staged table."""
     df = segments(docs, settings, **rules)
     none = F.lit("")
 
     def result(df, output, skipped, skip_reason, rejected, reject_reason):
-        return df.select("doc_id", "seg_idx", "source", output.alias("output"), F.lit(skipped).alias("skipped_llm"), skip_reason.alias("skip_reason"), rejected.alias("rejected_model"), reject_reason.alias("reject_reason"), "pre_llm")
+        return df.select("row_id", "doc_id", "seg_idx", "source", output.alias("output"), F.lit(skipped).alias("skipped_llm"), skip_reason.alias("skip_reason"), rejected.alias("rejected_model"), reject_reason.alias("reject_reason"), "pre_llm")
 
     if not settings.use_llm:
         return result(df, F.col("working"), True, F.lit("ollama_disabled"), F.lit(False), none)
     client = client or HttpClient(settings)
-    df = staged(df.withColumn("gate", gate(F.col("working"), gate_letters)), "segments")
-    skipped = result(df.where("gate <> 'ok'"), F.col("working"), True, F.col("gate"), F.lit(False), none)
-    asked = df.where("gate = 'ok'").withColumn("prompt", prompt(template, chunk=F.col("working"), examples=examples))
+    df = df.withColumn("gate", gate(F.col("working"), gate_letters))
+    skipped = result(df.where("seg_idx is null or gate <> 'ok'"), F.col("working"), True, F.col("gate"), F.lit(False), none)
+    asked = df.where("seg_idx is not null and gate = 'ok'").withColumn("prompt", prompt(template, chunk=F.col("working"), examples=examples))
     asked = answered(asked, client, at_once=at_once).withColumn("proposed", nfc(F.col("candidate")))
     asked = with_verdict(asked, "working", "proposed", min_ratio=settings.min_sequence_ratio, max_relative=settings.max_relative_length)
     accepted = ~F.col("failed") & F.coalesce("accepted", F.lit(False))
@@ -117,17 +125,21 @@ def corrected_segments(docs: DataFrame, settings: Settings, client: Client | Non
     return skipped.unionByName(result(asked, F.when(accepted, F.col("candidate")).otherwise(F.col("working")), False, none, ~accepted, why))
 
 
-def assembled(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text, segments of every document, one without segments included."""
+def corrected_segments(docs: DataFrame, settings: Settings, **how) -> DataFrame:
+    """row_id (a number for each input row) and SEGMENT's columns, a row for each segment."""
+    return _processed(docs, settings, **how).where("seg_idx is not null")
+
+
+def assembled(found: DataFrame) -> DataFrame:
+    """row_id, doc_id, text, segments of every document, one without segments included."""
     fields = F.struct("seg_idx", *(c for c in SEGMENT if c not in ("doc_id", "seg_idx")))
-    parts = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(fields)).alias("segments"))
-    empty = F.array().cast(parts.schema["segments"].dataType)
-    joined = docs.select("doc_id").join(parts, "doc_id", "left").withColumn("segments", F.coalesce("segments", empty))
-    return joined.select("doc_id", strip(F.array_join(F.transform("segments", lambda s: s.output), " ")).alias("text"), "segments")
+    parts = found.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.when(F.col("seg_idx").isNotNull(), fields))).alias("segments"))
+    return parts.select("row_id", "doc_id", strip(F.array_join(F.transform("segments", lambda s: s.output), " ")).alias("text"), "segments")
 
 
 def correct_documents(docs: DataFrame, settings: Settings | None = None, **how) -> DataFrame:
-    return assembled(docs, corrected_segments(docs, settings or load_settings(), **how))
+    """doc_id, text, segments of every row of docs(doc_id, text)."""
+    return assembled(_processed(docs, settings or load_settings(), **how)).drop("row_id")
 
 
 def flags(document: DataFrame) -> DataFrame:
@@ -137,14 +149,20 @@ def flags(document: DataFrame) -> DataFrame:
     return document.withColumns({"llm_attempted": attempted, "llm_applied": applied})
 
 
+def _corrected(spark: SparkSession, text: str, settings: Settings, how: dict):
+    """One text, with the lexicon that the settings name unless one is given."""
+    if settings.use_lexicon and "lexicon" not in how:
+        how = how | {"lexicon": read_lexicon(spark, settings.lexicon_path)}
+    return flags(correct_documents(spark.createDataFrame([(0, text)], "doc_id long, text string"), settings, **how)).first()
+
+
 def correct_before_llm(spark: SparkSession, text: str, settings: Settings | None = None, **how) -> dict:
     """The service's first route: everything but the model."""
-    settings = replace(settings or load_settings(), use_llm=False)
-    row = correct_documents(spark.createDataFrame([(0, text)], "doc_id long, text string"), settings, **how).first()
+    row = _corrected(spark, text, replace(settings or load_settings(), use_llm=False), how)
     return {"text": row["text"], "llm_applied": False, "llm_attempted": False}
 
 
 def correct_final(spark: SparkSession, text: str, settings: Settings | None = None, **how) -> dict:
     """The service's second route."""
-    row = flags(correct_documents(spark.createDataFrame([(0, text)], "doc_id long, text string"), settings, **how)).first()
+    row = _corrected(spark, text, settings or load_settings(), how)
     return {"text": row["text"], "llm_applied": row["llm_applied"], "llm_attempted": row["llm_attempted"]}

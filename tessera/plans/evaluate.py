@@ -17,6 +17,7 @@ from tessera.functions.text import contains_all, letter_ratio, normalized, previ
 from tessera.operators.evaluation import ROW_COLUMNS, SPEECH_COLUMNS, scored
 from tessera.operators.retrieval import top1
 from tessera.operators.selection import first_rows, non_blank
+from tessera.operators.stage import with_row_id
 from tessera.plans.correct import Client, correct_documents
 
 # Tokens of the instruction, least tokens of an answer, tokens a second of audio.
@@ -26,11 +27,11 @@ KB_PER_SECOND = 32.0
 
 
 def evaluate_pairs(pairs: DataFrame, settings: Settings, max_rows: int | None = None, seconds: Column | None = None, **how) -> DataFrame:
-    """Row metrics of corrections of pairs(row_index, stt_input, reference_text). Rows with neither text don't count.
-    Rows are corrected together, so a row has no time of its own unless `seconds` gives one."""
-    rows = first_rows(pairs, ["row_index"], max_rows, non_blank("stt_input", "reference_text"))
-    found = correct_documents(rows.select(F.col("row_index").alias("doc_id"), F.col("stt_input").alias("text")), settings, **how)
-    joined = rows.join(found.select(F.col("doc_id").alias("row_index"), normalized(F.col("text")).alias("prediction")), "row_index")
+    """Row metrics of corrections of pairs(row_index, stt_input, reference_text), one row for each pair, whatever its row_index. Pairs with neither
+    text don't count. Rows are corrected together, so a row has no time of its own unless `seconds` gives one."""
+    rows = with_row_id(first_rows(pairs, ["row_index"], max_rows, non_blank("stt_input", "reference_text")), "pairs")
+    found = correct_documents(rows.select(F.col("row_id").alias("doc_id"), F.col("stt_input").alias("text")), settings, **how)
+    joined = rows.join(found.select(F.col("doc_id").alias("row_id"), normalized(F.col("text")).alias("prediction")), "row_id")
     return scored(joined.withColumn("execution_time_s", seconds if seconds is not None else F.lit(0.0))).select(*ROW_COLUMNS)
 
 

@@ -9,13 +9,16 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pyspark.sql import SparkSession
 
 from tessera.plans.correct import correct_before_llm, correct_final
+from tessera.ship import ship
 
 # The routes.
 ROUTES = {"/v1/correct/prellm": correct_before_llm, "/v1/correct/final": correct_final}
 
 
 def server(spark: SparkSession, host: str = "127.0.0.1", port: int = 8000, **how) -> ThreadingHTTPServer:
-    """POST {"text": ...} to a route gives {"text", "llm_applied", "llm_attempted"}; 404 for another path, 422 for another body."""
+    """POST {"text": ...} to a route gives {"text", "llm_applied", "llm_attempted"}; 404 for another path, 422 for another body. The settings, and the
+    lexicon that they name, are those of the environment at each request."""
+    ship(spark)
 
     class Handler(BaseHTTPRequestHandler):
         def do_POST(self) -> None:

@@ -315,3 +315,32 @@ def test_rates_of_turns(spark, small):
 
 def test_text_helpers(spark):
     assert spark.createDataFrame([(None,)], "a string").select(text.normalized(F.col("a"))).first()[0] == ""
+
+
+def test_rows_of_one_id_stay_apart(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "ველ a null id here."), (1, "ველ მივედე."), (1, "second მივედე text. And მაგლა more."), (1, "second მივედე text. And მაგლა more."), (None, None)], "doc_id long, text string")
+    lex = spark.createDataFrame([("მივედო",)], "word string")
+    got = sorted((r.doc_id or 0, r.text, len(r.segments)) for r in correct.correct_documents(docs.repartition(3), replace(OFF, max_chunk_chars=25), lexicon=lex).collect())
+    second = "second მივედო text. And მაღლა more."
+    assert got == [(0, "", 0), (0, "ვერ a null id here.", 1), (1, second, 2), (1, second, 2), (1, "ვერ მივედო.", 1)]
+    for name in "ab":
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"stt1_text": f"ერთი {name}", "text": f"ერთი {name}"}] * 2))
+    rows = evaluate.evaluate_pairs(readers.read_pairs(spark, str(tmp_path)), OFF).collect()
+    assert [r.wer for r in rows] == [0.0] * 4 and sorted(r.prediction[-1] for r in rows) == list("aabb")
+
+
+def test_a_word_kept_in_one_row_is_replaced_in_another(spark):
+    """The replacements of a row don't depend on another row of the same id."""
+    docs = spark.createDataFrame([(1, "wrongg word"), (1, "rightt word")], "doc_id long, text string")
+    lex = spark.createDataFrame([("wrong",), ("right",)], "word string")
+    got = correct.correct_documents(docs, OFF, fixes={"wrongg": "rightt"}, lexicon=lex).collect()
+    assert sorted(r.text for r in got) == ["right word", "rightt word"]
+
+
+def test_service_takes_the_settings_lexicon(spark, tmp_path, monkeypatch):
+    (tmp_path / "words.txt").write_text("# words\nმივედო\n", encoding="utf-8")
+    monkeypatch.setenv("TESSERA_LEXICON", str(tmp_path / "words.txt"))
+    monkeypatch.setenv("TESSERA_LLM", "0")
+    assert correct.correct_before_llm(spark, "ველ მივედე")["text"] == "ვერ მივედო" == correct.correct_final(spark, "ველ მივედე")["text"]
+    monkeypatch.setenv("TESSERA_LEXICON_ENABLE", "0")
+    assert correct.correct_before_llm(spark, "ველ მივედე")["text"] == "ვერ მივედე"
