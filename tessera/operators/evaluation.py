@@ -1,4 +1,4 @@
-"""Row metrics and one-pass summaries."""
+"""Row metrics and summaries."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.metrics import cer, tokens_per_second, wer
 from tessera.functions.text import normalized, word_count
-from tessera.operators.ranking import median
+from tessera.operators.exact import Exact, one_row
 
 # The columns of metric rows, in order.
 ROW_COLUMNS = ["row_index", "stt_input", "reference_text", "prediction", "wer", "cer", "execution_time_s", "output_tokens", "tokens_per_second"]
@@ -24,33 +24,31 @@ def scored(df: DataFrame, reference: str = "reference_text", prediction: str = "
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """One row: rows_processed, means of rows' rates and times, medians of times. Without rows only the count isn't null.
-    Medians are found by range-partitioned places, so this runs jobs."""
-    return rows.agg(
-        F.count("*").alias("rows_processed"),
-        *(F.avg(c).alias(f"average_{c}") for c in ("wer", "cer", "execution_time_s", "tokens_per_second") if c in rows.columns),
-        *(F.lit(median(rows, F.col(c))).cast("double").alias(f"median_{c}") for c in ("execution_time_s", "tokens_per_second") if c in rows.columns),
-    )
+    """One row: rows_processed, means of rows' rates and times, medians of times, all exact. Without rows only the count isn't null.
+    The rows are computed once; this runs five jobs at most."""
+    means = [c for c in ("wer", "cer", "execution_time_s", "tokens_per_second") if c in rows.columns]
+    middle = [c for c in ("execution_time_s", "tokens_per_second") if c in rows.columns]
+    found = Exact(rows, {c: F.col(c) for c in means}, middle)
+    columns = {"rows_processed": (found.count(), "long")}
+    columns |= {f"average_{c}": (found.mean(c), "double") for c in means} | {f"median_{c}": (found.median(c), "double") for c in middle}
+    return one_row(rows.sparkSession, columns)
 
 
 def speech_summary(rows: DataFrame, skipped: int = 0) -> DataFrame:
     """Counts over all rows, everything else over those without an error."""
     ok = F.coalesce(F.col("error"), F.lit("")) == ""
-
-    def of_ok(c):
-        return F.when(ok, F.col(c))
-
-    return rows.agg(
-        F.count("*").alias("rows_processed"),
-        F.count_if(ok).alias("rows_scored"),
-        F.count_if(~ok).alias("rows_failed"),
-        F.lit(skipped).alias("rows_skipped_resume"),
-        *(x for c in ("wer", "cer") for x in (F.avg(of_ok(c)).alias(f"average_{c}"), F.lit(median(rows, of_ok(c))).cast("double").alias(f"median_{c}"))),
-        F.avg(of_ok("execution_time_s")).alias("average_execution_time_s"),
-        *(F.sum(of_ok(c)).alias(f"total_{c}") for c in ("prompt_tokens", "output_tokens")),
-        F.sum(of_ok("total_tokens")).alias("total_tokens"),
-        F.sum(of_ok("execution_time_s")).alias("total_execution_time_s"),
-    )
+    tokens = ("prompt_tokens", "output_tokens", "total_tokens")
+    found = Exact(rows, {c: F.when(ok, F.col(c)) for c in ("wer", "cer", "execution_time_s", *tokens)} | {"scored": F.when(ok, 1)}, ["wer", "cer"])
+    scored_rows = found.count("scored")
+    columns = {"rows_processed": (found.count(), "long"), "rows_scored": (scored_rows, "long"), "rows_failed": (found.count() - scored_rows, "long"), "rows_skipped_resume": (skipped, "int")}
+    for c in ("wer", "cer"):
+        columns |= {f"average_{c}": (found.mean(c), "double"), f"median_{c}": (found.median(c), "double")}
+    columns["average_execution_time_s"] = (found.mean("execution_time_s"), "double")
+    for c in tokens:
+        total = found.sum(c)
+        columns[f"total_{c.removeprefix('total_')}"] = (None if total is None else int(total), "long")
+    columns["total_execution_time_s"] = (found.sum("execution_time_s"), "double")
+    return one_row(rows.sparkSession, columns)
 
 
 def normalize_pairs(df: DataFrame, *columns: str) -> DataFrame:

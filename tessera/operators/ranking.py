@@ -1,4 +1,4 @@
-"""Places in a total order, and medians, without moving a table into one task.
+"""Places in a total order without moving a table into one task.
 
 A bounded sample of the order's first key cuts the rows into ranges; ranges are counted, numbered within and offset by the counts
 before them. Equal keys stay in one range.
@@ -36,13 +36,3 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     place = F.try_element_at(F.create_map(*offsets), F.col("_range")) + own if offsets else F.lit(0)
     return ranged.withColumn(name, place.cast("long")).drop("_range")
-
-
-def median(df: DataFrame, value: Column) -> float | None:
-    """The median of the values that aren't null: of an even number the mean of the middle two."""
-    values = df.select(value.cast("double").alias("v")).where("v is not null")
-    n = values.count()
-    if not n:
-        return None
-    middle = numbered(values, "place", F.col("v")).where(F.col("place").isin((n - 1) // 2, n // 2)).select("v").collect()
-    return sum(r.v for r in middle) / len(middle)
