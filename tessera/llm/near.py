@@ -27,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, RangeHash, as_long, cut, in_table, marked, mix, pieces, trimmed, word_hashes, words
+from tessera.llm.common import U64, RangeHash, as_long, cut, in_table, marked, mix, pieces, released, trimmed, word_hashes, words
 from tessera.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS = 20, 5
 #: The most nodes of a band whose pairs are rows; nodes of a block and hashes in their sets, about.
-BUCKET, BLOCK, BLOCK_SHINGLES = 48, 512, 1 << 20
+BUCKET, BLOCK, BLOCK_SHINGLES = 48, 256, 1 << 17
 #: Columns of a matrix, and how many nodes of a block must share a hash to be a column (others are counted pair by pair).
 COLUMNS, DENSE = 2048, 16
+#: Pairs of owners of such hashes that are counted at a time.
+PAIRS = 1 << 17
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -88,10 +90,10 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((n, n), np.float32)
     first = np.cumsum(count) - count
     for c in range(2, DENSE + 1):  # hashes of c nodes: the pairs of their owners
-        some = owner[first[count == c][:, None] + np.arange(c)]
-        a, b = np.triu_indices(c, 1)
-        flat = np.bincount((some[:, a] * n + some[:, b]).ravel(), minlength=n * n) if len(some) else 0
-        out += np.reshape(flat, (n, n)) if len(some) else 0
+        start, (a, b) = first[count == c], np.triu_indices(c, 1)
+        for i in range(0, len(start), max(1, PAIRS // len(a))):
+            some = owner[start[i : i + max(1, PAIRS // len(a))][:, None] + np.arange(c)]
+            out += np.bincount((some[:, a] * n + some[:, b]).ravel(), minlength=n * n).reshape(n, n)
     out += out.T
     many = count > DENSE
     column = np.cumsum(many) - 1
@@ -125,7 +127,7 @@ def _blocks(similarity: float):
     """A group's rows (node, label, side, shingles) to (node, parent, degree): all links between nodes of two labels and, if
     the group has two, of two sides."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+    def run(_: tuple, table: pa.Table) -> pa.Table:
         node, label, side = (table.column(c).to_numpy() for c in ("node", "label", "side"))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
         both, size = overlaps(sets), np.array([len(x) for x in sets], np.float32)
@@ -135,6 +137,7 @@ def _blocks(similarity: float):
             linked &= side[:, None] != side
         parent = _forest(linked)
         up = pa.array(node[np.maximum(parent, 0)], mask=parent < 0)
+        released()
         return pa.table({"node": pa.array(node), "parent": up, "degree": pa.array(linked.sum(1).astype(np.int64))})
 
     return run
