@@ -34,6 +34,13 @@ def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(T.StringType())
+def three_places(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Python's %.3f: of the double's exact value, ties to even, where Spark's takes the decimal form, half up."""
+    for s in values:
+        yield s.map(lambda x: None if x != x else f"{x:.3f}").astype(object)
+
+
 def differences(a: Column, b: Column) -> Column:
     """Pairs of unlike words at equal places, as far as the shorter list goes."""
     n = F.least(F.size(a), F.size(b))
@@ -49,23 +56,23 @@ def ambiguous_swap(a: Column, b: Column, pairs: list[tuple[str, str]] = AMBIGUOU
     return (F.size(x) == F.size(y)) & (F.size(d) == 1) & F.array_contains(listed, F.array_sort(F.array(F.try_element_at(d, F.lit(1)).a, F.try_element_at(d, F.lit(1)).b)))
 
 
-def with_verdict(df: DataFrame, original: str, candidate: str, min_ratio: float = 0.75, max_relative: float = 1.30, pairs: list[tuple[str, str]] = AMBIGUOUS_PAIRS, structural: bool = False) -> DataFrame:
+def with_verdict(df: DataFrame, original: str, candidate: str, min_ratio: float = 0.75, max_relative: float = 1.30, pairs: list[tuple[str, str]] = AMBIGUOUS_PAIRS, structural: bool = False, ratio: Column | None = None) -> DataFrame:
     """df with accepted, reason and ratio; the first rule that holds decides. The ratio is null where an earlier rule
-    decides, and is left out, rule and column, if `structural`. Texts' parts are columns of their own while the
+    decides, and is left out, rule and column, if `structural`; a similarity of the caller's own may take difflib's place. Texts' parts are columns of their own while the
     rules are judged, so that each is made once."""
     parts = {"_o": strip(F.col(original)), "_c": strip(F.col(candidate))}
     df = df.withColumns(parts).withColumns({"_oe": strip_sentence_end(F.col("_o")), "_ce": strip_sentence_end(F.col("_c"))})
     df = df.withColumn("_early", F.when(F.col("_c") == "", "empty_output").when(F.col("_o") == F.col("_c"), "unchanged").when(F.col("_oe") == F.col("_ce"), "trailing_punctuation_only"))
     if not structural:
         late = F.col("_early").isNull()
-        df = df.withColumn("ratio", sequence_ratio(F.when(late, F.col("_oe")), F.when(late, F.col("_ce"))))
+        df = df.withColumn("ratio", sequence_ratio(F.when(late, F.col("_oe")), F.when(late, F.col("_ce"))) if ratio is None else F.when(late, ratio))
     df = df.withColumns({"_ow": words(F.col("_o")), "_cw": words(F.col("_c"))}).withColumn("_d", differences(F.col("_ow"), F.col("_cw")))
     n, m, d = F.size("_ow"), F.size("_cw"), F.size("_d")
     one = F.try_element_at("_d", F.lit(1))
     expansion = (n == m) & (d == 1) & (F.length(one.a) <= 5) & (F.length(one.b) >= F.length(one.a) + 2)
     reason = F.when(F.col("_early").isNotNull(), F.col("_early"))
     if not structural:
-        reason = reason.when(F.col("ratio") < min_ratio, F.concat(F.lit("sequence_ratio_low:"), F.format_string("%.3f", F.col("ratio"))))
+        reason = reason.when(F.col("ratio") < min_ratio, F.concat(F.lit("sequence_ratio_low:"), three_places(F.col("ratio"))))
     reason = (
         reason.when(F.length("_c") > max_relative * F.length("_o") + 8, "output_much_longer")
         .when((n >= 6) & (m > n + 4), "many_extra_words")

@@ -14,10 +14,11 @@ from pyspark.sql import types as T
 
 from tessera.config import Settings
 from tessera.functions.text import contains_all, letter_ratio, normalized, preview, prompt, word_count
+from tessera.operators.calendar import GRACE, MINUTE, with_start
 from tessera.operators.evaluation import ROW_COLUMNS, SPEECH_COLUMNS, scored
 from tessera.operators.retrieval import top1
 from tessera.operators.selection import first_rows, non_blank
-from tessera.operators.stage import with_row_id
+from tessera.operators.stage import staged, with_row_id
 from tessera.plans.correct import Client, correct_documents
 
 # Tokens of the instruction, least tokens of an answer, tokens a second of audio.
@@ -81,23 +82,29 @@ def dry_run_totals(rows: DataFrame, pairs_found: int | None = None) -> DataFrame
     )
 
 
+#: The error of a call that wasn't made because its time was over.
+MISSED = "missed its start"
+
 #: stem and audio to (text, prompt tokens, output tokens, total tokens); may raise.
 Transcriber = Callable[[str, bytes], tuple[str, int, int, int]]
 
 
-def transcribed(audio: DataFrame, transcriber: Transcriber, wait_s: float = 0.0) -> DataFrame:
+def transcribed(audio: DataFrame, transcriber: Transcriber, start_s: str | None = None, began: float | None = None) -> DataFrame:
     """audio(stem, wav_path, content, reference_text) to speech rows; a failure is a row with its error and rates of 1.
-    wait_s: pause between calls, of which there is then one at a time in all: the limit is that of the service, not of a task."""
+    start_s: a column with the second, from the Unix time `began` on (now, unless given), at which a call starts (operators/calendar.py):
+    tasks wait each for their own calls, in that order, and together keep the service's budgets. A call whose time is over by more than GRACE
+    isn't made: its error is MISSED."""
+    zero = time.time() if began is None else began
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        called = False
         for batch in batches:
             out = []
-            for stem, path, content, reference in zip(batch.stem, batch.wav_path, batch.content, batch.reference_text, strict=True):
-                if called and wait_s:
-                    time.sleep(wait_s)
-                called, began = True, time.perf_counter()
+            for stem, path, content, reference, start in zip(batch.stem, batch.wav_path, batch.content, batch.reference_text, batch.start, strict=True):
+                time.sleep(max(0.0, zero + start - time.time()))
+                began = time.perf_counter()
                 try:
+                    if start_s and time.time() > zero + start + GRACE:
+                        raise TimeoutError(MISSED)
                     text, *used, error = *transcriber(stem, content), ""
                 except Exception as e:  # noqa: BLE001  one file never fails the run
                     text, used, error = "", [0, 0, 0], str(e) or type(e).__name__
@@ -105,26 +112,49 @@ def transcribed(audio: DataFrame, transcriber: Transcriber, wait_s: float = 0.0)
             yield pd.DataFrame(out, columns=["stem", "wav_path", "reference_text", "prediction", "execution_time_s", "prompt_tokens", "output_tokens", "total_tokens", "error"])
 
     kinds = "stem string, wav_path string, reference_text string, prediction string, execution_time_s double, prompt_tokens int, output_tokens int, total_tokens int, error string"
-    asked = audio.select("stem", "wav_path", "content", "reference_text")
-    rows = (asked.coalesce(1) if wait_s else asked).mapInPandas(run, kinds)
-    rates = scored(rows.withColumnsRenamed({"output_tokens": "said"}))
+    asked = audio.select("stem", "wav_path", "content", "reference_text", (F.col(start_s) if start_s else F.lit(0.0)).cast("double").alias("start"))
+    if start_s:
+        asked = asked.sortWithinPartitions("start")
+    rates = scored(asked.mapInPandas(run, kinds).withColumnsRenamed({"output_tokens": "said"}))
     failed = F.col("error") != ""
     return rates.withColumns({c: F.when(failed, 1.0).otherwise(F.col(c)) for c in ("wer", "cer")}).withColumn("output_tokens", F.col("said")).select(*SPEECH_COLUMNS)
 
 
+def transcribed_within(audio: DataFrame, transcriber: Transcriber, requests: int | None = None, tokens: int | None = None, tokens_of: Column | None = None, lead_s: float = 10.0) -> DataFrame:
+    """transcribed, within budgets a minute, in the order of wav_path (which tells rows apart), by as many tasks as audio has. Calls that missed their time get
+    another calendar, a minute later, until all are made. lead_s: how long tasks may take to come to their first call."""
+    done, left = None, audio
+    while True:
+        calls = with_start(left.select("wav_path", *([tokens_of.alias("asked")] if tokens_of is not None else [])), [F.col("wav_path")], requests, tokens, F.col("asked") if tokens_of is not None else None)
+        timed = left.join(calls.select("wav_path", "start_s"), "wav_path")
+        rows = staged(transcribed(timed, transcriber, "start_s", time.time() + lead_s), "transcribed")
+        made = rows.where(F.col("error") != MISSED)
+        done = made if done is None else done.unionByName(made)
+        missed = rows.where(F.col("error") == MISSED).select("wav_path")
+        if not missed.limit(1).count():
+            return done
+        if not made.limit(1).count():
+            raise RuntimeError(f"no call could start in time; give tasks more than {lead_s} seconds to start")
+        left, lead_s = left.join(missed, "wav_path", "left_semi"), lead_s + MINUTE
+
+
 RETRIEVAL_TEMPLATE = "{context}\n\n{question}"
 
 
 def evaluate_retrieval(tasks: DataFrame, corpus: DataFrame, client: Client, model: str = "", template: str = RETRIEVAL_TEMPLATE) -> DataFrame:
-    """tasks(task_id, question, must_contain), corpus(chunk_idx, text): a row for each task."""
+    """tasks(task_id, question, must_contain), corpus(chunk_idx, text): a row for each task. A call that fails has no ratio and no preview, and isn't ok."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for x in batch.prompt:
                 began = time.perf_counter()
-                out.append((client(x), time.perf_counter() - began))
-            yield batch.assign(answer=[a for a, _ in out], latency_s=[s for _, s in out])
+                try:
+                    answer = client(x)
+                except Exception:  # noqa: BLE001  one task never fails the run
+                    answer = None
+                out.append((answer, time.perf_counter() - began))
+            yield batch.assign(answer=pd.Series([a for a, _ in out], index=batch.index, dtype=object), latency_s=[s for _, s in out])
 
     found = top1(tasks, corpus, "task_id", "chunk_idx", query_text="question")
     asked = tasks.join(found, "task_id").join(corpus.withColumnRenamed("text", "context"), "chunk_idx")
@@ -137,7 +167,7 @@ def evaluate_retrieval(tasks: DataFrame, corpus: DataFrame, client: Client, mode
         F.round("similarity", 4).alias("retrieval_score"),
         F.round("latency_s", 3).alias("latency_s"),
         F.round(letter_ratio(F.col("answer")), 3).alias("georgian_letter_ratio"),
-        contains_all(F.col("answer"), F.col("must_contain")).alias("must_contain_ok"),
+        F.coalesce(F.col("answer").isNotNull() & contains_all(F.col("answer"), F.col("must_contain")), F.lit(False)).alias("must_contain_ok"),
         preview(F.col("answer")).alias("answer_preview"),
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Settings
 from tessera.functions import chunking, metrics, safety, text, variants
-from tessera.operators import evaluation, lexicon, ranking, retrieval, selection
+from tessera.operators import calendar, evaluation, lexicon, ranking, retrieval, scan, selection
 from tessera.operators.spread import spread
 from tessera.plans import correct, evaluate
 from tessera.sources import readers, writers
@@ -197,6 +197,42 @@ def safety_full(spark, sf_dir):
     return safety.with_verdict(edits, "original", "candidate", pairs=PAIRS).select("doc_id", "seg_idx", "accepted", "reason", "ratio")
 
 
+def _edited(spark, sf_dir):
+    """Sentences with an edit each, of a kind for each rule of the verdict."""
+    df = _parts(documents(spark, sf_dir), chunking.sentences(F.col("text"))).withColumnRenamed("part", "original")
+    o, kind = F.col("original"), F.pmod(F.col("doc_id") + F.col("place"), F.lit(10))
+    edits = [F.lit(" "), o, F.concat(o, F.lit(" !")), F.substring(o, 1, 3), F.concat(o, F.lit(" "), o), F.concat(o, F.lit(" a b c d e")), F.regexp_replace(o, r"^(\S{1,5}) ", "$1xyz "), F.regexp_replace(o, r"(\S)(?=[^\S]|$)", "$1x"), text.fix_tokens(o, FIXES), F.concat(o, F.lit(" z"))]
+    candidate = F.concat(F.lit(""), *(F.when(kind == i, e).otherwise("") for i, e in enumerate(edits)))
+    return df.withColumn("candidate", candidate)
+
+
+def verdict_rules(spark, sf_dir):
+    """All ten rules, with a ratio of lengths that SQL has too."""
+    a, b = (F.length(text.strip_sentence_end(text.strip(F.col(c)))) for c in ("original", "candidate"))
+    found = safety.with_verdict(_edited(spark, sf_dir), "original", "candidate", min_ratio=0.5, pairs=PAIRS, ratio=2 * F.least(a, b) / (a + b))
+    return found.select("doc_id", "place", "accepted", "reason", F.round("ratio", 6).alias("ratio"))
+
+
+def running_rates(spark, sf_dir):
+    """Means of the rates so far, in the manifest's order."""
+    rows = evaluation.scored(_turn_pairs(spark, sf_dir)).select("conv_id", "turn", "reference_text", "wer", "cer")
+    found = scan.running_means(rows, [F.col("conv_id"), F.col("turn"), F.col("reference_text")], ["wer", "cer"])
+    return found.select("conv_id", "turn", "running_rows", *(F.round(c, 6).alias(c) for c in ("running_wer", "running_cer")))
+
+
+def crawl_stop(spark, sf_dir):
+    """Words of stored pages, seven letters of numbered pages, as far as a crawl would read."""
+    pages = load(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("letter"), F.floor(F.col("page_id") / 7 + 1).alias("page"), "html")
+    return readers.crawled_words(pages, readers.linked_words(F.col("html"), r'href="(/[^"]+)"', "/"))
+
+
+def call_calendar(spark, sf_dir):
+    """When the calls of a dry run may start: ten requests and 250,000 tokens a minute."""
+    rows = evaluate.dry_run(documents(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("stem"), (F.length("text") / 16.0).alias("seconds"), F.length("text").alias("wav_bytes"), F.col("text").alias("reference_text")))
+    found = calendar.with_start(rows.select(F.col("stem").cast("long").alias("doc_id"), "est_total_tokens"), [F.col("doc_id")], 10, 250_000, F.col("est_total_tokens"))
+    return found.select("doc_id", F.round("start_s", 3).alias("start_s"))
+
+
 def ambiguous_swap(spark, sf_dir):
     pairs = _parts(documents(spark, sf_dir), chunking.sentences(F.col("text")))
     return pairs.select("doc_id", "place", safety.ambiguous_swap(F.col("part"), text.fix_tokens(F.col("part"), FIXES), PAIRS).alias("swap"))
@@ -277,10 +313,18 @@ def evaluate_manifest(spark, sf_dir):
     return evaluate.evaluate_pairs(rows, Settings(use_llm=False), fixes=FIXES).drop("execution_time_s", "tokens_per_second")
 
 
+VOWELS = str.maketrans("aeiou", "აეიოუ")
+
+
+def georgian_vowels(prompt: str) -> str:
+    """A stand-in for a model."""
+    return prompt.translate(VOWELS)
+
+
 def evaluate_retrieval(spark, sf_dir):
     tasks = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("question"), F.array(F.lit("th")).alias("must_contain"))
-    rows = evaluate.evaluate_retrieval(tasks, documents(spark, sf_dir).withColumnRenamed("doc_id", "chunk_idx"), lambda p: p.upper(), MODEL)
-    return evaluate.retrieval_summary(rows).drop("avg_latency_s")
+    rows = evaluate.evaluate_retrieval(tasks, documents(spark, sf_dir).withColumnRenamed("doc_id", "chunk_idx"), georgian_vowels, MODEL)
+    return evaluate.retrieval_summary(rows).drop("avg_latency_s").withColumn("avg_georgian_letter_ratio", F.round("avg_georgian_letter_ratio", 6))
 
 
 _QUERIES = [
@@ -288,7 +332,7 @@ _QUERIES = [
     variants_insertion, variants_deletion, lexicon_build, sorted_lexicon, html_word_links, oov_tokens, lexicon_rescore, lexicon_rescored_documents,
     cer_pairs, wer_pairs, eval_rows, eval_summary, speech_summary, safety_structural, safety_full, ambiguous_swap, resume_pending, row_limit,
     seeded_sample, tfidf_top1, must_contain, token_estimate, correct_documents, segment_trace, correct_documents_llm_stub, evaluate_manifest,
-    evaluate_retrieval, correct_documents_full, dry_run_totals,
+    evaluate_retrieval, correct_documents_full, dry_run_totals, verdict_rules, running_rates, crawl_stop, call_calendar,
 ]
 
 
@@ -418,6 +462,22 @@ _FULL = rf"""WITH lex AS MATERIALIZED ({_LEXICON}), seg AS MATERIALIZED ({_liste
 _EDITS = rf"""SELECT doc_id, {_STRIP.format("text")} AS o, {_STRIP.format(_fixed("regexp_replace(text, '[.]$', '')"))} AS c FROM documents"""
 
 
+_EDITED = rf"""SELECT doc_id, place, o, {_STRIP.format("c")} AS c FROM (SELECT doc_id, place, part AS o, CASE (doc_id + place) % 10 WHEN 0 THEN ' ' WHEN 1 THEN part WHEN 2 THEN part || ' !' WHEN 3 THEN substr(part, 1, 3)
+ WHEN 4 THEN part || ' ' || part WHEN 5 THEN part || ' a b c d e' WHEN 6 THEN regexp_replace(part, '^(\S{{1,5}}) ', '\1xyz ') WHEN 7 THEN regexp_replace(part, '(\S)(\s|$)', '\1x\2', 'g')
+ WHEN 8 THEN {_fixed("part")} ELSE part || ' z' END AS c FROM ({_listed(_sentences("text"))}))"""
+#: The rules in order over o and c; ow, cw: their words; d: their unlike words; e: those without sentence ends; ratio: null or what the fourth rule looks at.
+_RULES = f"""SELECT doc_id, place, reason IN ('unchanged', 'ok') AS accepted, reason, round(CASE WHEN early IS NULL THEN ratio END, 6) AS ratio FROM (SELECT *, CASE WHEN early IS NOT NULL THEN early
+ WHEN ratio < 0.5 THEN 'sequence_ratio_low:' || printf('%.3f', ratio) WHEN length(c) > 1.3 * length(o) + 8 THEN 'output_much_longer'
+ WHEN len(ow) >= 6 AND len(cw) > len(ow) + 4 THEN 'many_extra_words'
+ WHEN len(ow) = len(cw) AND len(d) = 1 AND length(d[1].a) <= 5 AND length(d[1].b) >= length(d[1].a) + 2 THEN 'single_token_expansion'
+ WHEN least(len(ow), len(cw)) > 0 AND (len(d) + abs(len(ow) - len(cw))) / greatest(len(ow), 1) > 0.70 THEN 'too_many_tokens_changed'
+ WHEN len(ew) = len(fw) AND len(e) = 1 AND ({_SWAPS.replace("d[1]", "e[1]")}) THEN 'ambiguous_equivalent_morphology' ELSE 'ok' END AS reason
+ FROM (SELECT *, {_DIFFS.format("ow", "cw")} AS d, {_DIFFS.format("ew", "fw")} AS e, 2 * least(length(eo), length(ec)) / (length(eo) + length(ec)) AS ratio,
+ CASE WHEN c = '' THEN 'empty_output' WHEN o = c THEN 'unchanged' WHEN eo = ec THEN 'trailing_punctuation_only' END AS early
+ FROM (SELECT *, {_END.format("o")} AS eo, {_END.format("c")} AS ec, {_WORDS.format("o")} AS ow, {_WORDS.format("c")} AS cw,
+ {_WORDS.format(_END.format("o"))} AS ew, {_WORDS.format(_END.format("c"))} AS fw FROM ({_EDITED}))))"""
+
+
 _TOP1 = r"""WITH c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY ALL),
  idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term),
  cw AS (SELECT doc_id, term, tf * idf / sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY doc_id)) AS w FROM c JOIN idf USING (term)),
@@ -455,8 +515,18 @@ def oracle_sql() -> dict[str, str]:
         "eval_rows": f"""SELECT conv_id, turn, {_word_rate()} AS wer, {_char_rate()} AS cer, {_N.format("prediction")}::INT AS output_tokens,
  CASE WHEN turn > 0 THEN {_N.format("prediction")} / (turn / 4) ELSE 0.0 END AS tokens_per_second FROM ({_PAIRS})""",
         "evaluate_manifest": f"SELECT *, {_word_rate()} AS wer, {_char_rate()} AS cer, {_N.format('prediction')}::INT AS output_tokens FROM ({_CORRECTED})",
-        "evaluate_retrieval": f"""SELECT '{MODEL}' AS model, count(*) AS n_tasks, avg(contains(lower(d.text || chr(10) || b.text), 'th')::INT) AS must_contain_accuracy, avg(0.0::DOUBLE) AS avg_georgian_letter_ratio
- FROM ({_TOP1}) AS t JOIN documents AS d USING (doc_id) JOIN benchmark AS b USING (item_id)""",
+        "evaluate_retrieval": f"""SELECT '{MODEL}' AS model, count(*) AS n_tasks, avg(contains(lower(a), 'th')::INT) AS must_contain_accuracy, round(avg(round({_ratio("a", text.RETRIEVAL_LETTERS, True)}, 3)), 6) AS avg_georgian_letter_ratio
+ FROM (SELECT translate(d.text || chr(10) || b.text, 'aeiou', 'აეიოუ') AS a FROM ({_TOP1}) AS t JOIN documents AS d USING (doc_id) JOIN benchmark AS b USING (item_id))""",
+        "running_rates": f"""SELECT conv_id, turn, row_number() OVER w AS running_rows, round(avg(wer) OVER w, 6) AS running_wer, round(avg(cer) OVER w, 6) AS running_cer
+ FROM (SELECT conv_id, turn, reference_text, {_word_rate()} AS wer, {_char_rate()} AS cer FROM ({_PAIRS})) WINDOW w AS (ORDER BY conv_id, turn, reference_text ROWS UNBOUNDED PRECEDING)""",
+        "crawl_stop": f"""WITH found AS (SELECT page_id % 7 AS letter, page_id // 7 + 1 AS page, word FROM ({_LINKS})),
+ first AS (SELECT letter, word, min(page) AS page FROM found GROUP BY ALL), fresh AS (SELECT DISTINCT letter, page FROM first),
+ stops AS (SELECT letter, min(page) AS stop FROM (SELECT letter, page + 1 AS page FROM fresh UNION SELECT letter, 1 FROM fresh) AS a
+  WHERE NOT EXISTS (SELECT 1 FROM fresh AS f WHERE f.letter = a.letter AND f.page = a.page) GROUP BY letter)
+ SELECT letter, word FROM first JOIN stops USING (letter) WHERE page < stop""",
+        "call_calendar": f"""SELECT doc_id, round(sum(s) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - s, 3) AS start_s FROM (SELECT doc_id, greatest(6.1::DOUBLE, t * (61.0::DOUBLE / (250000 - max(t) OVER ()))) AS s
+ FROM (SELECT doc_id, 35 + 2 * length(text) + greatest(40, {_N.format("text")} + 5) AS t FROM documents))""",
+        "verdict_rules": _RULES,
         "correct_documents_full": _FULL,
         "dry_run_totals": f"""SELECT true AS dry_run, count(*) AS pairs_found, count(*) AS pairs_selected, sum(35 + 2 * length(text) + greatest(40, {_N.format("text")} + 5))::BIGINT AS est_total_tokens,
  count(*) AS est_requests FROM documents""",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalized
+from tessera.operators.stage import staged
 
 #: Keys under which a pairs object may hold its list, in order of preference.
 PAIR_KEYS = ("pairs", "data", "items", "rows")
@@ -104,6 +105,18 @@ def crawl(fetch, letters, max_pages: int = 1000):
     return found
 
 
+def crawled_words(pages: DataFrame, words: Column, letter: str = "letter", page: str = "page", max_pages: int = 1000) -> DataFrame:
+    """(letter, word), distinct, of stored pages as `crawl` would find them: a letter ends before its first page, counted from 1, that is missing, has no
+    words or none that an earlier page of the letter hasn't. A word is new on its first page, so the pages with a new word are those that are
+    some word's first; the crawl ends at the least number that isn't one."""
+    found = pages.select(F.col(letter).alias("letter"), F.col(page).cast("long").alias("page"), F.explode(words).alias("word")).where(F.col("page").between(1, max_pages))
+    first = staged(found.groupBy("letter", "word").agg(F.min("page").alias("page")), "words")
+    fresh = first.select("letter", "page").distinct()
+    after = fresh.select("letter", (F.col("page") + 1).alias("page")).union(fresh.select("letter", F.lit(1).cast("long").alias("page")))
+    ends = after.join(fresh, ["letter", "page"], "left_anti").groupBy("letter").agg(F.min("page").alias("end"))
+    return first.join(ends, "letter").where(F.col("page") < F.col("end")).select("letter", "word")
+
+
 def read_checkpoint(spark: SparkSession, path: str, schema) -> DataFrame:
     """The rows saved so far; none if there is no checkpoint yet."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
