@@ -21,6 +21,7 @@ from tessera.functions.chunking import chunks
 from tessera.functions.rules import TOKEN_FIXES
 from tessera.functions.safety import gate, with_verdict
 from tessera.functions.text import GATE_LETTERS, changed_cores, fix_tokens, nfc, prompt, strip
+from tessera.operators.journal import Journal, prompt_key
 from tessera.operators.lexicon import read_lexicon, rescored
 from tessera.operators.stage import staged
 
@@ -103,9 +104,9 @@ def answered(df: DataFrame, client: Client, text: str = "prompt", at_once: int =
     return df.mapInPandas(run, f"{kinds}, candidate string, failed boolean")
 
 
-def _processed(docs: DataFrame, settings: Settings, client: Client | None = None, gate_letters: str = GATE_LETTERS, template: str = TEMPLATE, examples: str = EXAMPLES, at_once: int = 1, **rules) -> DataFrame:
+def _processed(docs: DataFrame, settings: Settings, client: Client | None = None, gate_letters: str = GATE_LETTERS, template: str = TEMPLATE, examples: str = EXAMPLES, at_once: int = 1, journal: Journal | None = None, **rules) -> DataFrame:
     """The segment report, with a row of nulls for a text without segments. The gate is a filter before the model, since a UDF in a CASE sees all
-    rows; the skipped and the asked segments are two branches of one staged table."""
+    rows; the skipped and the asked segments are two branches of one staged table. journal: equal prompts are asked once, those of earlier runs not again."""
     df = segments(docs, settings, **rules)
     none = F.lit("")
 
@@ -118,7 +119,13 @@ def _processed(docs: DataFrame, settings: Settings, client: Client | None = None
     df = df.withColumn("gate", gate(F.col("working"), gate_letters))
     skipped = result(df.where("seg_idx is null or gate <> 'ok'"), F.col("working"), True, F.col("gate"), F.lit(False), none)
     asked = df.where("seg_idx is not null and gate = 'ok'").withColumn("prompt", prompt(template, chunk=F.col("working"), examples=examples))
-    asked = answered(asked, client, at_once=at_once).withColumn("proposed", nfc(F.col("candidate")))
+    if journal is None:
+        asked = answered(asked, client, at_once=at_once)
+    else:
+        asked = staged(asked.withColumn("key", prompt_key(F.col("prompt"))), "asked")
+        had = journal.ask(asked, client, at_once=at_once).select("key", F.col("answer").alias("candidate"), F.col("error").isNotNull().alias("failed"))
+        asked = asked.join(had, "key").drop("key")
+    asked = asked.withColumn("proposed", nfc(F.col("candidate")))
     asked = with_verdict(asked, "working", "proposed", min_ratio=settings.min_sequence_ratio, max_relative=settings.max_relative_length)
     accepted = ~F.col("failed") & F.coalesce("accepted", F.lit(False))
     why = F.when(F.col("failed"), "ollama_error").when(accepted, "").otherwise(F.col("reason"))

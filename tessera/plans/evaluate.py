@@ -29,8 +29,9 @@ KB_PER_SECOND = 32.0
 
 def evaluate_pairs(pairs: DataFrame, settings: Settings, max_rows: int | None = None, seconds: Column | None = None, **how) -> DataFrame:
     """Row metrics of corrections of pairs(row_index, stt_input, reference_text), one row for each pair, whatever its row_index. Pairs with neither
-    text don't count. Rows are corrected together, so a row has no time of its own unless `seconds` gives one."""
-    rows = with_row_id(first_rows(pairs, ["row_index"], max_rows, non_blank("stt_input", "reference_text")), "pairs")
+    text don't count; the first max_rows others are those of the least ordinal, if there is one (sources/manifests.py), else row_index. Rows are corrected together, so a row has no time of its own unless `seconds` gives one."""
+    order = ["ordinal"] if "ordinal" in pairs.columns else ["row_index"]
+    rows = with_row_id(first_rows(pairs, order, max_rows, non_blank("stt_input", "reference_text")), "pairs")
     found = correct_documents(rows.select(F.col("row_id").alias("doc_id"), F.col("stt_input").alias("text")), settings, **how)
     joined = rows.join(found.select(F.col("doc_id").alias("row_id"), normalized(F.col("text")).alias("prediction")), "row_id")
     return scored(joined.withColumn("execution_time_s", seconds if seconds is not None else F.lit(0.0))).select(*ROW_COLUMNS)

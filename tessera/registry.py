@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import Settings
 from tessera.functions import chunking, metrics, safety, text, variants
-from tessera.operators import calendar, evaluation, lexicon, ranking, retrieval, scan, selection
+from tessera.operators import calendar, evaluation, journal, lexicon, ranking, retrieval, scan, selection
 from tessera.operators.spread import spread
+from tessera.operators.stage import shared_path
 from tessera.plans import correct, evaluate
 from tessera.sources import readers, writers
 
@@ -233,6 +235,51 @@ def call_calendar(spark, sf_dir):
     return found.select("doc_id", F.round("start_s", 3).alias("start_s"))
 
 
+def checkpoint_resume(spark, sf_dir):
+    """Labelled documents saved as a checkpoint, one batch twice; the other documents are done afresh."""
+    path, schema = shared_path(spark, "checkpoint"), "doc_id long, n_words int, fresh boolean"
+    rows = documents(spark, sf_dir).select("doc_id", text.word_count(F.col("text")).alias("n_words"))
+    done = rows.join(load(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("fresh", F.lit(False))
+    for batch in (0, 1, 1):
+        writers.save_checkpoint(done.where(F.col("doc_id") % 2 == batch), path, f"batch-{batch}")
+    saved = readers.read_checkpoint(spark, path, schema)
+    return selection.resumed(rows, saved, selection.pending(rows, saved, "doc_id").withColumn("fresh", F.lit(True)), "doc_id")
+
+
+def noted(prompt: str) -> str:
+    """A stand-in for a model; some prompts fail."""
+    if len(prompt) % 17 == 0:
+        raise RuntimeError("no answer")
+    return prompt + "!"
+
+
+def journal_answers(spark, sf_dir):
+    """Each text of the conversations once."""
+    prompts = load(spark, sf_dir, "conversations").select(F.col("text").alias("prompt"))
+    return journal.Journal(spark, shared_path(spark, "journal"), every=64).ask(prompts, noted)
+
+
+def _array_lines(batches):
+    """The JSON objects of a task as the lines of one array."""
+    yield pd.DataFrame({"value": ["["]})
+    first = True
+    for batch in batches:
+        lines = ["," + x for x in batch["entry"]]
+        if first and lines:
+            lines[0], first = lines[0][1:], False
+        yield pd.DataFrame({"value": lines})
+    yield pd.DataFrame({"value": ["]"]})
+
+
+def manifest_pairs(spark, sf_dir):
+    """Turns written as JSON arrays, one a task, and read by ranges of the files."""
+    path = shared_path(spark, "manifest")
+    turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row"), F.col("text").alias("stt1_text"), F.col("role").alias("text"))
+    entries = turns.select(F.to_json(F.struct("row", "stt1_text", "text"), {"ignoreNullFields": "false"}).alias("entry"))
+    entries.mapInPandas(_array_lines, "value string").write.text(path)
+    return readers.read_pairs(spark, path)
+
+
 def ambiguous_swap(spark, sf_dir):
     pairs = _parts(documents(spark, sf_dir), chunking.sentences(F.col("text")))
     return pairs.select("doc_id", "place", safety.ambiguous_swap(F.col("part"), text.fix_tokens(F.col("part"), FIXES), PAIRS).alias("swap"))
@@ -333,6 +380,7 @@ _QUERIES = [
     cer_pairs, wer_pairs, eval_rows, eval_summary, speech_summary, safety_structural, safety_full, ambiguous_swap, resume_pending, row_limit,
     seeded_sample, tfidf_top1, must_contain, token_estimate, correct_documents, segment_trace, correct_documents_llm_stub, evaluate_manifest,
     evaluate_retrieval, correct_documents_full, dry_run_totals, verdict_rules, running_rates, crawl_stop, call_calendar,
+    checkpoint_resume, journal_answers, manifest_pairs,
 ]
 
 
@@ -527,6 +575,9 @@ def oracle_sql() -> dict[str, str]:
         "call_calendar": f"""SELECT doc_id, round(sum(s) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - s, 3) AS start_s FROM (SELECT doc_id, greatest(6.1::DOUBLE, t * (61.0::DOUBLE / (250000 - max(t) OVER ()))) AS s
  FROM (SELECT doc_id, 35 + 2 * length(text) + greatest(40, {_N.format("text")} + 5) AS t FROM documents))""",
         "verdict_rules": _RULES,
+        "checkpoint_resume": f"SELECT doc_id, {_N.format('text')}::INT AS n_words, doc_id NOT IN (SELECT doc_id FROM labels) AS fresh FROM documents",
+        "journal_answers": "SELECT DISTINCT sha256(text) AS key, CASE WHEN length(text) % 17 > 0 THEN text || '!' END AS answer, CASE WHEN length(text) % 17 = 0 THEN 'no answer' END AS error FROM conversations WHERE text IS NOT NULL",
+        "manifest_pairs": f"SELECT (conv_id * 1000 + turn)::INT AS row_index, {_STRIP.format("coalesce(text, '')")} AS stt_input, {_STRIP.format("coalesce(role, '')")} AS reference_text FROM conversations",
         "correct_documents_full": _FULL,
         "dry_run_totals": f"""SELECT true AS dry_run, count(*) AS pairs_found, count(*) AS pairs_selected, sum(35 + 2 * length(text) + greatest(40, {_N.format("text")} + 5))::BIGINT AS est_total_tokens,
  count(*) AS est_requests FROM documents""",

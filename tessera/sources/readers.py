@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import normalized
 from tessera.operators.stage import staged
+from tessera.sources.manifests import PAIR_KEYS, read_manifest
 
-#: Keys under which a pairs object may hold its list, in order of preference.
-PAIR_KEYS = ("pairs", "data", "items", "rows")
 WORD_LINK = r'href="(/word/[^"]+)"'
 
 PAIR_SCHEMA = "row_index int, stt_input string, reference_text string"
@@ -49,21 +48,8 @@ def load_pairs(spark: SparkSession, path: str, input_field: str = "stt1_text", r
 
 
 def read_pairs(spark: SparkSession, path: str, input_field: str = "stt1_text", reference_field: str = "text", row_field: str = "row") -> DataFrame:
-    """The same for many files, read by tasks, a file each: lists, or objects that hold one. An entry without a row number has its
-    1-based place in its file; an entry without a field, and a file without a list, raise when they are read."""
-    entries, held = "array<map<string,string>>", ", ".join(f"{k} array<map<string,string>>" for k in PAIR_KEYS)
-    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
-    wrapped = F.from_json("value", held)
-    found = F.when(F.ltrim("value").startswith("["), F.from_json("value", entries)).otherwise(F.coalesce(*(wrapped[k] for k in PAIR_KEYS)))
-    checked = F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.col("file"), F.lit(" holds no list of pairs"))).cast(entries))
-    df = files.select("file", F.posexplode(checked).alias("at", "e"))
-
-    def field(name: str) -> Column:
-        missing = F.raise_error(F.concat(F.lit("entry "), (F.col("at") + 1).cast("string"), F.lit(" of "), F.col("file"), F.lit(f" has no field '{name}'"))).cast("string")
-        return normalized(F.when(F.map_contains_key("e", F.lit(name)), F.coalesce(F.col("e")[name], F.lit(""))).otherwise(missing))
-
-    row = F.coalesce(F.col("e")[row_field].try_cast("int"), F.col("at") + 1)
-    return df.select(row.alias("row_index"), field(input_field).alias("stt_input"), field(reference_field).alias("reference_text"))
+    """The same for files of any number and size (manifests.py): an entry without a row number has its 1-based place in its file."""
+    return read_manifest(spark, path, input_field, reference_field, row_field).select("row_index", "stt_input", "reference_text")
 
 
 def discover_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,9 +103,10 @@ def crawled_words(pages: DataFrame, words: Column, letter: str = "letter", page:
     return first.join(ends, "letter").where(F.col("page") < F.col("end")).select("letter", "word")
 
 
-def read_checkpoint(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The rows saved so far; none if there is no checkpoint yet."""
+def read_checkpoint(spark: SparkSession, path: str, schema, key: str | None = None) -> DataFrame:
+    """The rows saved so far, of all batches; none if there is no checkpoint yet. key: one row for each of its values."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    return rows.dropDuplicates([key]) if key else rows

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import sys
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -44,5 +45,7 @@ def summary_json(summary: DataFrame) -> str:
     return json.dumps({k: v for k, v in row.items() if v is not None}, ensure_ascii=False, indent=2)
 
 
-def save_checkpoint(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def save_checkpoint(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Adds the rows as a batch; a batch that is saved again under its name takes its own place, so a retried save doubles nothing.
+    Without a name each save is a batch of its own."""
+    rows.write.mode("overwrite").parquet(f"{path}/{batch or uuid.uuid4().hex}")

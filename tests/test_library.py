@@ -103,13 +103,13 @@ def test_pairs_manifest(spark, tmp_path):
 def test_pairs_at_scale(spark, tmp_path):
     def read(data):
         (tmp_path / "q.json").write_text(json.dumps(data))
-        return [tuple(r) for r in readers.read_pairs(spark, str(tmp_path / "q.json")).collect()]
+        return sorted(tuple(r) for r in readers.read_pairs(spark, str(tmp_path / "q.json")).collect())
 
     entries = [{"row": "7", "stt1_text": " a ", "text": None}, {"row": "x", "stt1_text": 5, "text": "b"}, {"stt1_text": "c", "text": "d"}]
-    want = [(7, "a", ""), (2, "5", "b"), (3, "c", "d")]
+    want = [(2, "5", "b"), (3, "c", "d"), (7, "a", "")]
     assert read(entries) == want and read({"meta": 1, "data": entries}) == want and read({"rows": [], "items": entries}) == want
     for bad in ({"pairs": 1}, [{"text": "a"}]):
-        with pytest.raises(Exception, match="no list of pairs|no field"):
+        with pytest.raises(Exception, match="no list of pairs|no field|not an object"):
             read(bad)
 
 
@@ -258,6 +258,11 @@ def test_checkpoint_and_files(spark, tmp_path, capsys):
     writers.save_checkpoint(spark.createDataFrame([("a", 0.5)], schema), path)
     writers.save_checkpoint(spark.createDataFrame([("b", 1.0)], schema), path)
     assert sorted(map(tuple, readers.read_checkpoint(spark, path, schema).collect())) == [("a", 0.5), ("b", 1.0)]
+    for _ in range(2):  # a save that is tried again
+        writers.save_checkpoint(spark.createDataFrame([("c", 2.0)], schema), path, "third")
+    writers.save_checkpoint(spark.createDataFrame([("a", 0.5)], schema), path)
+    assert readers.read_checkpoint(spark, path, schema).where("stem = 'c'").count() == 1
+    assert sorted(r.stem for r in readers.read_checkpoint(spark, path, schema, "stem").collect()) == ["a", "b", "c"]
     writers.write_rows(spark.createDataFrame([("a", 0.5)], schema), str(tmp_path / "csv"), "csv")
     assert spark.read.csv(str(tmp_path / "csv"), header=True).first()["stem"] == "a"
     (tmp_path / "d.txt").write_text("a\nb", encoding="utf-8")
