@@ -80,3 +80,46 @@ def test_rule_verdicts(given):
         assert math.isclose(r.probability, want, rel_tol=1e-6, abs_tol=1e-9)
         n, *_, repeats = brute.rule_counts(texts[r.doc_id])
         assert r.kept == (n >= 20 and 100 * repeats <= 30 * n and want >= quality_rules.THRESHOLD)
+
+
+def test_hmm_scores(spark, small, monkeypatch):
+    """Whole texts' scores by a forward recursion in plain Python, with shares of classes from plain counts."""
+    import numpy as np
+
+    from tessera.llm import hmm
+
+    from .test_models import remainder
+
+    caught = {}
+    train, vocabulary = hmm.train, hmm.Vocabulary
+    monkeypatch.setattr(hmm, "train", lambda *a, **k: caught.setdefault("model", train(*a, **k)))
+    monkeypatch.setattr(hmm, "Vocabulary", lambda *a: caught.setdefault("words", vocabulary(*a)))
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect() if len(r.text or "") < 4000} | {-1: "", -2: None, -3: "neverseen words Xq"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = hmm.hmm_scores(docs, states=3, rounds=3).collect()
+    model, v = caught["model"], caught["words"]
+    learnt = {i: t for i, t in texts.items() if remainder(i, 7) != 2}
+    count = collections.Counter(w for t in learnt.values() for w in brute.words(brute.lower(t)))
+    classes = dict(zip(v.key.tolist(), v.cls.tolist(), strict=True))
+
+    def class_of(w):
+        b = np.frombuffer(w.encode(), np.uint8)
+        key = int(hmm.keys(b, np.array([0, len(b)]))[0][0])
+        return classes.get(key, key & 63)
+
+    place = {w: class_of(w) for w in count}
+    weight = collections.Counter({c: 1 for c in range(hmm.SHAPES)})
+    for w, n in count.items():
+        weight[place[w]] += n + 1
+    for r in found:
+        words = brute.words(brute.lower(texts[r.doc_id]))
+        seen = [*(place.get(w, class_of(w)) for w in words), hmm.END]
+        total, a = 0.0, None
+        for c in seen:
+            before = model.first if a is None else [sum(a[i] * model.step[i, j] for i in range(3)) for j in range(3)]
+            a = [x * model.emit[j, c] for j, x in enumerate(before)]
+            z = sum(a)
+            total, a = total + math.log10(z), [x / z for x in a]
+        total += sum(math.log10((count[w] + 1) / weight[c]) for w, c in zip(words, seen, strict=False))
+        assert math.isclose(r.score, total, rel_tol=1e-6, abs_tol=1e-6)
