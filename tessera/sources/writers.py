@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources import workbook
+
 REPORT_FIELDS = ["source", "pre_llm", "output", "skipped_llm", "skip_reason", "rejected_model", "reject_reason"]
 
 
@@ -35,7 +37,9 @@ def trace(segments: DataFrame) -> DataFrame:
 
 
 def write_rows(rows: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Metric rows: parquet, or csv with a header for spreadsheets."""
+    """Adds metric rows: parquet, csv with a header, or an xlsx workbook of one sheet (workbook.py)."""
+    if kind == "xlsx":
+        workbook.register(rows.sparkSession)
     rows.write.mode("append").options(**({"header": "true"} if kind == "csv" else {})).format(kind).save(path)
 
 
