@@ -48,38 +48,44 @@ def weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
 
 
 class BlockIndex:
-    """chunks(chunk_id, text) by term: the weights of all chunks, staged, and blocks of those of the terms that are asked for."""
+    """chunks(chunk_id, text) by term: counts, inverse frequencies and the lengths of the chunks' vectors, staged."""
 
     def __init__(self, chunks: DataFrame, chunk_id: str, chunk_text: str = "text"):
         self.chunks = chunks.select(F.col(chunk_id).alias("c"), F.col(chunk_text).alias("t"))
-        counts = staged(term_counts(self.chunks, "c", "t"), "terms")
-        self.idf = staged(inverse_frequency(counts, self.chunks), "idf")
-        self.weights = staged(weights(counts, self.idf, "c"), "weights")
+        self.counts = staged(term_counts(self.chunks, "c", "t"), "terms")
+        self.idf = staged(inverse_frequency(self.counts, self.chunks), "idf")
+        w = F.col("tf") * F.col("idf")
+        self.norms = staged(self.counts.join(self.idf, "term").groupBy("c").agg(F.sqrt(F.sum(w * w)).alias("norm")), "norms")
 
-    def blocks(self, terms: DataFrame) -> DataFrame:
-        """term, most (the block's largest weight), held (its postings), of the distinct terms given."""
-        level = F.floor(F.col("weight") * LEVELS).cast("int").alias("level")
-        own = self.weights.join(terms, "term", "left_semi").select("term", level, "c", "weight")
-        sizes = own.groupBy("term", "level").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        part = F.pmod(F.xxhash64("c"), F.col("blocks")).alias("part")
-        cut = own.join(sizes, ["term", "level"]).select("term", "level", part, "c", "weight")
-        return cut.groupBy("term", "level", "part").agg(F.max("weight").alias("most"), F.collect_list(F.struct("c", "weight")).alias("held"))
+    def postings(self, terms: DataFrame) -> DataFrame:
+        """(c, term, weight) of the terms(term), distinct."""
+        own = self.counts.join(terms, "term", "left_semi").join(self.idf, "term").join(self.norms, "c")
+        return own.select("c", "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
 
 
-def similarities(pairs: DataFrame, asked: DataFrame, index: BlockIndex) -> DataFrame:
+def blocks_of(postings: DataFrame) -> DataFrame:
+    """term, level, part, most (the block's largest weight), held (its postings)."""
+    own = postings.select("term", F.floor(F.col("weight") * LEVELS).cast("int").alias("level"), "c", "weight")
+    sizes = own.groupBy("term", "level").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    part = F.pmod(F.xxhash64("c"), F.col("blocks")).alias("part")
+    cut = own.join(sizes, ["term", "level"]).select("term", "level", part, "c", "weight")
+    return cut.groupBy("term", "level", "part").agg(F.max("weight").alias("most"), F.collect_list(F.struct("c", "weight")).alias("held"))
+
+
+def similarities(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
     """(q, c, similarity) of pairs(q, c), distinct: sums over the terms that both have. Sums in another order differ in the last bits; rounding keeps ties ties."""
-    both = pairs.join(asked.select("q", "term", "qw"), "q").join(index.weights, ["c", "term"])
+    both = pairs.join(asked.select("q", "term", "qw"), "q").join(postings, ["c", "term"])
     return both.groupBy("q", "c").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("similarity"))
 
 
-def cuts(asked: DataFrame, blocks: DataFrame, index: BlockIndex) -> DataFrame:
+def cuts(asked: DataFrame, blocks: DataFrame, postings: DataFrame) -> DataFrame:
     """Of each query and term of asked(q, term, qw): cut, the largest weight that isn't read (null: all are), above, the first level that is read
     (null: none is), and reach, what a chunk's excess over the cuts must come to."""
     best = blocks.groupBy("term").agg(F.max(F.struct("most", "level", "part")).alias("best"))
     strong = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.col("qw") * F.col("best.most")), "term"))
     first = asked.join(best, "term").withColumn("place", strong).where(F.col("place") <= STRONG).select("q", "term", "best.level", "best.part")
     named = first.join(blocks, ["term", "level", "part"]).select("q", F.explode("held.c").alias("c")).distinct()
-    running = similarities(named, asked, index).groupBy("q").agg(F.max("similarity").alias("running"))
+    running = similarities(named, asked, postings).groupBy("q").agg(F.max("similarity").alias("running"))
     # A step of a term: from below one of its levels to above it; its worth never rises with the level, so lower steps come first.
     levels = blocks.groupBy("term", "level").agg(F.sum(F.size("held")).alias("saved"), F.max("most").alias("most"))
     below = F.coalesce(F.lag("most").over(Window.partitionBy("term").orderBy("level")), F.lit(0.0))
@@ -95,9 +101,9 @@ def cuts(asked: DataFrame, blocks: DataFrame, index: BlockIndex) -> DataFrame:
     return found.withColumn("reach", reach).where("above is not null")
 
 
-def candidates(asked: DataFrame, blocks: DataFrame, index: BlockIndex) -> DataFrame:
+def candidates(asked: DataFrame, blocks: DataFrame, postings: DataFrame) -> DataFrame:
     """(q, c): the chunks that can be a query's answer, from the postings that it reads."""
-    read = blocks.join(cuts(asked, blocks, index), "term").where(F.col("level") >= F.col("above"))
+    read = blocks.join(cuts(asked, blocks, postings), "term").where(F.col("level") >= F.col("above"))
     read = read.select("q", "reach", "qw", F.coalesce("cut", F.lit(0.0)).alias("cut"), F.explode("held").alias("p"))
     excess = F.sum(F.col("qw") * (F.col("p.weight") - F.col("cut")))
     return read.groupBy("q", F.col("p.c").alias("c")).agg(excess.alias("excess"), F.first("reach").alias("reach")).where(F.col("excess") >= F.col("reach")).select("q", "c")
@@ -109,8 +115,9 @@ def top1(queries: DataFrame, chunks: DataFrame, query_id: str, chunk_id: str, qu
     index = BlockIndex(chunks, chunk_id, chunk_text)
     q = queries.select(F.col(query_id).alias("q"), F.col(query_text).alias("t"))
     asked = staged(weights(term_counts(q, "q", "t"), index.idf, "q").withColumnRenamed("weight", "qw"), "queries")
-    blocks = staged(index.blocks(asked.select("term").distinct()), "blocks")
-    likely = similarities(candidates(asked, blocks, index), asked, index)
+    postings = staged(index.postings(asked.select("term").distinct()), "postings")
+    blocks = staged(blocks_of(postings), "blocks")
+    likely = similarities(candidates(asked, blocks, postings), asked, postings)
     best = likely.groupBy("q").agg(F.max(F.struct("similarity", (-F.col("c")).alias("back"))).alias("m"))
     first = index.chunks.agg(F.min("c").alias("first"))
     out = q.select("q").join(best, "q", "left").join(F.broadcast(first))

@@ -125,8 +125,9 @@ def test_common_terms_add_few_postings(spark):
         index = retrieval.BlockIndex(chunks, "c")
         q = spark.createDataFrame([(0, "common words w7 v7 u7 t7")], "q long, text string")
         asked = retrieval.staged(retrieval.weights(retrieval.term_counts(q, "q", "text"), index.idf, "q").withColumnRenamed("weight", "qw"), "q")
-        blocks = retrieval.staged(index.blocks(asked.select("term")), "b")
-        cut = retrieval.cuts(asked, blocks, index)
+        postings = retrieval.staged(index.postings(asked.select("term")), "p")
+        blocks = retrieval.staged(retrieval.blocks_of(postings), "b")
+        cut = retrieval.cuts(asked, blocks, postings)
         read.append(blocks.join(cut, "term").where("level >= above").agg(F.sum(F.size("held"))).first()[0])
     assert read[1] < 100 and read[1] < read[0] * 8
 
