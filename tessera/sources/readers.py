@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import normalized
 from tessera.operators.stage import staged
+from tessera.sources import audio
 from tessera.sources.manifests import PAIR_KEYS, read_manifest
 
 WORD_LINK = r'href="(/word/[^"]+)"'
@@ -61,6 +62,14 @@ def discover_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return wav.select(stem.alias("stem"), F.col("path").alias("wav_path"), F.col("length").alias("wav_bytes")).join(txt, "stem").orderBy("stem")
 
 
+def timed_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """stem, wav_path, wav_bytes, seconds, reference_text, as a dry run takes them: of the audio only heads are read (audio.py)."""
+    audio.register(spark)
+    txt = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
+    txt = txt.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("stem"), normalized(F.decode("content", "UTF-8")).alias("reference_text"))
+    return spark.read.format("wav").load(folder).withColumnRenamed("est_seconds", "seconds").join(txt, "stem")
+
+
 def linked_words(html: Column, pattern: str = WORD_LINK, prefix: str = "/word/") -> Column:
     """Distinct words of a page's links, decoded as RFC 3986 has it: a plus is a plus, a broken escape stays."""
     raw = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda x: F.substring(x, F.lit(len(prefix) + 1), F.length(x)))
