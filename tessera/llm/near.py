@@ -9,9 +9,9 @@ What is asked for is the components of the links, so in a band that more than BU
 that could join two components is left out:
 1. Each node goes to one block of the largest such band it is in; a block (BLOCK nodes or BLOCK_SHINGLES hashes, about) finds all
    links between its nodes by products of 0/1 matrices, and returns a spanning forest and how many links each node has.
-2. In bands that still hold several components all nodes of others than its own are compared with the node of most links: the text
-   that the rest was made from, if there is one.
-3. In bands that still do, blocks are paired: those of the component of that node with those of the other nodes, and the latter among
+2. In each band all nodes that its block didn't join with it are compared with the node of most links: the text that the rest was
+   made from, if there is one.
+3. In bands that then hold several components, blocks are paired: those of the component of that node with those of the other nodes, and the latter among
    themselves. All pairs of two components are decided there; nodes of one component aren't compared.
 Third steps take as long as a band has nodes that nothing links, squared, in blocks; nothing is skipped for that.
 
@@ -108,23 +108,23 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _forest(linked: np.ndarray) -> np.ndarray:
-    """Each node's parent in a spanning forest of a matrix of links, -1 for a root."""
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's parent in a spanning forest of a matrix of links, -1 for a root, and its root."""
     n = len(linked)
-    parent, new = np.full(n, -1), np.ones(n, bool)
+    parent, top, new = np.full(n, -1), np.arange(n), np.ones(n, bool)
     for root in range(n):
         todo = [root] if new[root] else []
         new[root] = False
         while todo:
             at = todo.pop()
             found = np.flatnonzero(linked[at] & new)
-            parent[found], new[found] = at, False
+            parent[found], top[found], new[found] = at, root, False
             todo += found.tolist()
-    return parent
+    return parent, top
 
 
 def _blocks(similarity: float):
-    """A group's rows (node, label, side, shingles) to (node, parent, degree): all links between nodes of two labels and, if
+    """A group's rows (node, label, side, shingles) to (node, parent, root, degree): all links between nodes of two labels and, if
     the group has two, of two sides."""
 
     def run(_: tuple, table: pa.Table) -> pa.Table:
@@ -135,10 +135,10 @@ def _blocks(similarity: float):
         linked &= label[:, None] != label
         if side.min() != side.max():
             linked &= side[:, None] != side
-        parent = _forest(linked)
+        parent, top = _forest(linked)
         up = pa.array(node[np.maximum(parent, 0)], mask=parent < 0)
         released()
-        return pa.table({"node": pa.array(node), "parent": up, "degree": pa.array(linked.sum(1).astype(np.int64))})
+        return pa.table({"node": pa.array(node), "parent": up, "root": pa.array(node[top]), "degree": pa.array(linked.sum(1).astype(np.int64))})
 
     return run
 
@@ -204,7 +204,7 @@ def crowded_links(crowded: DataFrame, sets: DataFrame, known: DataFrame, similar
     crowded = cut(crowded.join(held.select("node", "size"), "node"), "members")
     sizes = crowded.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
-    kinds = "node long, parent long, degree long"
+    kinds = "node long, parent long, root long, degree long"
     one = crowded.groupBy("node").agg(F.max(F.struct("n", "key")).alias("m")).select("node", F.col("m.key").alias("key"))
     one = one.join(sizes.select("key", blocks.alias("blocks")), "key").select("key", "node", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
     found = one.join(held, "node").select("key", "block", "node", F.col("node").alias("label"), F.lit(0).alias("side"), "shingles")
@@ -217,10 +217,9 @@ def crowded_links(crowded: DataFrame, sets: DataFrame, known: DataFrame, similar
         best = several.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max(F.struct("degree", "node", "label")).alias("best")).where("a <> b")
         return cut(several.join(best.select("key", "best"), "key"), "open")
 
-    rest = still_open()
-    if not rest.limit(1).count():
-        return edges
-    pairs = rest.where("label <> best.label").select(F.col("node").alias("u"), F.col("best.node").alias("v")).distinct()
+    placed = cut(crowded.join(found.select("node", "root", "degree"), "node"), "placed")
+    best = placed.groupBy("key").agg(F.max(F.struct("degree", "node", "root")).alias("best"))
+    pairs = placed.join(best, "key").where("root <> best.root").select(F.col("node").alias("u"), F.col("best.node").alias("v")).distinct()
     edges = cut(edges.union(_verified(pairs, sets, similarity)), "edges")
     rest = still_open()
     if not rest.limit(1).count():
