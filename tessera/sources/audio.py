@@ -14,6 +14,8 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tessera.ship import ship
+
 #: Kilobytes a second of 16 kHz mono 16-bit audio; bytes of a partition, about.
 KB_PER_SECOND, PARTITION_BYTES = 32.0, 128 << 20
 #: What opening a file counts as, in bytes.
@@ -94,4 +96,5 @@ class Audio(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(Audio)

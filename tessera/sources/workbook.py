@@ -20,6 +20,8 @@ from xml.sax.saxutils import escape
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from tessera.ship import ship
+
 # The parts of the smallest workbook with one sheet, and the most rows a sheet holds.
 MOST_ROWS = 1_048_576
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -140,4 +142,5 @@ class Workbook(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(Workbook)
