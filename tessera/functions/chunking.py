@@ -12,8 +12,8 @@ SENTENCE_END = r".!?։؟"
 
 
 def sentences(c: Column) -> Column:
-    parts = F.transform(F.split(strip(c), f"(?<=[{SENTENCE_END}])[{WHITE}]+"), strip)
-    return F.filter(parts, lambda s: s != "")
+    """Of the stripped text, so no part has white space at its ends; only an empty text has an empty part."""
+    return F.filter(F.split(strip(c), f"(?<=[{SENTENCE_END}])[{WHITE}]+"), lambda s: s != "")
 
 
 def greedy(parts: Column, size: int) -> Column:

@@ -78,19 +78,50 @@ def letter_ratio(c: Column, letters: str = RETRIEVAL_LETTERS) -> Column:
     return F.when(all_letters == 0, 1.0).otherwise(F.length(F.regexp_replace(c, rf"[^\p{{L}}]|[^{letters}]", "")) / all_letters)
 
 
+def long_cores(c: Column, least: int) -> Column:
+    """Cores of at least `least` (2 or more) characters, in order."""
+    return F.regexp_extract_all(c, F.lit(f"(?<![^{WHITE}])([^{WHITE}]{{{least - 1},}}[^{WHITE}{TRAILING}])[{TRAILING}]*+(?![^{WHITE}])"), F.lit(1))
+
+
+def cores_pattern(keys: Column) -> Column:
+    """A pattern of the tokens' cores that an array of strings lists."""
+    quoted = F.transform(keys, lambda k: F.concat(F.lit(r"\Q"), F.replace(k, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    return F.concat(F.lit(f"(?<![^{WHITE}])(?:"), F.array_join(quoted, "|"), F.lit(f")(?=[{TRAILING}]*+(?![^{WHITE}]))"))
+
+
+def once(value: Column, make) -> Column:
+    """make(value), with the value made once, however often make uses it."""
+    return F.try_element_at(F.transform(F.array(value), make), F.lit(1))
+
+
+def replaced_cores(c: Column, pattern: Column, table: Column) -> Column:
+    """The text with the cores that the pattern finds replaced by table, a map; only these are looked at one by one."""
+
+    def joined(found: Column) -> Column:
+        pairs = F.zip_with(F.split(c, pattern), found, lambda part, k: F.concat(part, F.coalesce(F.try_element_at(table, k), k, F.lit(""))))
+        return F.when(F.size(found) == 0, c).otherwise(F.array_join(pairs, ""))
+
+    return once(F.regexp_extract_all(c, pattern, F.lit(0)), joined)
+
+
 def fix_tokens(c: Column, fixes: dict[str, str]) -> Column:
     """Whole cores by table; trailing punctuation and white space stay."""
     if not fixes:
         return c
     table = F.create_map(*(F.lit(x) for pair in fixes.items() for x in pair))
-    return F.array_join(F.transform(tokens(c), lambda p: F.concat(F.coalesce(F.try_element_at(table, core(p)), core(p)), trail(p))), "")
+    if any(not k or any(x in WHITE_CHARS for x in k) for k in fixes):  # cores of tokens without letters, and white space
+        return F.array_join(F.transform(tokens(c), lambda p: F.concat(F.coalesce(F.try_element_at(table, core(p)), core(p)), trail(p))), "")
+    # A core has no trailing punctuation, so keys that have some are never found.
+    keys = [k for k in fixes if k[-1] not in TRAILING]
+    return replaced_cores(c, cores_pattern(F.array(*map(F.lit, keys))), table) if keys else c
 
 
 def changed_cores(before: Column, after: Column) -> Column:
     """Distinct new cores at places where a token's core differs; none if the numbers of tokens differ."""
-    b, a = tokens(before), tokens(after)
-    pairs = F.zip_with(b, a, lambda x, y: F.when((core(x) != core(y)) & ~is_space(x) & ~is_space(y), core(y)))
-    return F.when(F.size(a) == F.size(b), F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))).otherwise(F.array().cast("array<string>"))
+    b, a = F.transform(tokens(before), core), F.transform(tokens(after), core)
+    pairs = F.zip_with(b, a, lambda x, y: F.when((x != y) & ~is_space(x) & ~is_space(y), y))
+    none = F.array().cast("array<string>")
+    return F.when(before == after, none).when(F.size(a) == F.size(b), F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))).otherwise(none)
 
 
 def contains_all(c: Column, needles: Column) -> Column:

@@ -1,4 +1,5 @@
 import difflib
+import random
 import unicodedata
 
 from hypothesis import HealthCheck, given, settings
@@ -152,3 +153,25 @@ def test_verdicts(spark):
 def test_sequence_ratio_keeps_the_popularity_heuristic(values):
     a, b = "ab " * 120, "ab " * 110 + "zz " * 10
     assert values([("tide", "diet"), (a, b)], safety.sequence_ratio) == [difflib.SequenceMatcher(None, *x).ratio() for x in (("tide", "diet"), (a, b))]
+
+
+def test_matcher_ratio_is_difflibs():
+    """Over 200 characters too, where difflib leaves out common ones, and cheaper: it looked at each character of a for each match."""
+    rng = random.Random(3)
+    for size in (0, 1, 30, 199, 200, 900):
+        for letters in ("ab ", "abcdefghijklmnopqrstuvwxyz  "):
+            for _ in range(12):
+                a = "".join(rng.choice(letters) for _ in range(size))
+                b = list(a)
+                for _ in range(rng.randrange(6)):
+                    i = rng.randrange(len(b) + 1)
+                    b[i : i + rng.randrange(6)] = rng.choice(["xyz", "q", "", "ab"])
+                b = "".join(b)
+                assert safety.matcher_ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_many_swaps_without_a_pair(values):
+    """Only cores of the table are looked at, and regular expressions' characters in them are themselves."""
+    fixes = {"a.b": "x", "a": "b", "b": "a", "q\\E(": "ok", "c.": "never"}
+    assert values(["a b, a.b! aa\ta. c. q\\E(?", "a", "", " "], lambda c: text.fix_tokens(c, fixes)) == ["b a, x! aa\tb. c. ok?", "b", "", " "]
+    assert values(["abcde, abcd ab.cd.. (x)yz!"], lambda c: text.long_cores(c, 5)) == [["abcde", "ab.cd", "(x)yz"]]
