@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +44,9 @@ EXAMPLES = "\n\n".join(
 )
 TEMPLATE = "Examples:\n\n{examples}\n\nThe text to correct:\n{chunk}"
 
+#: Rows whose prompts and answers are Python strings at a time.
+SLICE = 512
+
 SEGMENT = ["doc_id", "seg_idx", "source", "output", "skipped_llm", "skip_reason", "rejected_model", "reject_reason", "pre_llm"]
 
 
@@ -81,7 +84,7 @@ def segments(docs: DataFrame, settings: Settings, fixes: dict[str, str] = TOKEN_
 
 
 def answered(df: DataFrame, client: Client, text: str = "prompt", at_once: int = 1) -> DataFrame:
-    """df with candidate and failed; rows go through the client in Arrow batches, `at_once` calls of a task side by side (a
+    """df with candidate and failed; rows go through the client in slices of Arrow batches, whose other columns are passed on as they are, `at_once` calls of a task side by side (a
     client called so must bear threads)."""
 
     def ask(x: str) -> tuple[str | None, bool]:
@@ -90,18 +93,21 @@ def answered(df: DataFrame, client: Client, text: str = "prompt", at_once: int =
         except Exception:  # noqa: BLE001  one segment never fails the batch
             return None, True
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if at_once > 1:
-                with ThreadPoolExecutor(at_once) as pool:
-                    answers = list(pool.map(ask, batch[text]))
-            else:
-                answers = [ask(x) for x in batch[text]]
-            candidate, failed = [a for a, _ in answers], [f for _, f in answers]
-            yield batch.assign(candidate=pd.Series(candidate, index=batch.index, dtype=object), failed=pd.Series(failed, index=batch.index, dtype=bool))
-
-    kinds = ", ".join(f"{c} {t}" for c, t in df.dtypes)
-    return df.mapInPandas(run, f"{kinds}, candidate string, failed boolean")
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                prompts = part.column(text).to_pylist()
+                if at_once > 1:
+                    with ThreadPoolExecutor(at_once) as pool:
+                        answers = list(pool.map(ask, prompts))
+                else:
+                    answers = [ask(x) for x in prompts]
+                candidate, failed = [a for a, _ in answers], [f for _, f in answers]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(candidate, pa.string()), pa.array(failed, pa.bool_())], [*part.schema.names, "candidate", "failed"])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    return df.mapInArrow(run, f"{kinds}, candidate string, failed boolean")
 
 
 def _processed(docs: DataFrame, settings: Settings, client: Client | None = None, gate_letters: str = GATE_LETTERS, template: str = TEMPLATE, examples: str = EXAMPLES, at_once: int = 1, journal: Journal | None = None, **rules) -> DataFrame:
