@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import variants
 from tessera.functions.rules import CONFUSIONS, DROPPED_LETTERS, MAX_DELETIONS, MAX_INSERTIONS, MAX_SUBSTITUTIONS, symmetric
-from tessera.functions.text import core, nfc, strip, tokens, trail
+from tessera.functions.text import cores_pattern, long_cores, nfc, replaced_cores, strip
 from tessera.operators.spread import widened
 from tessera.operators.stage import staged
 
@@ -92,15 +92,13 @@ def rescored(segments: DataFrame, lexicon: DataFrame | None, key: list[str], tex
     if lexicon is None:
         return segments
     lexicon = staged(lexicon.select("word"), "lexicon")
-    cores = F.array_distinct(F.filter(F.transform(tokens(F.col(text)), core), lambda x: F.length(x) >= MIN_LETTERS))
+    cores = F.array_distinct(long_cores(F.col(text), MIN_LETTERS))
     if preserve:
         cores = F.array_except(cores, F.col(preserve))
     exploded = segments.select(*key, F.explode(cores).alias("core"))
     best = exploded.join(staged(replacements(exploded, lexicon, **tables), "replacements"), "core")
     table = best.groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("core", "best"))).alias("best"))
 
-    def fixed(p):
-        return F.concat(F.coalesce(F.try_element_at(F.col("best"), core(p)), core(p)), trail(p))
-
-    out = F.when(F.col("best").isNull(), F.col(text)).otherwise(F.array_join(F.transform(tokens(F.col(text)), fixed), ""))
+    found = replaced_cores(F.col(text), cores_pattern(F.map_keys("best")), F.col("best"))
+    out = F.when(F.col("best").isNull(), F.col(text)).otherwise(found)
     return segments.join(table, key, "left").withColumn(text, out).drop("best")
