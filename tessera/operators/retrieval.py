@@ -52,7 +52,8 @@ class BlockIndex:
 
     def __init__(self, chunks: DataFrame, chunk_id: str, chunk_text: str = "text"):
         self.chunks = chunks.select(F.col(chunk_id).alias("c"), F.col(chunk_text).alias("t"))
-        self.counts = staged(term_counts(self.chunks, "c", "t"), "terms")
+        # Dealt by chunk while they are texts: the terms are then counted without another shuffle, and each written part has whole chunks, so that their lengths are sums within parts.
+        self.counts = staged(term_counts(self.chunks.repartition("c"), "c", "t"), "terms")
         self.idf = staged(inverse_frequency(self.counts, self.chunks), "idf")
         w = F.col("tf") * F.col("idf")
         self.norms = staged(self.counts.join(self.idf, "term").groupBy("c").agg(F.sqrt(F.sum(w * w)).alias("norm")), "norms")
@@ -73,8 +74,9 @@ def blocks_of(postings: DataFrame) -> DataFrame:
 
 
 def similarities(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
-    """(q, c, similarity) of pairs(q, c), distinct: sums over the terms that both have. Sums in another order differ in the last bits; rounding keeps ties ties."""
-    both = pairs.join(asked.select("q", "term", "qw"), "q").join(postings, ["c", "term"])
+    """(q, c, similarity) of pairs(q, c), distinct: sums over the terms that both have. Pairs and postings meet by chunk, and the terms of
+    the (few) queries come after, so that a pair is shuffled once, not once for each term, and sums need no other shuffle. Sums in another order differ in the last bits; rounding keeps ties ties."""
+    both = pairs.join(postings, "c").join(asked.select("q", "term", "qw"), ["q", "term"])
     return both.groupBy("q", "c").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("similarity"))
 
 
