@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, mix, pieces, word_hashes, words
+from tessera.llm.common import U64, mix, pieces, widened, word_hashes, words
 
 BITS = 16
 #: Buckets: byte trigrams, then words and pairs of unlike words, then runs of one word, 2 to 9 times.
@@ -64,10 +64,12 @@ class Sample:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, rows: int):
         """The `rows` labelled documents that come first by a hash of their id. A doc_id with several labels
-        counts as the lowest; null labels, and labels without a document, don't count."""
+        counts as the lowest, one with several texts as that of the least hash, so that `rows` is the most the driver gets;
+        null labels, and labels without a document, don't count."""
         labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
         chosen = labels.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")  # `rows` ids at most
+        texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("m"))  # `rows` ids at most
+        texts = widened(texts.select("doc_id", "y", "m.text"))
         found = sorted(tuple(r) for r in texts.mapInArrow(_counted, "doc_id long, y int, idx binary, share binary").collect())
         self.y = np.array([r[1] for r in found], np.int64)
         self.idx = [np.frombuffer(r[2], "<i4") for r in found]

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import hmm, quality_classifier, quality_rules
-from tessera.llm.ngrams import RUNS, grams, platt
+from tessera.llm.ngrams import RUNS, Sample, grams, learning_rows, platt
 
 from . import brute
 
@@ -40,6 +40,14 @@ def test_dual_descent_separates():
     assert [float(w[i] @ v) + b > 0 for i, v in zip(idx, val, strict=True)] == [True, True, False, False]
 
 
+def test_sample_of_repeated_ids_is_bounded(spark):
+    docs = spark.createDataFrame([(i, f"text {i} of {k}") for i in range(30) for k in (0, 0, 0, i)], "doc_id long, text string")
+    labels = learning_rows(spark.createDataFrame([(i, i % 2) for i in range(30)] * 2, "doc_id long, quality int"))
+    assert [len(Sample(docs, labels, n).y) for n in (7, 99)] == [7, 30]
+    once, again = Sample(docs.distinct(), labels, 7), Sample(docs.union(docs).repartition(5), labels, 7)
+    assert once.y.tolist() == again.y.tolist() and [i.tolist() for i in once.idx] == [i.tolist() for i in again.idx]
+
+
 def test_classifier_on_held_out_rows(spark, small):
     docs, labels = (spark.read.parquet(f"{small.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     found = quality_classifier.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
