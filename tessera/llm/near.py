@@ -232,7 +232,8 @@ def crowded_links(crowded: DataFrame, sets: DataFrame, known: DataFrame, similar
     across = F.expr("transform(sequence(0, if(side = 0, blocks1, blocks0) - 1), j -> struct(0 as kind, if(side = 0, own, j) as a, if(side = 0, j, own) as b))")
     inner = F.expr("if(side = 0, array(), transform(sequence(0, blocks1 - 1), j -> struct(1 as kind, least(own, j) as a, greatest(own, j) as b)))")
     dealt = rest.select("key", "node", "label", "side", F.explode(F.concat(across, inner)).alias("at")).select("key", "at.*", "node", "label", "side")
-    more = dealt.join(held.select("node", "shingles"), "node").groupBy("key", "kind", "a", "b").applyInArrow(_blocks(similarity), kinds)
+    # Sizes are guessed without the rows that a node becomes: by them these would be broadcast through the driver.
+    more = dealt.hint("merge").join(held.select("node", "shingles"), "node").groupBy("key", "kind", "a", "b").applyInArrow(_blocks(similarity), kinds)
     return edges.union(more.where("parent is not null").select(F.col("node").alias("u"), F.col("parent").alias("v")))
 
 

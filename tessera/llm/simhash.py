@@ -74,7 +74,8 @@ def links(fps: DataFrame) -> DataFrame:
     pairs = buckets.where("n = 2").select("u", "v").where(near).distinct()
     if not buckets.where("n > 2").limit(1).count():
         return pairs
-    crowded = cut(index.join(buckets.where("n > 2").select("key", "n"), "key"), "crowded")
+    # Sizes are guessed without the 64 rows that a fingerprint becomes: by them the index would be broadcast through the driver.
+    crowded = cut(index.hint("merge").join(buckets.where("n > 2").select("key", "n"), "key"), "crowded")
     small = crowded.where(F.col("n") <= BUCKET)
     more = small.select("key", F.col("fp").alias("u")).join(small.select("key", F.col("fp").alias("v")), "key").where("u < v").where(near).select("u", "v").distinct()
     two = F.explode(F.expr("flatten(transform(sequence(1, 63), a -> transform(sequence(0, a - 1), b -> shiftleft(1L, a) | shiftleft(1L, b))))")).alias("out")

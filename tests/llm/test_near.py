@@ -135,6 +135,15 @@ def test_crowded_bands(spark, monkeypatch, block):
     assert {r.doc_id for r in simhash.one_of_each(docs, similarity=0.8).collect()} == want
 
 
+def test_index_is_not_broadcast(spark, monkeypatch):
+    """Its size is guessed as that of the fingerprints it is made from, a 64th."""
+    plans, kept = {}, simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df, label: plans.update({label: df._jdf.queryExecution().executedPlan().toString()}) or kept(df, label))
+    found = simhash.links(spark.createDataFrame([(0,), (1,), (2,), (7,), (1 << 40,)], "fp long"))
+    assert "crowded" in plans and "Broadcast" not in plans["crowded"]
+    assert {(r.u, r.v) for r in found.collect()} == {(0, 1), (0, 2), (1, 2), (0, 1 << 40), (1, 7), (2, 7), (1, 1 << 40), (2, 1 << 40)}
+
+
 def test_overlaps(monkeypatch):
     monkeypatch.setattr(near, "COLUMNS", 7)
     rng = np.random.default_rng(3)
