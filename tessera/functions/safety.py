@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -113,7 +115,7 @@ def differences(a: Column, b: Column) -> Column:
 
 
 def ambiguous_swap(a: Column, b: Column, pairs: list[tuple[str, str]] = AMBIGUOUS_PAIRS) -> Column:
-    """Whether two texts differ in one word only, and that by a pair of forms which are both right."""
+    """Whether two texts differ in one word only, and that by a pair of forms which are both right. Texts without any of these forms aren't cut into words."""
     listed = F.array(*(F.array(*(F.lit(w) for w in sorted(p))) for p in pairs)) if pairs else F.array().cast("array<array<string>>")
 
     def only(d: Column) -> Column:
@@ -121,7 +123,8 @@ def ambiguous_swap(a: Column, b: Column, pairs: list[tuple[str, str]] = AMBIGUOU
         return (F.size(d) == 1) & F.array_contains(listed, F.array_sort(F.array(one.a, one.b)))
 
     def unlike(t: Column) -> Column:
-        return F.when(t.a == t.b, F.lit(False)).otherwise(once(F.struct(words(t.a).alias("x"), words(t.b).alias("y")), lambda w: (F.size(w.x) == F.size(w.y)) & once(differences(w.x, w.y), only)))
+        none = ~functools.reduce(operator.or_, (F.contains(t.a, F.lit(w)) for w in sorted({w for p in pairs for w in p})), F.lit(False))
+        return F.when((t.a == t.b) | none, F.lit(False)).otherwise(once(F.struct(words(t.a).alias("x"), words(t.b).alias("y")), lambda w: (F.size(w.x) == F.size(w.y)) & once(differences(w.x, w.y), only)))
 
     return once(F.struct(a.alias("a"), b.alias("b")), unlike)
 

@@ -63,7 +63,7 @@ def strip_sentence_end(c: Column) -> Column:
 
 
 def count_chars(c: Column, cls: str) -> Column:
-    return F.length(F.regexp_replace(c, f"[^{cls}]", ""))
+    return F.length(F.regexp_replace(c, f"[^{cls}]+", ""))
 
 
 def script_ratio(c: Column, letters: str = GATE_LETTERS) -> Column:

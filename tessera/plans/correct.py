@@ -7,6 +7,7 @@ carried, so it may be null or repeat, and every input row has one output row.
 from __future__ import annotations
 
 import json
+import unicodedata
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -68,8 +69,9 @@ class HttpClient:
         return str(found.get("response") or "").strip()
 
 
-def segments(docs: DataFrame, settings: Settings, fixes: dict[str, str] = TOKEN_FIXES, lexicon: DataFrame | None = None, **tables) -> DataFrame:
-    """row_id, doc_id, seg_idx, source, working, pre_llm: all that comes before the gate, staged. A text without chunks is a row without seg_idx."""
+def segments(docs: DataFrame, settings: Settings, fixes: dict[str, str] = TOKEN_FIXES, lexicon: DataFrame | None = None, gate_letters: str | None = None, **tables) -> DataFrame:
+    """row_id, doc_id, seg_idx, source, pre_llm, working and, if gate_letters are given, gate: all that comes before the model, staged. What is worked
+    on is written only where it isn't the source, and the gate judges it once. A text without chunks is a row without seg_idx."""
     text = strip(nfc(F.coalesce(F.col("text"), F.lit(""))))
     # The number is made in a step of its own: beside an explode it would number what comes out.
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
@@ -80,12 +82,15 @@ def segments(docs: DataFrame, settings: Settings, fixes: dict[str, str] = TOKEN_
         df = staged(df.withColumn("preserve", changed_cores(F.col("source"), F.col("working"))), "chunks")
         df = rescored(df, lexicon, ["row_id", "seg_idx"], **tables).drop("preserve")
     df = df.withColumn("pre_llm", F.when(F.col("working") != F.col("source"), F.col("working")))
-    return staged(df, "segments")
+    if gate_letters is not None:
+        df = df.withColumn("gate", gate(F.col("working"), gate_letters))
+    return staged(df.drop("working"), "segments").withColumn("working", F.coalesce("pre_llm", "source"))
 
 
-def answered(df: DataFrame, client: Client, text: str = "prompt", at_once: int = 1) -> DataFrame:
+def answered(df: DataFrame, client: Client, text: str = "prompt", at_once: int = 1, asked: str | None = None) -> DataFrame:
     """df with candidate and failed; rows go through the client in slices of Arrow batches, whose other columns are passed on as they are, `at_once` calls of a task side by side (a
-    client called so must bear threads)."""
+    client called so must bear threads). asked: a boolean column; rows where it isn't true pass by the client, and df comes back without the text, with normal, the candidate's
+    NFC where that is another text."""
 
     def ask(x: str) -> tuple[str | None, bool]:
         try:
@@ -93,49 +98,60 @@ def answered(df: DataFrame, client: Client, text: str = "prompt", at_once: int =
         except Exception:  # noqa: BLE001  one segment never fails the batch
             return None, True
 
+    def normal(x: str | None) -> str | None:
+        return None if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x)
+
+    names = [c for c in df.columns if asked is None or c != text]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                prompts = part.column(text).to_pylist()
+                some = [True] * part.num_rows if asked is None else part.column(asked).to_pylist()
+                prompts = [x for x, wanted in zip(part.column(text).to_pylist(), some, strict=True) if wanted]
                 if at_once > 1:
                     with ThreadPoolExecutor(at_once) as pool:
                         answers = list(pool.map(ask, prompts))
                 else:
                     answers = [ask(x) for x in prompts]
+                had = iter(answers)
+                answers = [next(had) if wanted else (None, False) for wanted in some]
                 candidate, failed = [a for a, _ in answers], [f for _, f in answers]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(candidate, pa.string()), pa.array(failed, pa.bool_())], [*part.schema.names, "candidate", "failed"])
+                columns = {c: part.column(c) for c in names} | {"candidate": pa.array(candidate, pa.string()), "failed": pa.array(failed, pa.bool_())}
+                if asked is not None:
+                    columns["normal"] = pa.array(map(normal, candidate), pa.string())
+                yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.mapInArrow(run, f"{kinds}, candidate string, failed boolean")
+    kinds = ", ".join(f"`{c}` {t}" for c, t in df.select(*(f"`{c}`" for c in names)).dtypes)
+    return df.mapInArrow(run, f"{kinds}, candidate string, failed boolean" + (", normal string" if asked is not None else ""))
 
 
 def _processed(docs: DataFrame, settings: Settings, client: Client | None = None, gate_letters: str = GATE_LETTERS, template: str = TEMPLATE, examples: str = EXAMPLES, at_once: int = 1, journal: Journal | None = None, **rules) -> DataFrame:
-    """The segment report, with a row of nulls for a text without segments. The gate is a filter before the model, since a UDF in a CASE sees all
-    rows; the skipped and the asked segments are two branches of one staged table. journal: equal prompts are asked once, those of earlier runs not again."""
-    df = segments(docs, settings, **rules)
+    """The segment report, with a row of nulls for a text without segments. Segments that the gate skips go the same way as the asked ones, past the model: the
+    staged table is read once. journal: equal prompts are asked once, those of earlier runs not again."""
     none = F.lit("")
-
-    def result(df, output, skipped, skip_reason, rejected, reject_reason):
-        return df.select("row_id", "doc_id", "seg_idx", "source", output.alias("output"), F.lit(skipped).alias("skipped_llm"), skip_reason.alias("skip_reason"), rejected.alias("rejected_model"), reject_reason.alias("reject_reason"), "pre_llm")
-
     if not settings.use_llm:
-        return result(df, F.col("working"), True, F.lit("ollama_disabled"), F.lit(False), none)
+        df = segments(docs, settings, **rules)
+        return df.select("row_id", "doc_id", "seg_idx", "source", F.col("working").alias("output"), F.lit(True).alias("skipped_llm"), F.lit("ollama_disabled").alias("skip_reason"), F.lit(False).alias("rejected_model"), none.alias("reject_reason"), "pre_llm")
     client = client or HttpClient(settings)
-    df = df.withColumn("gate", gate(F.col("working"), gate_letters))
-    skipped = result(df.where("seg_idx is null or gate <> 'ok'"), F.col("working"), True, F.col("gate"), F.lit(False), none)
-    asked = df.where("seg_idx is not null and gate = 'ok'").withColumn("prompt", prompt(template, chunk=F.col("working"), examples=examples))
+    df = segments(docs, settings, gate_letters=gate_letters, **rules)
+    df = df.withColumn("asked", F.col("seg_idx").isNotNull() & (F.col("gate") == "ok"))
+    df = df.withColumn("prompt", F.when(F.col("asked"), prompt(template, chunk=F.col("working"), examples=examples)))
     if journal is None:
-        asked = answered(asked, client, at_once=at_once)
+        # Only what isn't derived from the other columns goes to Python and back.
+        df = answered(df.drop("working"), client, at_once=at_once, asked="asked").withColumn("working", F.coalesce("pre_llm", "source"))
+        df = df.withColumn("proposed", F.coalesce("normal", "candidate"))
     else:
-        asked = staged(asked.withColumn("key", prompt_key(F.col("prompt"))), "asked")
-        had = journal.ask(asked, client, at_once=at_once).select("key", F.col("answer").alias("candidate"), F.col("error").isNotNull().alias("failed"))
-        asked = asked.join(had, "key").drop("key")
-    asked = asked.withColumn("proposed", nfc(F.col("candidate")))
-    asked = with_verdict(asked, "working", "proposed", min_ratio=settings.min_sequence_ratio, max_relative=settings.max_relative_length)
-    accepted = ~F.col("failed") & F.coalesce("accepted", F.lit(False))
-    why = F.when(F.col("failed"), "ollama_error").when(accepted, "").otherwise(F.col("reason"))
-    return skipped.unionByName(result(asked, F.when(accepted, F.col("candidate")).otherwise(F.col("working")), False, none, ~accepted, why))
+        df = staged(df.withColumn("key", prompt_key(F.col("prompt"))), "asked")
+        had = journal.ask(df, client, at_once=at_once).select("key", F.col("answer").alias("candidate"), F.col("error").isNotNull().alias("failed"))
+        df = df.join(had, "key", "left").withColumn("failed", F.coalesce("failed", F.lit(False))).drop("key").withColumn("proposed", nfc(F.col("candidate")))
+    df = with_verdict(df, "working", "proposed", min_ratio=settings.min_sequence_ratio, max_relative=settings.max_relative_length)
+    asked = F.col("asked")
+    accepted = asked & ~F.col("failed") & F.coalesce("accepted", F.lit(False))
+    why = F.when(~asked | accepted, none).when(F.col("failed"), "ollama_error").otherwise(F.col("reason"))
+    output = F.when(accepted, F.col("candidate")).otherwise(F.col("working"))
+    skip_reason = F.when(asked, none).otherwise(F.col("gate"))
+    return df.select("row_id", "doc_id", "seg_idx", "source", output.alias("output"), (~asked).alias("skipped_llm"), skip_reason.alias("skip_reason"), (asked & ~accepted).alias("rejected_model"), why.alias("reject_reason"), "pre_llm")
 
 
 def corrected_segments(docs: DataFrame, settings: Settings, **how) -> DataFrame:

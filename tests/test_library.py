@@ -346,3 +346,26 @@ def test_service_takes_the_settings_lexicon(spark, tmp_path, monkeypatch):
     assert correct.correct_before_llm(spark, "ველ მივედე")["text"] == "ვერ მივედო" == correct.correct_final(spark, "ველ მივედე")["text"]
     monkeypatch.setenv("TESSERA_LEXICON_ENABLE", "0")
     assert correct.correct_before_llm(spark, "ველ მივედე")["text"] == "ვერ მივედე"
+
+
+def test_skipped_segments_pass_by_the_client(spark, monkeypatch):
+    """One read of the staged table, which holds what is worked on only where it isn't the source; only asked prompts reach the client, and none come back."""
+    held, kept = {}, correct.staged
+    monkeypatch.setattr(correct, "staged", lambda df, label: held.update({label: kept(df, label)}) or held[label])
+    docs = spark.createDataFrame([(1, "ველ მივედი სახლში გუშინ."), (2, "one two three"), (3, ""), (4, None)], "doc_id long, text string")
+
+    def client(x):
+        if "two" in x:
+            raise AssertionError
+        return x.strip() + " é"
+
+    found = correct._processed(docs, Settings(min_sequence_ratio=0.0), client=client, template="{chunk}")
+    assert "working" not in held["segments"].columns and found._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    rows = {r.doc_id: r for r in found.collect()}
+    assert len(rows) == 4 and rows[1].output == "ვერ მივედი სახლში გუშინ. é" and rows[1].pre_llm == "ვერ მივედი სახლში გუშინ." and not rows[1].skipped_llm
+    assert (rows[2].output, rows[2].pre_llm, rows[2].skip_reason, rows[2].rejected_model, rows[2].reject_reason) == ("one two three", None, "low_georgian_letter_ratio", False, "")
+    assert rows[3].seg_idx is None and rows[4].seg_idx is None
+    asked = spark.createDataFrame([("p", True), ("q", False), ("r", None)], "prompt string, asked boolean")
+    rows = correct.answered(asked, lambda x: x + "é", asked="asked")
+    assert rows.columns == ["asked", "candidate", "failed", "normal"]
+    assert [(r.candidate, r.failed, r.normal) for r in rows.collect()] == [("pé", False, "pé"), (None, False, None), (None, False, None)]
